@@ -1,0 +1,181 @@
+"""A keyed target table kept as parquet, for clusters without a MERGE-capable table format.
+
+Rows live in hash buckets of their key. A batch rewrites only the buckets it touches, into
+a new version folder; a small pointer file then names the version of every bucket, the
+checkpoints and the last batch. The pointer is the commit: until it exists, readers see the
+old state, and a batch it names already is skipped, so a repeated batch changes nothing.
+
+With a table format that has MERGE (a v2 catalog), use ``merge_into`` instead.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from changefeed.operators.apply import advance_checkpoints, apply_changes
+from changefeed.plans.files import SharedFiles
+from changefeed.spec import OP_DELETE, Position
+
+BUCKET = "__bucket"
+
+
+class SnapshotTable:
+    """A target table under one folder of the shared file system."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], buckets: int = 64) -> None:
+        if not 1 <= buckets <= 4096:
+            raise ValueError("buckets must lie between 1 and 4096")
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.keys, self.buckets = list(keys), buckets
+        self.files = SharedFiles(spark, root)
+
+    # Reading
+
+    def pointer(self) -> dict:
+        """The latest committed state."""
+        done = [n for n in self.files.names("_commits") if n.endswith(".json")]
+        if not done:
+            return {"version": 0, "batch": -1, "buckets": {}, "logs": [], "checkpoints": None}
+        return json.loads(self.files.read(f"_commits/{done[-1]}"))
+
+    def bucket_of(self) -> Column:
+        """The bucket of a row, by its key."""
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: Sequence[int] | None = None, pointer: Mapping | None = None) -> DataFrame:
+        """The current rows, of all buckets or of some."""
+        state = pointer or self.pointer()
+        chosen = {int(b): v for b, v in state["buckets"].items() if only is None or int(b) in set(only)}
+        if not chosen:
+            return self.spark.createDataFrame([], self.schema)
+        paths = [f"{self.root}/data/v{v}/{BUCKET}={b}" for b, v in sorted(chosen.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def checkpoints(self, schema: T.StructType | None = None, pointer: Mapping | None = None) -> DataFrame | None:
+        """The stored checkpoints, or an empty frame of ``schema``."""
+        state = pointer or self.pointer()
+        if state["checkpoints"] is None:
+            return None if schema is None else self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(f"{self.root}/checkpoints/v{state['checkpoints']}")
+
+    def log(self) -> DataFrame | None:
+        """The processing log of all committed batches."""
+        logs = self.pointer()["logs"]
+        return self.spark.read.parquet(*[f"{self.root}/log/v{v}" for v in logs]) if logs else None
+
+    # Writing
+
+    def commit(
+        self,
+        touched: Sequence[int],
+        rows: DataFrame,
+        batch: int,
+        checkpoints: DataFrame | None = None,
+        log: DataFrame | None = None,
+        pointer: Mapping | None = None,
+    ) -> int:
+        """Publish new contents of the touched buckets, with checkpoints and log rows."""
+        state = pointer or self.pointer()
+        version = state["version"] + 1
+        # Rebalancing gives a bucket as many files as its size calls for.
+        laid_out = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET)
+        laid_out.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/data/v{version}")
+        written = {int(n.split("=")[1]) for n in self.files.names(f"data/v{version}") if n.startswith(f"{BUCKET}=")}
+        where = {b: v for b, v in state["buckets"].items() if int(b) not in set(touched)}
+        where.update({str(b): version for b in written})
+        new = {"version": version, "batch": batch, "buckets": where, "logs": list(state["logs"]), "checkpoints": state["checkpoints"]}
+        if checkpoints is not None:
+            checkpoints.write.mode("overwrite").parquet(f"{self.root}/checkpoints/v{version}")
+            new["checkpoints"] = version
+        if log is not None:
+            log.write.mode("overwrite").parquet(f"{self.root}/log/v{version}")
+            new["logs"].append(version)
+        if not self.files.publish(f"_commits/{version:012d}.json", json.dumps(new)):
+            raise RuntimeError(f"version {version} of {self.root} was committed by another writer")
+        return version
+
+    def load(self, rows: DataFrame, batch: int = -1, checkpoints: DataFrame | None = None) -> int:
+        """Replace the whole table, as a snapshot load does."""
+        return self.commit(range(self.buckets), rows, batch, checkpoints)
+
+    def merge(
+        self,
+        batch: DataFrame,
+        batch_id: int,
+        mode: str = "hard",
+        order: Sequence[str] = Position().columns,
+        op: str = "op_code",
+        guard: bool = False,
+        feed: Sequence[str] = (),
+        log: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> bool:
+        """Apply one batch of changes; false if it was applied before.
+
+        ``feed`` names the columns checkpoints are kept by; ``log`` makes the log rows of a
+        batch. The batch is read several times, so it is persisted meanwhile.
+        """
+        state = self.pointer()
+        if batch_id <= state["batch"]:
+            return False
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            # At most one number per bucket comes to the driver.
+            touched = [r[0] for r in batch.select(self.bucket_of().alias("b")).distinct().collect()]
+            if not touched:
+                return False
+            current = self.read(touched, state)
+            merged = apply_changes(current, batch, self.keys, mode, order, op, guard=guard)
+            ckpt = None
+            if feed:
+                position = Position(*order)
+                stored = self.checkpoints(pointer=state)
+                if stored is None:
+                    pulled = batch.select(*feed, *position.columns)
+                    stored = pulled.limit(0).toDF(*feed, "last_start_lsn", "last_seqval")
+                ckpt = advance_checkpoints(stored, batch, feed, position)
+            self.commit(touched, merged, batch_id, ckpt, log(batch) if log else None, state)
+            return True
+        finally:
+            batch.unpersist()
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete bucket folders no commit among the last ``keep`` refers to; returns their names."""
+        commits = [n for n in self.files.names("_commits") if n.endswith(".json")][-max(1, keep):]
+        used = {
+            f"v{v}/{BUCKET}={b}"
+            for name in commits
+            for b, v in json.loads(self.files.read(f"_commits/{name}"))["buckets"].items()
+        }
+        newest = self.pointer()["version"]
+        gone = []
+        for folder in self.files.names("data"):
+            if int(folder[1:]) > newest:
+                continue
+            for bucket in self.files.names(f"data/{folder}"):
+                if bucket.startswith(BUCKET) and f"{folder}/{bucket}" not in used:
+                    self.files.delete(f"data/{folder}/{bucket}")
+                    gone.append(f"{folder}/{bucket}")
+        return gone
+
+
+def merge_into(batch: DataFrame, table: str, keys: Sequence[str], op: str = "op_code", mode: str = "hard") -> None:
+    """Apply a batch that has one row per key to a v2 table, by the catalog's own MERGE."""
+    on = None
+    for k in keys:
+        same = F.col(f"target.{k}") == F.col(f"batch.{k}")
+        on = same if on is None else on & same
+    columns = [c for c in batch.columns if c != op]
+    values = {c: F.col(f"batch.{c}") for c in columns}
+    merge = batch.alias("batch").mergeInto(f"{table} AS target", on)
+    if mode == "hard":
+        removed = F.col(f"batch.{op}") == OP_DELETE
+        merge = merge.whenMatched(removed).delete().whenMatched().update(values).whenNotMatched(~removed).insert(values)
+    else:
+        merge = merge.whenMatched().update(values).whenNotMatched().insert(values)
+    merge.merge()
