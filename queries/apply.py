@@ -1 +1,304 @@
-"""..."""
+"""Applying changes, positions and bootstraps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from changefeed.functions.expressions import op_name
+from changefeed.operators import apply as A
+from changefeed.plans import brokered, native
+from changefeed.sources.feeds import derive_route, feed_bounds
+from changefeed.spec import TableSpec
+from queries.base import Tables, moment, query
+
+FEED = ["customer_id", "table_name"]
+ORDER = ["start_lsn", "seqval"]
+
+
+@query(
+    "e1_latest_per_key_brokered",
+    """select kafka_offset, kafka_partition, pk, event_type, value, source_ts_ms from
+    (select *, row_number() over (partition by pk order by source_ts_ms desc, kafka_partition desc, kafka_offset desc) as rn from {topic_feed}) where rn = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t("topic_feed").drop("topic", "op")
+    return A.latest_per_key(rows, ["pk"], ["source_ts_ms", "kafka_partition", "kafka_offset"])
+
+
+@query(
+    "e2_latest_per_key_native",
+    """select event_id, pk, customer_id, op_code, start_lsn, seqval, value from
+    (select *, row_number() over (partition by customer_id, pk order by start_lsn desc, seqval desc) as rn from {change_feed} where op_code in (2, 4)) where rn = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t("change_feed").filter(F.col("op_code").isin(2, 4))
+    rows = rows.select("event_id", "pk", "customer_id", "op_code", "start_lsn", "seqval", "value")
+    return A.latest_per_key(rows, ["customer_id", "pk"], ORDER)
+
+
+@query(
+    "h1_current_state",
+    """select pk, customer_id, event_type, value, start_lsn, seqval from
+    (select *, row_number() over (partition by pk order by start_lsn desc, seqval desc) as rn from {change_feed} where op_code in (1, 2, 4)) where rn = 1 and op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    feed = t("change_feed")
+    columns = ["pk", "customer_id", "event_type", "value", "start_lsn", "seqval"]
+    return A.apply_changes(feed.select(*columns).limit(0), feed, ["pk"])
+
+
+_LAST = """(select * from (select *, row_number() over (partition by o_orderkey order by start_lsn desc, seqval desc) as rn
+  from {order_changes} where op_code in (1, 2, 4)) where rn = 1)"""
+
+
+@query(
+    "h1_apply_changes_hard",
+    f"""with b as {_LAST}
+    select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from {{order_target}} t where not exists (select 1 from b where b.o_orderkey = t.o_orderkey)
+    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"])
+
+
+@query(
+    "h1_apply_changes_any_delete",
+    """with c as (select * from {order_changes} where op_code in (1, 2, 4)),
+    u as (select * from (select *, row_number() over (partition by o_orderkey order by start_lsn desc, seqval desc) as rn from c where op_code in (2, 4)) where rn = 1),
+    d as (select distinct o_orderkey from c where op_code = 1)
+    select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from {order_target} t
+      where o_orderkey not in (select o_orderkey from u) and o_orderkey not in (select o_orderkey from d)
+    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from u where o_orderkey not in (select o_orderkey from d)""",
+)
+def _(t: Tables) -> DataFrame:
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], delete_order="any")
+
+
+@query(
+    "h16_apply_changes_guarded",
+    f"""with b as (select b.* from {_LAST} b left join {{order_target}} t on t.o_orderkey = b.o_orderkey
+      where t.o_orderkey is null or b.start_lsn > t.start_lsn or (b.start_lsn = t.start_lsn and b.seqval > t.seqval))
+    select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from {{order_target}} t where not exists (select 1 from b where b.o_orderkey = t.o_orderkey)
+    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], guard=True)
+
+
+@query(
+    "h2_apply_changes_soft",
+    """with b as (select * from (select *, row_number() over (partition by pk order by source_ts_ms desc, kafka_partition desc, kafka_offset desc) as rn from {topic_feed}) where rn = 1)
+    select c_custkey as pk, c_mktsegment as event_type, c_acctbal as value, 'INSERT' as __cdc_operation from {customer} where c_custkey not in (select pk from b)
+    union all select pk, event_type, value, case op when 'd' then 'DELETE' when 'c' then 'INSERT' when 'u' then 'UPDATE' else 'UNKNOWN' end from b""",
+)
+def _(t: Tables) -> DataFrame:
+    target = t("customer").select(
+        F.col("c_custkey").alias("pk"),
+        F.col("c_mktsegment").alias("event_type"),
+        F.col("c_acctbal").alias("value"),
+        F.lit("INSERT").alias("__cdc_operation"),
+    )
+    rows = t("topic_feed").select(
+        "pk",
+        "event_type",
+        "value",
+        op_name("op").alias("__cdc_operation"),
+        F.col("source_ts_ms").alias("__source_ts_ms"),
+        F.col("kafka_partition").alias("__kafka_partition"),
+        F.col("kafka_offset").alias("__kafka_offset"),
+    )
+    return brokered.merge(target, rows, ["pk"])
+
+
+@query(
+    "h3_advance_checkpoints",
+    """with p as (select customer_id, table_name, last_start_lsn as lsn, last_seqval as seq from {feed_checkpoints}
+      union all select customer_id, table_name, start_lsn, seqval from {change_feed} where event_id % 3 = 0)
+    select customer_id, table_name, lsn as last_start_lsn, seq as last_seqval from
+    (select *, row_number() over (partition by customer_id, table_name order by lsn desc, seq desc nulls last) as rn from p) where rn = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    # The batch holds the first change of every transaction, so some checkpoints stay ahead of it.
+    return A.advance_checkpoints(t("feed_checkpoints"), t("change_feed").filter(F.col("seqval") == f"{0:020X}"), FEED)
+
+
+@query(
+    "h3_initialise_checkpoints",
+    """select customer_id, table_name, last_start_lsn, last_seqval from {feed_checkpoints} where customer_id not like '%7'
+    union all select customer_id, table_name, min(start_lsn), cast(null as varchar) from {change_feed} where customer_id like '%7' group by customer_id, table_name""",
+)
+def _(t: Tables) -> DataFrame:
+    known = t("feed_checkpoints").filter(~F.col("customer_id").endswith("7"))
+    return A.initialise_checkpoints(known, feed_bounds(t("change_feed"), FEED), FEED)
+
+
+_KEPT_BOUNDS = """(select customer_id, table_name, min(start_lsn) as min_lsn from {change_feed} where changed_at >= timestamp '2024-01-20 00:00:00' group by customer_id, table_name)"""
+
+
+@query(
+    "h4_retention_gaps",
+    f"""select c.customer_id, c.table_name, c.last_start_lsn, b.min_lsn from {{feed_checkpoints}} c
+    join {_KEPT_BOUNDS} b on b.customer_id = c.customer_id and b.table_name = c.table_name where c.last_start_lsn < b.min_lsn""",
+)
+def _(t: Tables) -> DataFrame:
+    kept = t("change_feed").filter(F.col("changed_at") >= moment("2024-01-20 00:00:00"))
+    return A.retention_gaps(t("feed_checkpoints"), feed_bounds(kept, FEED), FEED)
+
+
+@query(
+    "h5_bootstrap",
+    """with b as (select customer_id, max(start_lsn) as start_lsn, arg_max(seqval, start_lsn || seqval) as seqval from {change_feed} where customer_id like '%3' group by customer_id)
+    select event_id, customer_id, pk, value, start_lsn as __source_start_lsn, seqval as __source_seqval, op_code as __cdc_operation, 'mssql_cdc' as __source
+      from {change_feed} where customer_id not in (select customer_id from b)
+    union all select f.event_id, f.customer_id, f.pk, f.value * 2, b.start_lsn, b.seqval, 2, 'mssql_snapshot' from {change_feed} f join b on b.customer_id = f.customer_id""",
+)
+def _(t: Tables) -> DataFrame:
+    feed = t("change_feed")
+    target = feed.select(
+        "event_id",
+        "customer_id",
+        "pk",
+        "value",
+        F.col("start_lsn").alias("__source_start_lsn"),
+        F.col("seqval").alias("__source_seqval"),
+        F.col("op_code").alias("__cdc_operation"),
+        F.lit("mssql_cdc").alias("__source"),
+    )
+    fresh = feed.filter(F.col("customer_id").endswith("3"))
+    bounds = feed_bounds(fresh, ["customer_id"]).select(
+        "customer_id", F.col("max_lsn").alias("start_lsn"), F.col("max_seqval").alias("seqval")
+    )
+    snapshot = fresh.select("event_id", "customer_id", "pk", (F.col("value") * 2).alias("value"))
+    return A.bootstrap(target, snapshot, bounds, "customer_id", moment(), "appdb", "events")
+
+
+@query(
+    "h5_bootstrap_checkpoints",
+    """with b as (select customer_id, max(start_lsn) as l, arg_max(seqval, start_lsn || seqval) as s from {change_feed} where customer_id like '%3' group by customer_id)
+    select customer_id, table_name, last_start_lsn, last_seqval from {feed_checkpoints} where customer_id not in (select customer_id from b)
+    union all select customer_id, 'events', l, s from b""",
+)
+def _(t: Tables) -> DataFrame:
+    fresh = t("change_feed").filter(F.col("customer_id").endswith("3"))
+    bounds = feed_bounds(fresh, ["customer_id"]).select(
+        "customer_id", F.col("max_lsn").alias("start_lsn"), F.col("max_seqval").alias("seqval")
+    )
+    return A.bootstrap_checkpoints(t("feed_checkpoints"), bounds, "customer_id", "events")
+
+
+@query(
+    "h15_expire_changes",
+    """with m as (select customer_id, table_name, max(case when changed_at <= timestamp '2024-01-10 00:00:00' then start_lsn end) as mark from {change_feed} group by customer_id, table_name)
+    select f.event_id, f.customer_id, f.start_lsn from {change_feed} f join m on m.customer_id = f.customer_id and m.table_name = f.table_name
+    where mark is null or f.start_lsn >= mark""",
+)
+def _(t: Tables) -> DataFrame:
+    kept = A.expire_changes(t("change_feed"), FEED, moment("2024-02-09 00:00:00") - F.make_dt_interval(days=F.lit(30)))
+    return kept.select("event_id", "customer_id", "start_lsn")
+
+
+@query(
+    "h15_expire_changes_low_water",
+    """with m as (select customer_id, table_name, max(case when changed_at <= timestamp '2024-01-10 00:00:00' then start_lsn end) as mark from {change_feed} group by customer_id, table_name),
+    w as (select m.customer_id, m.table_name, case when mark is null then c.last_start_lsn when c.last_start_lsn is null then mark else greatest(mark, c.last_start_lsn) end as mark
+      from m left join {feed_checkpoints} c on c.customer_id = m.customer_id and c.table_name = m.table_name)
+    select f.event_id, f.customer_id, f.start_lsn from {change_feed} f join w on w.customer_id = f.customer_id and w.table_name = f.table_name
+    where mark is null or f.start_lsn >= mark""",
+)
+def _(t: Tables) -> DataFrame:
+    marks = t("feed_checkpoints").select(*FEED, F.col("last_start_lsn").alias("low_lsn"))
+    kept = A.expire_changes(t("change_feed"), FEED, moment("2024-01-10 00:00:00"), low_water=marks)
+    return kept.select("event_id", "customer_id", "start_lsn")
+
+
+_CURSOR = """select b.customer_id, b.table_name, coalesce(c.last_start_lsn, b.{lsn}) as start_lsn,
+    case when c.last_start_lsn is not null then c.last_seqval else {seq} end as seqval,
+    case when c.last_start_lsn is not null then 'checkpoint' else '{mode}' end as origin
+    from (select customer_id, table_name, min(start_lsn) as min_lsn, max(start_lsn) as max_lsn, arg_max(seqval, start_lsn || seqval) as max_seqval
+      from {{change_feed}} group by customer_id, table_name) b
+    left join (select * from {{feed_checkpoints}} where customer_id not like '%7') c on c.customer_id = b.customer_id and c.table_name = b.table_name"""
+
+
+def _cursor(t: Tables, mode: str) -> DataFrame:
+    known = t("feed_checkpoints").filter(~F.col("customer_id").endswith("7"))
+    return A.initial_cursor(feed_bounds(t("change_feed"), FEED), known, FEED, mode)
+
+
+@query("h21_initial_cursor_beginning", _CURSOR.format(lsn="min_lsn", seq="cast(null as varchar)", mode="beginning"))
+def _(t: Tables) -> DataFrame:
+    return _cursor(t, "beginning")
+
+
+@query("h21_initial_cursor_current", _CURSOR.format(lsn="max_lsn", seq="b.max_seqval", mode="current"))
+def _(t: Tables) -> DataFrame:
+    return _cursor(t, "current")
+
+
+@query(
+    "i6_dedupe_batch",
+    "select distinct on (kafka_offset, kafka_partition) kafka_offset, kafka_partition, pk from {topic_feed}",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t("topic_feed").select("kafka_offset", "kafka_partition", "pk")
+    return A.dedupe_batch(rows.unionByName(rows), ["kafka_offset", "kafka_partition"])
+
+
+SPEC = TableSpec("events", ["pk"], database="appdb")
+
+
+@query(
+    "native_pull_and_merge",
+    """with f as (select f.*, c.last_start_lsn as l, c.last_seqval as s from {change_feed} f
+      left join {feed_checkpoints} c on c.customer_id = f.customer_id and c.table_name = f.table_name),
+    p as (select * from f where op_code in (1, 2, 4) and (l is null or start_lsn > l or (start_lsn = l and (s is null or seqval > s)))),
+    w as (select * from (select *, row_number() over (partition by customer_id, pk order by start_lsn desc, seqval desc) as rn from p) where rn = 1)
+    select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)) as customer_id, c_custkey as pk, c_mktsegment as event_type, c_acctbal as value, printf('%020X', cast(1 as bigint)) as __source_start_lsn, printf('%020X', cast(0 as bigint)) as __source_seqval, 2 as __cdc_operation
+      from {customer} where not exists (select 1 from w where w.pk = c_custkey and w.customer_id = concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)))
+    union all select customer_id, pk, event_type, value, start_lsn, seqval, op_code from w where op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    target = t.sql(
+        """select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar(20))) as customer_id, c_custkey as pk, c_mktsegment as event_type,
+        c_acctbal as value, printf('%020X', 1L) as __source_start_lsn, printf('%020X', 0L) as __source_seqval, 2 as __cdc_operation from {customer}"""
+    )
+    feed = t("change_feed")
+    pulled = native.pull(feed, SPEC, t("feed_checkpoints"), native.bounds_of(feed, SPEC), moment())
+    return native.merge(target, pulled.rows, SPEC)
+
+
+@query(
+    "native_checkpoints_after_pull",
+    """select customer_id, table_name, max(start_lsn) as last_start_lsn, arg_max(seqval, start_lsn || seqval) as last_seqval
+    from {change_feed} where op_code in (1, 2, 4) group by customer_id, table_name""",
+)
+def _(t: Tables) -> DataFrame:
+    feed = t("change_feed")
+    bounds = native.bounds_of(feed, SPEC)
+    none = t("feed_checkpoints").limit(0)
+    return native.checkpoints_after(none, native.pull(feed, SPEC, none, bounds, moment()).rows)
+
+
+@query(
+    "brokered_merge",
+    """with b as (select *, split_part(topic, '.', 2) as s from (select *, row_number() over (partition by split_part(topic, '.', 2), pk
+        order by source_ts_ms desc, kafka_partition desc, kafka_offset desc) as rn from {topic_feed} where split_part(topic, '.', 5) = 'Events') where rn = 1)
+    select s as __routing_schema, pk, event_type, value, case op when 'd' then 'DELETE' when 'c' then 'INSERT' when 'u' then 'UPDATE' else 'UNKNOWN' end as __cdc_operation from b""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = derive_route(t("topic_feed"))
+    routes = rows.select(
+        F.col("__routing_schema").alias("schema_name"), F.lit("Events").alias("table_name"), F.col("__routing_schema").alias("target")
+    ).distinct()
+    flat = brokered.routed(rows, routes).select(
+        "__routing_schema",
+        "pk",
+        "event_type",
+        "value",
+        op_name("op").alias("__cdc_operation"),
+        F.col("source_ts_ms").alias("__source_ts_ms"),
+        F.col("kafka_partition").alias("__kafka_partition"),
+        F.col("kafka_offset").alias("__kafka_offset"),
+    )
+    target = flat.select("__routing_schema", "pk", "event_type", "value", "__cdc_operation").limit(0)
+    return brokered.merge(target, flat, ["__routing_schema", "pk"])

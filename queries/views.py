@@ -114,7 +114,7 @@ VIEWS["order_changes"] = """
 select l_orderkey * 2 as o_orderkey, l_suppkey as o_custkey, l_linestatus as o_orderstatus, l_extendedprice as o_totalprice,
   case l_suppkey % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as op_code,
   printf('%020X', l_partkey) as start_lsn,
-  printf('%020X', l_suppkey * 100000 + l_linenumber * 10000 + cast(l_quantity * 100 as bigint)) as seqval
+  printf('%020X', l_suppkey * 100000 + l_linenumber * 10000 + cast(floor(l_quantity * 100) as bigint)) as seqval
 from {lineitem}
 """
 
@@ -326,7 +326,7 @@ select case when o_orderkey % 2 = 0 then 'sales' else 'hr' end as schema_name, c
   o_orderkey % 3 = 0 as has_changes, o_orderkey % 7 = 0 as is_merging,
   case when o_orderkey % 5 <> 0 then o_orderdate end as last_merge_at,
   case when o_orderkey % 4 <> 0 then o_orderdate end as last_change_at,
-  o_custkey as merge_count, o_orderkey % 10 as last_merge_rows, cast(o_totalprice as bigint) as last_merge_duration_ms,
+  o_custkey as merge_count, o_orderkey % 10 as last_merge_rows, cast(floor(o_totalprice) as bigint) as last_merge_duration_ms,
   o_orderdate as created_at
 from {orders}
 """
