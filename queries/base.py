@@ -35,8 +35,9 @@ class Tables:
             return self.spark.read.parquet(self.path(name))
         return self.sql(SPARK_VIEWS.get(name) or VIEWS[name])
 
-    def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{name: self(name) for name in names_in(text)})
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
+        """A query over named tables and views; ``given`` frames replace some of them."""
+        return self.spark.sql(text, **{name: given.get(name) or self(name) for name in names_in(text)})
 
 
 def names_in(text: str) -> list[str]:

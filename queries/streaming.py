@@ -1 +1,109 @@
-"""..."""
+"""Streaming (I1-I5, I7): the given events as a stream, run until everything is consumed.
+
+Each query writes below the cluster's shared folder and reads the result back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from changefeed.operators import monitor as M
+from changefeed.plans.snapshot import SnapshotTable
+from changefeed.session import shared_dir
+from changefeed.streaming import streams as S
+from queries.base import Tables, moment, query
+from queries.monitor import _ROLLUP
+from queries.views import VIEWS
+
+
+def _stream(t: Tables, view: str) -> DataFrame:
+    events = S.stream_changes(t.spark, t.path("events"), t("events").schema)
+    return t.sql(VIEWS[view], events=events)
+
+
+def _emitted(t: Tables, stream: DataFrame, mode: str = "append") -> str:
+    root = shared_dir(t.spark, "stream")
+    S.stream_to_files(stream, f"{root}/out", f"{root}/state", mode).awaitTermination()
+    return f"{root}/out"
+
+
+@query("i1_stream_changes", "select event_id, op_code, start_lsn, seqval from {change_feed} where op_code <> 3")
+def _(t: Tables) -> DataFrame:
+    rows = _stream(t, "change_feed").filter(F.col("op_code") != 3).select("event_id", "op_code", "start_lsn", "seqval")
+    return t.spark.read.parquet(_emitted(t, rows) + "/batch_*").drop("__batch")
+
+
+def _applied(t: Tables) -> SnapshotTable:
+    root = shared_dir(t.spark, "target")
+    columns = ["pk", "customer_id", "event_type", "value", "start_lsn", "seqval"]
+    feed = _stream(t, "change_feed")
+    table = SnapshotTable(t.spark, f"{root}/table", feed.select(*columns).schema, ["pk"], buckets=16)
+
+    def log(batch: DataFrame) -> DataFrame:
+        counts = batch.groupBy("customer_id", "table_name").agg(F.count("*").alias("records_processed"))
+        return counts.withColumn("processed_at", moment())
+
+    S.stream_apply(
+        feed, table, f"{root}/state", feed=["customer_id", "table_name"], log=log, period=None
+    ).awaitTermination()
+    return table
+
+
+@query(
+    "i3_stream_apply",
+    """select pk, customer_id, event_type, value, start_lsn, seqval from
+    (select *, row_number() over (partition by pk order by start_lsn desc, seqval desc) as rn from {change_feed} where op_code in (1, 2, 4)) where rn = 1 and op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return _applied(t).read()
+
+
+@query(
+    "i2_stream_checkpoints",
+    """select customer_id, table_name, max(start_lsn) as last_start_lsn, arg_max(seqval, start_lsn || seqval) as last_seqval from {change_feed} group by customer_id, table_name""",
+)
+def _(t: Tables) -> DataFrame:
+    return _applied(t).checkpoints()
+
+
+@query("h13_stream_log", "select customer_id, table_name, count(*) as records_processed from {change_feed} group by customer_id, table_name")
+def _(t: Tables) -> DataFrame:
+    return _applied(t).log().drop("processed_at")
+
+
+@query(
+    "i4_debounced_merges",
+    """select schema_name, table_name from {merge_control} where has_changes and not is_merging and last_change_at < timestamp '1999-06-01 00:00:00' - interval 5 second""",
+)
+def _(t: Tables) -> DataFrame:
+    return M.pending_merges(t("merge_control"), moment("1999-06-01 00:00:00")).select("schema_name", "table_name")
+
+
+@query("i5_stream_rollup", _ROLLUP)
+def _(t: Tables) -> DataFrame:
+    # The whole log arrives at once, so hours before the watermark of a later batch are not late.
+    rolled = S.stream_rollup(_stream(t, "pull_log"), 900)
+    keys = ["source_instance_key", "logical_table_name", "bucket_start"]
+    out = S.latest_output(t.spark, _emitted(t, rolled, "update"), keys)
+    plain = {c: F.col(c).cast("timestamp_ntz") for c in ("bucket_start", "last_nonempty_at")}
+    return out.withColumns(plain)
+
+
+@query("i6_dedupe_stream", "select event_id, pk, event_type from {change_feed}")
+def _(t: Tables) -> DataFrame:
+    feed = _stream(t, "change_feed").select("event_id", "pk", "event_type", "changed_at")
+    twice = feed.unionByName(_stream(t, "change_feed").select("event_id", "pk", "event_type", "changed_at"))
+    rows = S.dedupe_stream(twice, ["event_id"], "changed_at").drop("changed_at")
+    return t.spark.read.parquet(_emitted(t, rows) + "/batch_*").drop("__batch")
+
+
+@query(
+    "i7_latest_state",
+    """select pk, event_id, op_code, value from (select *, row_number() over (partition by pk order by start_lsn desc, seqval desc) as rn from {change_feed}) where rn = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    feed = _stream(t, "change_feed").select("pk", "event_id", "op_code", "value", "start_lsn", "seqval")
+    latest = S.latest_state(feed, ["pk"], ["start_lsn", "seqval"])
+    out = S.latest_output(t.spark, _emitted(t, latest, "update"), ["pk"])
+    return out.select("pk", "event_id", "op_code", "value")
