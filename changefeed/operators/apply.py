@@ -2,8 +2,7 @@
 
 Every function maps DataFrames to a DataFrame. A batch is reduced to one row per key by a
 partial aggregate before anything is joined, so a key with very many changes never gathers
-in one task. Joins carry no hints: a small batch is broadcast by adaptive execution, which
-leaves the target unshuffled, and a large one is merged by key with hot partitions split.
+in one task. Joins carry no hints; see ``apply_changes`` for how a batch meets its target.
 """
 
 from __future__ import annotations
@@ -17,6 +16,9 @@ from changefeed.functions.expressions import position_struct
 from changefeed.operators.columns import stamp_metadata
 from changefeed.spec import APPLIED_OPS, OP_DELETE, Position
 
+# A batch whose estimate is below this share of its target is merged as a small one.
+SMALL_BATCH_SHARE = 0.1
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The row with the highest ``order`` per key.
@@ -47,6 +49,63 @@ def delete_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Dat
     return target.join(batch.select(*keys), list(keys), "left_anti")
 
 
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a frame; none where the session cannot tell."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
+def _winners(changes: DataFrame, keys: list[str], order: Sequence[str], op: str, delete_order: str) -> DataFrame:
+    """One row per key: its last change, or its delete if any delete is to win."""
+    if delete_order == "last":
+        return latest_per_key(changes, keys, order)
+    rest = [c for c in changes.columns if c not in keys]
+    rank = F.struct(*[F.col(o) for o in order])
+    is_delete = F.col(op) == OP_DELETE
+    found = changes.groupBy(*keys).agg(
+        F.max_by(F.struct(*[F.col(c) for c in rest]), F.when(~is_delete, rank)).alias("__best"),
+        F.max(F.when(is_delete, F.lit(OP_DELETE))).alias("__deleted"),
+    )
+    spread = found.select(*keys, "__best.*", "__deleted")
+    return spread.withColumn(op, F.coalesce(F.col("__deleted"), F.col(op))).drop("__deleted")
+
+
+def _merge_small(target: DataFrame, last: DataFrame, keys: list[str], stale: Column | None, stored: dict[str, str], removes: Column) -> DataFrame:
+    """Anti join and union: a batch that fits in memory is broadcast and the target not shuffled."""
+    if stale is not None:
+        current = target.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in stored])
+        incoming = last.select(*keys, *[F.col(o).alias(f"__new_{o}") for o in stored.values()])
+        last = last.join(current.join(incoming, keys).filter(stale).select(*keys), keys, "left_anti")
+    survivors = target.join(last.select(*keys), keys, "left_anti")
+    arriving = last.filter(~removes)
+    columns = [
+        (F.col(c) if c in arriving.columns else F.lit(None).cast(target.schema[c].dataType)).alias(c) for c in target.columns
+    ]
+    return survivors.unionByName(arriving.select(*columns))
+
+
+def _merge_large(target: DataFrame, last: DataFrame, keys: list[str], stale: Column | None, stored: dict[str, str], removes: Column) -> DataFrame:
+    """One full outer join by key: both sides are read and shuffled once."""
+    removed = last.withColumn("__removes", removes)
+    new = removed.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in removed.columns if c not in keys], F.lit(True).alias("__new"))
+    old = target.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in target.columns if c not in keys], F.lit(True).alias("__old"))
+    j = old.join(new, keys, "full_outer")
+    applies = F.col("__new").isNotNull()
+    if stale is not None:
+        applies = applies & ~(F.col("__old").isNotNull() & F.coalesce(stale, F.lit(False)))
+    kept = F.when(applies, ~F.col("__new___removes")).otherwise(F.col("__old").isNotNull())
+
+    def value(c: str) -> Column:
+        if c in keys:
+            return F.col(c)
+        fresh = F.col(f"__new_{c}") if c in last.columns else F.lit(None)
+        return F.when(applies, fresh).otherwise(F.col(f"__old_{c}"))
+
+    return j.filter(kept).select(*[value(c).alias(c) for c in target.columns])
+
+
 def apply_changes(
     target: DataFrame,
     batch: DataFrame,
@@ -57,6 +116,7 @@ def apply_changes(
     delete_order: str = "last",
     guard: bool = False,
     target_order: Sequence[str] | None = None,
+    batch_size: str = "auto",
 ) -> DataFrame:
     """The target after a batch of changes.
 
@@ -67,52 +127,38 @@ def apply_changes(
     batch, even one inserted again later. ``guard`` ignores changes that are not newer than
     the stored row, whose position is in ``target_order``; a replayed batch then changes
     nothing.
+
+    ``batch_size`` picks the join. ``small`` leaves the target where it is and may read the
+    batch several times: adaptive execution broadcasts the batch if it measures it small
+    enough. ``large`` shuffles target and batch once. ``auto`` compares the optimizer's size
+    estimates; all give the same rows.
     """
     if mode not in ("hard", "soft"):
         raise ValueError(f"mode must be 'hard' or 'soft', not {mode!r}")
     if delete_order not in ("last", "any"):
         raise ValueError(f"delete_order must be 'last' or 'any', not {delete_order!r}")
+    if batch_size not in ("auto", "small", "large"):
+        raise ValueError(f"batch_size must be 'auto', 'small' or 'large', not {batch_size!r}")
     keys = list(keys)
-    kept_columns = dict.fromkeys([*keys, *[c for c in target.columns if c in batch.columns], *order, op])
-    changes = batch.select(*kept_columns)
+    needed = dict.fromkeys([*keys, *[c for c in target.columns if c in batch.columns], *order, op])
+    changes = batch.select(*needed)
     if mode == "hard":
         changes = changes.filter(F.col(op).isin(*APPLIED_OPS))
-    if mode == "hard" and delete_order == "any":
-        # One aggregate answers both questions: the last upsert, and whether any delete occurred.
-        rest = [c for c in changes.columns if c not in keys]
-        rank = F.struct(*[F.col(o) for o in order])
-        is_delete = F.col(op) == OP_DELETE
-        last = (
-            changes.groupBy(*keys)
-            .agg(
-                F.max_by(F.struct(*[F.col(c) for c in rest]), F.when(~is_delete, rank)).alias("__best"),
-                F.max(F.when(is_delete, F.lit(OP_DELETE))).alias("__deleted"),
-            )
-            .select(*keys, "__best.*", "__deleted")
-            .withColumn(op, F.coalesce(F.col("__deleted"), F.col(op)))
-            .drop("__deleted")
-        )
-    else:
-        last = latest_per_key(changes, keys, order)
+    last = _winners(changes, keys, order, op, delete_order if mode == "hard" else "last")
 
+    stored = dict(zip(target_order or order, order))
+    stale = None
     if guard:
-        stored = list(target_order or order)
-        newest = F.struct(*[F.col(f"__new_{i}") for i in range(len(stored))])
-        current = F.struct(*[F.col(c).alias(f"__new_{i}") for i, c in enumerate(stored)])
-        incoming = last.select(*keys, *[F.col(o).alias(f"__new_{i}") for i, o in enumerate(order)])
-        stale = (
-            target.select(*keys, *[c for c in stored if c not in keys])
-            .join(incoming, keys)
-            .filter(current >= newest)
-            .select(*keys)
-        )
-        last = last.join(stale, keys, "left_anti")
-
-    survivors = target.join(last.select(*keys), keys, "left_anti")
-    arriving = last if mode == "soft" else last.filter(F.col(op) != OP_DELETE)
-    missing = [c for c in target.columns if c not in arriving.columns]
-    arriving = arriving.withColumns({c: F.lit(None).cast(target.schema[c].dataType) for c in missing})
-    return survivors.unionByName(arriving.select(*target.columns))
+        current = F.struct(*[F.col(f"__old_{c}").alias(f"p{i}") for i, c in enumerate(stored)])
+        newest = F.struct(*[F.col(f"__new_{o}").alias(f"p{i}") for i, o in enumerate(stored.values())])
+        stale = current >= newest
+    removes = F.col(op) == OP_DELETE if mode == "hard" else F.lit(False)
+    if batch_size == "auto":
+        ours, theirs = _estimated_bytes(batch), _estimated_bytes(target)
+        small = ours is None or theirs is None or ours < theirs * SMALL_BATCH_SHARE
+        batch_size = "small" if small else "large"
+    merge = _merge_small if batch_size == "small" else _merge_large
+    return merge(target, last, keys, stale, stored, removes)
 
 
 def advance_checkpoints(

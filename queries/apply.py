@@ -52,12 +52,12 @@ _LAST = """(select * from (select *, row_number() over (partition by o_orderkey
   from {order_changes} where op_code in (1, 2, 4)) where rn = 1)"""
 
 
-@query(
-    "h1_apply_changes_hard",
-    f"""with b as {_LAST}
+QUERY_H1 = f"""with b as {_LAST}
     select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from {{order_target}} t where not exists (select 1 from b where b.o_orderkey = t.o_orderkey)
-    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1""",
-)
+    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1"""
+
+
+@query("h1_apply_changes_hard", QUERY_H1)
 def _(t: Tables) -> DataFrame:
     return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"])
 
@@ -75,13 +75,13 @@ def _(t: Tables) -> DataFrame:
     return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], delete_order="any")
 
 
-@query(
-    "h16_apply_changes_guarded",
-    f"""with b as (select b.* from {_LAST} b left join {{order_target}} t on t.o_orderkey = b.o_orderkey
+QUERY_H16 = f"""with b as (select b.* from {_LAST} b left join {{order_target}} t on t.o_orderkey = b.o_orderkey
       where t.o_orderkey is null or b.start_lsn > t.start_lsn or (b.start_lsn = t.start_lsn and b.seqval > t.seqval))
     select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from {{order_target}} t where not exists (select 1 from b where b.o_orderkey = t.o_orderkey)
-    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1""",
-)
+    union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1"""
+
+
+@query("h16_apply_changes_guarded", QUERY_H16)
 def _(t: Tables) -> DataFrame:
     return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], guard=True)
 
@@ -253,14 +253,14 @@ SPEC = TableSpec("events", ["pk"], database="appdb")
       left join {feed_checkpoints} c on c.customer_id = f.customer_id and c.table_name = f.table_name),
     p as (select * from f where op_code in (1, 2, 4) and (l is null or start_lsn > l or (start_lsn = l and (s is null or seqval > s)))),
     w as (select * from (select *, row_number() over (partition by customer_id, pk order by start_lsn desc, seqval desc) as rn from p) where rn = 1)
-    select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)) as customer_id, c_custkey as pk, c_mktsegment as event_type, c_acctbal as value, printf('%020X', cast(1 as bigint)) as __source_start_lsn, printf('%020X', cast(0 as bigint)) as __source_seqval, 2 as __cdc_operation
+    select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)) as customer_id, c_custkey as pk, c_mktsegment as event_type, c_acctbal as value, lpad(hex(cast(1 as bigint)), 20, '0') as __source_start_lsn, lpad(hex(cast(0 as bigint)), 20, '0') as __source_seqval, 2 as __cdc_operation
       from {customer} where not exists (select 1 from w where w.pk = c_custkey and w.customer_id = concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)))
     union all select customer_id, pk, event_type, value, start_lsn, seqval, op_code from w where op_code <> 1""",
 )
 def _(t: Tables) -> DataFrame:
     target = t.sql(
         """select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar(20))) as customer_id, c_custkey as pk, c_mktsegment as event_type,
-        c_acctbal as value, printf('%020X', 1L) as __source_start_lsn, printf('%020X', 0L) as __source_seqval, 2 as __cdc_operation from {customer}"""
+        c_acctbal as value, lpad(hex(1L), 20, '0') as __source_start_lsn, lpad(hex(0L), 20, '0') as __source_seqval, 2 as __cdc_operation from {customer}"""
     )
     feed = t("change_feed")
     pulled = native.pull(feed, SPEC, t("feed_checkpoints"), native.bounds_of(feed, SPEC), moment())
@@ -302,3 +302,13 @@ def _(t: Tables) -> DataFrame:
     )
     target = flat.select("__routing_schema", "pk", "event_type", "value", "__cdc_operation").limit(0)
     return brokered.merge(target, flat, ["__routing_schema", "pk"])
+
+
+@query("h1_apply_changes_small_batch", QUERY_H1)
+def _(t: Tables) -> DataFrame:
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], batch_size="small")
+
+
+@query("h16_apply_changes_guarded_small_batch", QUERY_H16)
+def _(t: Tables) -> DataFrame:
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], guard=True, batch_size="small")

@@ -16,8 +16,8 @@ VIEWS["change_feed"] = """
 select event_id, user_id as pk, concat('tenant', cast(cast(floor(user_id / 10) as bigint) as varchar(20))) as customer_id,
   'events' as table_name,
   case event_id % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as op_code,
-  printf('%020X', cast(floor(event_id / 3) as bigint) + 1) as start_lsn,
-  printf('%020X', event_id % 3) as seqval,
+  lpad(hex(cast(floor(event_id / 3) as bigint) + 1), 20, '0') as start_lsn,
+  lpad(hex(event_id % 3), 20, '0') as seqval,
   ts as changed_at, event_type, value, props
 from {events}
 """
@@ -34,8 +34,8 @@ from {events}
 
 VIEWS["feed_checkpoints"] = """
 select concat('tenant', cast(tenant_no as varchar(20))) as customer_id, 'events' as table_name,
-  printf('%020X', mid) as last_start_lsn,
-  case when tenant_no % 3 = 0 then cast(null as varchar(20)) else printf('%020X', cast(1 as bigint)) end as last_seqval
+  lpad(hex(mid), 20, '0') as last_start_lsn,
+  case when tenant_no % 3 = 0 then cast(null as varchar(20)) else lpad(hex(cast(1 as bigint)), 20, '0') end as last_seqval
 from (select cast(floor(user_id / 10) as bigint) as tenant_no,
              cast(floor(avg(event_id) / 3) as bigint) + 1 as mid
       from {events} group by cast(floor(user_id / 10) as bigint)) x
@@ -62,8 +62,8 @@ select 'events' as table_name,
   min(event_id + gap) as min_kafka_offset, max(event_id + gap) as max_kafka_offset,
   count(*) as records_processed,
   case when batch_no % 23 = 5 then cast(null as bigint) else 1704067200000 + max(event_id) * 60000 end as max_source_ts_ms,
-  printf('%020X', case when batch_no % 7 = 3 then batch_no - 2 else batch_no end) as start_lsn,
-  printf('%020X', batch_no % 2) as seqval,
+  lpad(hex(case when batch_no % 7 = 3 then batch_no - 2 else batch_no end), 20, '0') as start_lsn,
+  lpad(hex(batch_no % 2), 20, '0') as seqval,
   max(ts) as processed_at
 from (select cast(floor(event_id / 50) as bigint) as batch_no, cast(floor(event_id / 2500) as bigint) as tenant_no,
              cast(floor(event_id / 400) as bigint) * 50 as gap, event_id, ts
@@ -106,15 +106,15 @@ from {lineitem}
 
 VIEWS["order_target"] = """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-  printf('%020X', o_custkey) as start_lsn, printf('%020X', o_orderkey % 10) as seqval
+  lpad(hex(o_custkey), 20, '0') as start_lsn, lpad(hex(o_orderkey % 10), 20, '0') as seqval
 from {orders}
 """
 
 VIEWS["order_changes"] = """
 select l_orderkey * 2 as o_orderkey, l_suppkey as o_custkey, l_linestatus as o_orderstatus, l_extendedprice as o_totalprice,
   case l_suppkey % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as op_code,
-  printf('%020X', l_partkey) as start_lsn,
-  printf('%020X', l_suppkey * 100000 + l_linenumber * 10000 + cast(floor(l_quantity * 100) as bigint)) as seqval
+  lpad(hex(l_partkey), 20, '0') as start_lsn,
+  lpad(hex(l_suppkey * 100000 + l_linenumber * 10000 + cast(floor(l_quantity * 100) as bigint)), 20, '0') as seqval
 from {lineitem}
 """
 
@@ -311,8 +311,8 @@ SPARK_VIEWS["bootstrap_states"] = VIEWS["bootstrap_states"].replace("as timestam
 VIEWS["registry_checkpoints"] = """
 select concat('id-', cast(cast(floor(c_custkey / 10) as bigint) as varchar(20))) as customer_id,
   concat('tbl_', cast(c_custkey % 10 as varchar(10)), case when c_custkey % 8 = 5 then '_old' else '' end) as table_name,
-  printf('%020X', c_custkey + 1) as last_start_lsn,
-  case when c_custkey % 2 = 0 then printf('%020X', cast(1 as bigint)) else cast(null as varchar(20)) end as last_seqval
+  lpad(hex(c_custkey + 1), 20, '0') as last_start_lsn,
+  case when c_custkey % 2 = 0 then lpad(hex(cast(1 as bigint)), 20, '0') else cast(null as varchar(20)) end as last_seqval
 from {customer}
 """
 
