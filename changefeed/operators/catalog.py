@@ -279,7 +279,7 @@ def target_schema(
     wanted += [(n, t, n != "__sync_timestamp") for n, t in metadata.items()]
     fields: dict[str, T.StructField] = {}
     for name, type_name, nullable in wanted:
-        fields.setdefault(name.casefold(), T.StructField(name, T._parse_datatype_string(type_name), nullable))
+        fields.setdefault(name.casefold(), T.StructField(name, T.DataType.fromDDL(type_name), nullable))
     return T.StructType(list(fields.values()))
 
 

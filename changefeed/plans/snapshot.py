@@ -28,10 +28,11 @@ BUCKET = "__bucket"
 class SnapshotTable:
     """A target table under one folder of the shared file system."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, keys: Sequence[str], buckets: int = 64) -> None:
         if not 1 <= buckets <= 4096:
             raise ValueError("buckets must lie between 1 and 4096")
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.spark, self.root = spark, root.rstrip("/")
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.keys, self.buckets = list(keys), buckets
         self.files = SharedFiles(spark, root)
 

@@ -21,7 +21,7 @@ SINK_PERIOD = "5 seconds"
 # --- End of fixed values ----------------------------------------------------
 
 
-def stream_changes(spark: SparkSession, path: str, schema: T.StructType, max_per_trigger: int = 100, fmt: str = "parquet") -> DataFrame:
+def stream_changes(spark: SparkSession, path: str, schema: T.StructType | str, max_per_trigger: int = 100, fmt: str = "parquet") -> DataFrame:
     """A change feed that is polled as files arrive, at most so many files per batch.
 
     ``path`` may be a folder or one file.

@@ -139,7 +139,7 @@ VIEWS["db_names"] = """
 select c_custkey as ord,
   concat('svc', cast(c_nationkey as varchar(10)), 'n', cast(c_custkey as varchar(20)),
     case c_custkey % 6 when 0 then '_db_prod_special' when 1 then '_dev' when 2 then '' when 3 then '_db_directory_test'
-      when 4 then '_prod' else ' Opus' end) as db_name,
+      when 4 then '_prod' else ' Shop' end) as db_name,
   case when c_custkey % 2 = 0 then 'default' else 'prod' end as server
 from {customer}
 """

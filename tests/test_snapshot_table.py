@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from changefeed.plans.snapshot import SnapshotTable
+from changefeed.session import shared_dir
+from tests.conftest import rows
+from tests.test_apply import BATCH, TARGET, changes, model
+
+
+@pytest.fixture
+def table(spark, tmp_path):  # noqa: ANN001, ANN201
+    return SnapshotTable(spark, str(tmp_path / "t"), TARGET, ["k"], buckets=8)
+
+
+def batch(spark, data):  # noqa: ANN001, ANN201
+    return spark.createDataFrame(data, BATCH)
+
+
+def test_an_empty_table_reads_as_no_rows(table):
+    assert table.read().count() == 0
+    assert table.log() is None
+
+
+@pytest.mark.parametrize("guard", [False, True])
+def test_merges_equal_the_model(spark, table, guard):
+    data = sorted(changes(150, 30, 5), key=lambda r: (r[3], r[4]))
+    for i in range(3):
+        assert table.merge(batch(spark, data[i * 50 : (i + 1) * 50]), i, guard=guard)
+    assert {r.k: tuple(r)[1:] for r in table.read().collect()} == model({}, data)
+
+
+def test_a_repeated_batch_is_skipped(spark, table):
+    one = batch(spark, [(1, "a", 2, "01", "00")])
+    assert table.merge(one, 0)
+    assert not table.merge(batch(spark, [(1, "b", 4, "02", "00")]), 0)
+    assert rows(table.read(), "k", "v") == [(1, "a")]
+
+
+def test_an_uncommitted_version_is_not_seen_and_is_overwritten(spark, table):
+    table.merge(batch(spark, [(1, "a", 2, "01", "00")]), 0)
+    # What a crash before the commit leaves behind.
+    junk = spark.createDataFrame([(9, "junk", "09", "00")], TARGET).withColumn("__bucket", F.lit(1))
+    junk.write.partitionBy("__bucket").parquet(f"{table.root}/data/v2")
+    assert rows(table.read(), "k") == [(1,)]
+    table.merge(batch(spark, [(2, "b", 2, "02", "00")]), 1)
+    assert rows(table.read(), "k") == [(1,), (2,)]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, table):
+    table.load(spark.createDataFrame([(i, f"v{i}", "00", "00") for i in range(40)], TARGET))
+    before = table.pointer()["buckets"]
+    table.merge(batch(spark, [(3, "new", 4, "01", "00")]), 0)
+    after = table.pointer()["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert table.read().count() == 40
+
+
+def test_a_bucket_whose_rows_are_all_deleted_disappears(spark, table):
+    table.merge(batch(spark, [(1, "a", 2, "01", "00")]), 0)
+    table.merge(batch(spark, [(1, "a", 1, "02", "00")]), 1)
+    assert table.pointer()["buckets"] == {}
+    assert table.read().count() == 0
+
+
+def test_checkpoints_and_log_are_part_of_the_commit(spark, table):
+    def log(b):  # noqa: ANN001, ANN202
+        return b.agg(F.count("*").alias("records_processed"))
+
+    feed = spark.createDataFrame([(1, "a", 2, "01", "00", "t"), (2, "b", 2, "03", "00", "t")], BATCH + ", tenant string")
+    table.merge(feed, 0, feed=["tenant"], log=log)
+    table.merge(feed.withColumn("start_lsn", F.lit("02")), 1, feed=["tenant"], log=log)
+    assert rows(table.checkpoints()) == [("t", "03", "00")]
+    assert rows(table.log()) == [(2,), (2,)]
+
+
+def test_two_writers_cannot_commit_the_same_version(spark, table):
+    state = table.pointer()
+    table.merge(batch(spark, [(1, "a", 2, "01", "00")]), 0)
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.commit([0], table.read(), 1, pointer=state)
+
+
+def test_vacuum_deletes_only_what_no_recent_commit_needs(spark, table):
+    for i in range(4):
+        table.merge(batch(spark, [(1, f"v{i}", 4, f"0{i}", "00")]), i)
+    gone = table.vacuum(keep=2)
+    assert len(gone) == 2
+    assert rows(table.read(), "k", "v") == [(1, "v3")]
+    commits = sorted(table.files.names("_commits"))
+    assert json.loads(table.files.read(f"_commits/{commits[-1]}"))["version"] == 4
+
+
+class Conf(dict):
+    """Stands in for a session, of which only ``conf.get`` is used."""
+
+    @property
+    def conf(self) -> Conf:
+        return self
+
+
+def test_shared_dir_follows_the_session(tmp_path):
+    assert shared_dir(Conf({"spark.checkpoint.dir": f"{tmp_path}/"}), "x").startswith(f"{tmp_path}/x-")
+    assert "changefeed-" in shared_dir(Conf(), "x")
+    assert shared_dir(Conf(), "x") != shared_dir(Conf(), "x")
