@@ -407,13 +407,16 @@ def feed_status(pulls: DataFrame, policy: DataFrame, retry_seconds: int = DEFAUL
     through a feed's log: the first finds the resets, the second counts what came after, so
     one busy feed is spread over all tasks. Equal times are ordered by ``pull_id``.
     """
-    at = F.struct(F.col("pulled_at").alias("at"), F.col("pull_id").alias("id"))
+    at = F.struct("pulled_at", "pull_id")
     ok = ~F.col("failed")
+    nonempty = ok & (F.col("rows_pulled") > 0)
     marks = pulls.groupBy(*FEED).agg(
         F.max(F.when(ok, at)).alias("__ok"),
-        F.max(F.when(ok & (F.col("rows_pulled") > 0), at)).alias("__full"),
-        F.max_by(F.struct(F.col("failed"), F.col("rows_pulled")), at).alias("__last"),
+        F.max(F.when(nonempty, at)).alias("__full"),
+        F.max_by("failed", at).alias("__failed"),
         F.max("pulled_at").alias("last_pull_at"),
+        F.max(F.when(ok, F.col("pulled_at"))).alias("last_success_at"),
+        F.max(F.when(nonempty, F.col("pulled_at"))).alias("last_nonempty_at"),
         F.max_by(F.when(ok, F.col("rows_pulled")), F.when(ok, at)).alias("last_batch_rows"),
     )
     after_ok = F.col("__ok").isNull() | (at > F.col("__ok"))
@@ -427,15 +430,15 @@ def feed_status(pulls: DataFrame, policy: DataFrame, retry_seconds: int = DEFAUL
         )
     )
     interval = F.coalesce("base_poll_interval_seconds", F.lit(DEFAULT_INTERVAL_SECONDS))
-    wait = F.when(F.col("__last.failed"), F.greatest(F.lit(retry_seconds), interval)).otherwise(interval)
+    wait = F.when(F.col("__failed"), F.greatest(F.lit(retry_seconds), interval)).otherwise(interval)
     return (
         marks.join(streaks, FEED)
         .join(policy.select(*FEED, "base_poll_interval_seconds"), FEED, "left")
         .select(
             *FEED,
             "last_pull_at",
-            F.col("__ok.at").alias("last_success_at"),
-            F.col("__full.at").alias("last_nonempty_at"),
+            "last_success_at",
+            "last_nonempty_at",
             "last_batch_rows",
             "empty_pull_streak",
             "consecutive_failures",
