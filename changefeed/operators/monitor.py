@@ -283,13 +283,14 @@ def latency_percentiles(
         .agg(F.count("*").alias("n"), F.max("v").alias("top"))
         .withColumns({"end": F.sum("n").over(upto), "total": F.sum("n").over(in_table), "top": F.max("top").over(in_table)})
     )
-    # Ranks count from 0; a percentile lies between the ranks around (total - 1) * p.
+    # Ranks count from 0; a percentile lies between the two ranks around (total - 1) * p.
     ranks = []
     for name, p in percents.items():
         at = (F.col("total") - 1) * F.lit(p)
-        for rank, weight in ((F.floor(at), F.floor(at) + 1 - at), (F.floor(at) + 1, at - F.floor(at))):
-            kept = F.least(rank, F.col("total") - 1).cast("bigint")
-            ranks.append(F.struct(F.lit(name).alias("name"), kept.alias("rank"), weight.alias("weight")))
+        low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)
+        for side, rank in (("low", low), ("high", high)):
+            parts = {"name": F.lit(name), "side": F.lit(side), "rank": rank.cast("bigint"), "share": at - low}
+            ranks.append(F.struct(*[c.alias(n) for n, c in parts.items()]))
     wanted = (
         buckets.select("table_name", "b", "total", "top", (F.col("end") - F.col("n")).alias("start"), "end", F.inline(F.array(*ranks)))
         .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
@@ -304,12 +305,17 @@ def latency_percentiles(
     )
     hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m"))
     picked = wanted.join(values, ["table_name", "b"]).filter(hit)
-    share = F.col("v") * F.col("weight")
+
+    def interpolated(name: str) -> Column:
+        low, high = (F.max(F.when((F.col("name") == name) & (F.col("side") == x), F.col("v"))) for x in ("low", "high"))
+        share = F.max(F.when(F.col("name") == name, F.col("share")))
+        return F.round(low + (high - low) * share, 1).alias(name)
+
     return (
         picked.groupBy("table_name")
         .agg(
             F.max("total").alias("events"),
-            *[F.round(F.sum(F.when(F.col("name") == n, share)), 1).alias(n) for n in percents],
+            *[interpolated(n) for n in percents],
             F.round(F.max("top"), 1).alias("max_ms"),
         )
         .orderBy(F.desc("p95_ms") if "p95_ms" in percents else F.desc("max_ms"))
