@@ -60,6 +60,12 @@ def merge_inventory(existing: DataFrame, scanned: DataFrame, servers: Sequence[s
     return fresh.unionByName(preserved.select(*existing.columns))
 
 
+def merge_schemas(existing: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Schemas per service known before or found by a scan: (service, schema_name)."""
+    both = existing.select("service", "schema_name").unionByName(scanned.select("service", "schema_name"))
+    return both.filter(F.coalesce(F.trim("schema_name"), F.lit("")) != "").distinct()
+
+
 def inventory_stats(databases: DataFrame) -> DataFrame:
     """Databases, tables and whole average tables: for all, and per non-blank environment."""
     per_env = databases.groupBy(blank_to_null("environment").alias("environment")).agg(

@@ -223,6 +223,20 @@ def feed_sizes(feeds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return feeds.groupBy(*keys).agg(F.count("*").alias("row_count")).withColumn("level", level).orderBy(F.desc("row_count"))
 
 
+def stamp_trace(df: DataFrame, stage: str, at: Column, trace_id: Column | None = None) -> DataFrame:
+    """Add the time a row passed a stage; the first stamp of a stage stays.
+
+    ``trace_id`` names rows that have no trace yet.
+    """
+    if stage not in TRACE_TIMES:
+        raise ValueError(f"unknown stage {stage!r}; known: {', '.join(TRACE_TIMES)}")
+    stamped = df.withColumn(stage, F.coalesce(F.col(stage), at) if stage in df.columns else at)
+    if trace_id is not None:
+        known = "trace_id" in df.columns
+        stamped = stamped.withColumn("trace_id", F.coalesce(F.col("trace_id"), trace_id) if known else trace_id)
+    return stamped
+
+
 def trace_lags(df: DataFrame) -> DataFrame:
     """Milliseconds between the six trace times, and in total."""
     steps = {

@@ -399,6 +399,72 @@ def sync_runtime(policy: DataFrame, runtime: DataFrame, now: Column) -> DataFram
     )
 
 
+def sync_registrations(
+    reg: DataFrame,
+    policy: DataFrame,
+    runtime: DataFrame,
+    instances: DataFrame,
+    customers: DataFrame,
+    tiers: DataFrame,
+    bootstrap: DataFrame,
+    checkpoints: DataFrame,
+    now: Column,
+) -> dict[str, DataFrame]:
+    """Everything a registration needs, after a sync: policy, tier, runtime and bootstrap state.
+
+    The stored policies with their gaps filled are the desired ones; registrations without a
+    policy get the defaults.
+    """
+    filled = fill_tier_defaults(policy)
+    settings = [c for c in filled.columns if c not in (*FEED, "config_version")]
+    fresh = resolve_policy(reg, policy).join(policy.select(*FEED), FEED, "left_anti")
+    desired = filled.select(*FEED, *settings).unionByName(fresh.select(*FEED, *settings))
+    live = desired.join(reg.select(*FEED), FEED, "left_semi")
+    return {
+        "policy": sync_policies(reg, policy, desired),
+        "tier": sync_tiers(live, tiers),
+        "runtime": sync_runtime(live, runtime, now),
+        "bootstrap": sync_bootstrap(reg, bootstrap, instances, customers, checkpoints),
+    }
+
+
+def record_bootstrap(states: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Bootstrap states after some runs: completed, or failed with an error; others unchanged.
+
+    ``results``: the feed, rows_loaded, start_lsn, seqval and error (null for success). A
+    success clears the failure before it, a failure keeps what the last success recorded.
+    """
+    ran = results.select(*FEED, F.struct("rows_loaded", "start_lsn", "seqval", "error").alias("__run"))
+    j = states.join(ran, FEED, "full_outer")
+    happened, failed = F.col("__run").isNotNull(), F.col("__run.error").isNotNull()
+    done = happened & ~failed
+
+    def on_success(column: str, value: Column) -> Column:
+        return F.when(done, value).otherwise(F.col(column)).alias(column)
+
+    return j.select(
+        *FEED,
+        F.when(done, "completed").when(failed, "failed").otherwise(F.col("bootstrap_status")).alias("bootstrap_status"),
+        "last_started_at",
+        on_success("last_completed_at", now),
+        F.when(failed, now).when(done, F.lit(None)).otherwise(F.col("last_failed_at")).alias("last_failed_at"),
+        on_success("last_rows_loaded", F.col("__run.rows_loaded")),
+        on_success("last_captured_start_lsn", F.col("__run.start_lsn")),
+        on_success("last_captured_seqval", F.col("__run.seqval")),
+        F.when(happened, F.col("__run.error")).otherwise(F.col("last_error")).alias("last_error"),
+    )
+
+
+def enable_feeds(df: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Registrations or policies with the given feeds enabled; a policy's version rises by one."""
+    chosen = feeds.select(*FEED).distinct().withColumn("__on", F.lit(True))
+    on = F.coalesce("__on", F.lit(False))
+    changed = {"enabled": on | F.col("enabled")}
+    if "config_version" in df.columns:
+        changed["config_version"] = F.when(on, F.col("config_version") + 1).otherwise(F.col("config_version"))
+    return df.join(chosen, FEED, "left").select(*[changed.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
 def feed_status(pulls: DataFrame, policy: DataFrame, retry_seconds: int = DEFAULT_RETRY_SECONDS) -> DataFrame:
     """Where each feed stands after its pulls.
 

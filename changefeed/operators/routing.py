@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from changefeed.functions.expressions import blank_to_null, lookup, safe_identifier
@@ -35,14 +35,20 @@ def split_routes(df: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame
     return routed, flagged.filter(F.col("__target").isNull()).drop("__target")
 
 
-def flag_routes(df: DataFrame, routes: DataFrame) -> DataFrame:
+def flag_routes(df: DataFrame, routes: DataFrame, counts: Observation | str | None = None) -> DataFrame:
     """Add ``__target``: the target of the row's route, or null.
 
-    A route listed twice counts once, so rows are never multiplied.
+    A route listed twice counts once, so rows are never multiplied. ``counts`` observes how
+    many rows were ``routed`` and ``dropped`` while they pass, without another job; a stream
+    reports them by name in its progress.
     """
     known = routes.groupBy("schema_name", "table_name").agg(F.min("target").alias("__target"))
     on = (F.col(ROUTE[0]) == F.col("schema_name")) & (F.col(ROUTE[1]) == F.col("table_name"))
-    return df.join(known, on, "left").drop("schema_name", "table_name")
+    flagged = df.join(known, on, "left").drop("schema_name", "table_name")
+    if counts is None:
+        return flagged
+    lost = F.col("__target").isNull()
+    return flagged.observe(counts, F.count_if(~lost).alias("routed"), F.count_if(lost).alias("dropped"))
 
 
 def route_by(df: DataFrame, cases: Sequence[tuple[str, str]], default: str | None = None, into: str = "route") -> DataFrame:
@@ -89,6 +95,11 @@ def fan_out(df: DataFrame, outputs: Mapping[str, tuple[Sequence[str], Sequence[s
         df.unpersist()
 
 
+def write_routes(df: DataFrame, root: str, route: str = "route", fmt: str = "parquet", mode: str = "append") -> None:
+    """Write each route to its own folder. Routes differ in size, so files are rebalanced by it."""
+    df.hint("rebalance", route).write.format(fmt).mode(mode).partitionBy(route).save(root)
+
+
 def enrich(df: DataFrame, lookup_table: DataFrame, on: Sequence[str]) -> DataFrame:
     """Add the columns of a lookup table; rows without a match keep nulls.
 

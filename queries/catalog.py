@@ -38,6 +38,15 @@ def _(t: Tables) -> DataFrame:
     return C.merge_inventory(existing, scanned, ["main"])
 
 
+@query(
+    "c11_merge_schemas",
+    "select service, schema_name from {env_schemas} union select d.service, s.schema_name from {databases} d join {database_schemas} s on s.db_name = d.db_name",
+)
+def _(t: Tables) -> DataFrame:
+    scanned = t("databases").join(t("database_schemas"), "db_name").select("service", "schema_name")
+    return C.merge_schemas(t("env_schemas"), scanned)
+
+
 @query(
     "d5_inventory_stats",
     """select 'all' as scope, count(*) as databases, cast(sum(table_count) as bigint) as tables, cast(floor(sum(table_count) / count(*)) as bigint) as avg_tables from {databases}

@@ -151,6 +151,17 @@ def _(t: Tables) -> DataFrame:
     return out.select("table_name", "batch_no", "lag_ms", "alert_level")
 
 
+@query(
+    "h17_stamp_trace",
+    """select event_id, concat('evt-', cast(event_id as varchar)) as trace_id, ts as source_modified_at, ts + interval 2 second as source_captured_at from {events}""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t("events").select("event_id", F.col("ts").alias("source_modified_at"))
+    captured = F.col("source_modified_at") + F.make_dt_interval(secs=F.lit(2))
+    out = M.stamp_trace(rows, "source_captured_at", captured, F.concat(F.lit("evt-"), F.col("event_id")))
+    return M.stamp_trace(out, "source_modified_at", moment())  # stamped before, so unchanged
+
+
 @query(
     "h17_trace_lags",
     """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 1300 as lag_capture_ms, cast(10 as bigint) as lag_kafka_produce_ms, l_suppkey % 90 as lag_kafka_consume_ms,

@@ -278,3 +278,45 @@ def _(t: Tables) -> DataFrame:
         F.expr("case logical_table_name when 'click' then 'hot' when 'view' then 'warm' when 'error' then 'cool' when 'signup' then 'cold' else 'warm' end").alias("effective_schedule_profile"),
     ).distinct()
     return R.evaluate_tiers(activity_rollup(pulls, 900), tiers, moment("2024-01-08 00:00:00"))
+
+
+_RUNS = """(select source_instance_key, logical_table_name, rank_no as rows_loaded, lpad(hex(rank_no), 20, '0') as start_lsn, case when rank_no % 2 = 0 then lpad(hex(rank_no + 1), 20, '0') end as seqval,
+  case when rank_no % 5 = 0 then 'source unreachable' end as error
+  from (select concat('src_', cast(cast(floor(s_suppkey / 10) as bigint) as varchar(20))) as source_instance_key, concat('tbl_', cast(s_suppkey % 10 as varchar(10))) as logical_table_name, s_suppkey as rank_no from {supplier}) x)"""
+
+
+def _bootstrap_states(t: Tables) -> DataFrame:
+    # States as stored, with nothing recorded yet.
+    nothing = F.lit(None)
+    return t("bootstrap_states").withColumns(
+        {
+            "last_rows_loaded": nothing.cast("bigint"),
+            "last_captured_start_lsn": nothing.cast("string"),
+            "last_captured_seqval": nothing.cast("string"),
+            "last_error": nothing.cast("string"),
+        }
+    )
+
+
+@query(
+    "h5_record_bootstrap",
+    f"""select coalesce(b.source_instance_key, r.source_instance_key) as source_instance_key, coalesce(b.logical_table_name, r.logical_table_name) as logical_table_name,
+    case when r.rows_loaded is null then b.bootstrap_status when r.error is null then 'completed' else 'failed' end as bootstrap_status, b.last_started_at,
+    case when r.rows_loaded is not null and r.error is null then timestamp '{NOW}' else b.last_completed_at end as last_completed_at,
+    case when r.rows_loaded is null then b.last_failed_at when r.error is not null then timestamp '{NOW}' end as last_failed_at,
+    case when r.error is null then r.rows_loaded end as last_rows_loaded, case when r.error is null then r.start_lsn end as last_captured_start_lsn,
+    case when r.error is null then r.seqval end as last_captured_seqval, r.error as last_error
+    from {{bootstrap_states}} b full outer join {_RUNS} r on {_on('b', 'r')}""",
+)
+def _(t: Tables) -> DataFrame:
+    return R.record_bootstrap(_bootstrap_states(t), t.sql(f"select * from {_RUNS}"), moment(NOW))
+
+
+@query(
+    "h5_enable_feeds",
+    f"""select p.source_instance_key, p.logical_table_name, p.enabled or r.rows_loaded is not null as enabled, p.config_version + case when r.rows_loaded is not null then 1 else 0 end as config_version
+    from {{policies}} p left join {_RUNS} r on {_on('p', 'r')}""",
+)
+def _(t: Tables) -> DataFrame:
+    loaded = t.sql(f"select * from {_RUNS}")
+    return R.enable_feeds(t("policies").select(*R.FEED, "enabled", "config_version"), loaded)

@@ -179,3 +179,34 @@ def test_no_pulls_means_no_tier_change(spark):
     got = rows(R.evaluate_tiers(rollup, tiers, now), "source_instance_key", "effective_schedule_profile", "change")
     # Exactly 80 % is not more than 80 %.
     assert got == [("a", "warm", "unchanged"), ("b", "hot", "promoted"), ("c", "warm", "unchanged"), ("d", "cold", "demoted")]
+
+
+def test_sync_gives_every_registration_all_its_states(spark):
+    feed = "source_instance_key string, logical_table_name string"
+    now = F.expr("timestamp_ntz'2024-01-08 00:00:00'")
+    reg = spark.createDataFrame([("a", "t"), ("b", "t")], feed)
+    none = F.lit(None)
+    policy = reg.filter("source_instance_key = 'a'").withColumns(
+        {
+            "enabled": F.lit(True),
+            "schedule_profile": F.lit("hot"),
+            "tier_mode": F.lit("manual"),
+            "manual_schedule_profile": none.cast("string"),
+            **{c: none.cast("int") for c in [*R.PRESET_COLUMNS, "poll_priority"]},
+            "config_version": F.lit(3).cast("bigint"),
+        }
+    )
+    runtime = spark.createDataFrame([], feed + ", current_poll_interval_seconds int, next_pull_at timestamp_ntz")
+    instances = spark.createDataFrame([("a", "ca"), ("b", "cb")], "source_instance_key string, customer_key string")
+    customers = spark.createDataFrame([("ca", "1"), ("cb", "2")], "customer_key string, customer_id string")
+    tiers = spark.createDataFrame([("a", "t", "cold", None, "evaluated")], feed + ", effective_schedule_profile string, previous_schedule_profile string, change_reason string")
+    bootstrap = spark.createDataFrame([], feed + ", bootstrap_status string")
+    checkpoints = spark.createDataFrame([("2", "t", "05", None)], "customer_id string, table_name string, last_start_lsn string, last_seqval string")
+    out = R.sync_registrations(reg, policy, runtime, instances, customers, tiers, bootstrap, checkpoints, now)
+    assert rows(out["policy"], "source_instance_key", "schedule_profile", "max_rows_per_pull", "config_version", "sync_action") == [
+        ("a", "hot", 2000, 4, "updated"),
+        ("b", "warm", 1000, 1, "inserted"),
+    ]
+    assert rows(out["tier"], "source_instance_key", "effective_schedule_profile", "previous_schedule_profile") == [("a", "hot", "cold"), ("b", "warm", None)]
+    assert rows(out["runtime"], "source_instance_key", "current_poll_interval_seconds") == [("a", 1), ("b", 5)]
+    assert rows(out["bootstrap"], "source_instance_key", "bootstrap_status") == [("a", "pending"), ("b", "completed")]

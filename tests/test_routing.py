@@ -141,3 +141,15 @@ def test_a_database_without_counted_tables_stays_in_the_inventory(spark):
     )
     out = catalogs.inventory(tables, catalogs.InventoryFilters(schemas_excluded=["sys"]))
     assert rows(out, "db_name", "schema_count", "table_count") == [("a", 1, 1), ("b", 0, 0)]
+
+
+def test_dropped_rows_are_counted_while_they_pass(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    df = spark.createDataFrame([(1, "a", "T"), (2, "a", "U"), (3, None, "T")], "id int, __routing_schema string, __routing_table string")
+    routes = spark.createDataFrame([("a", "T", "x")], "schema_name string, table_name string, target string")
+    seen = Observation()
+    R.flag_routes(df, routes, seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"routed": 1, "dropped": 2}
+    R.write_routes(R.route_by(df, [("id = 1", "one")], "rest"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).filter("route = 'rest'").count() == 2
