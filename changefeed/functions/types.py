@@ -199,6 +199,42 @@ MSSQL_PG_CASTABLE = {
     "smalldatetime": ("timestamp without time zone", "timestamp with time zone"),
     "date": ("date", "timestamp without time zone", "timestamp with time zone"),
 }
+PG_ALIASES = {
+    "int": "integer",
+    "int2": "smallint",
+    "int4": "integer",
+    "int8": "bigint",
+    "decimal": "numeric",
+    "varchar": "character varying",
+    "char": "character",
+    "timestamp": "timestamp without time zone",
+    "timestamptz": "timestamp with time zone",
+    "bool": "boolean",
+    "float4": "real",
+    "float8": "double precision",
+}
+PG_BASE_TYPES = (
+    "smallint",
+    "integer",
+    "bigint",
+    "numeric",
+    "real",
+    "double precision",
+    "boolean",
+    "uuid",
+    "text",
+    "character",
+    "character varying",
+    "date",
+    "time without time zone",
+    "timestamp without time zone",
+    "timestamp with time zone",
+    "bytea",
+    "json",
+    "jsonb",
+    "xml",
+    "user-defined",
+)
 PG_CASTABLE = {
     "smallint": ("smallint", "integer", "bigint", "numeric", "real", "double precision"),
     "integer": ("integer", "bigint", "numeric", "real", "double precision"),
@@ -237,12 +273,8 @@ class CompatibilityMap:
 
 
 MSSQL_PG = CompatibilityMap(MSSQL_PG_EXACT, MSSQL_PG_CASTABLE, MSSQL_SOURCE_ALIASES, PG_SINK_ALIASES)
-PG_PG = CompatibilityMap(
-    {name: name for name in dict.fromkeys([*PG_CASTABLE, *(PG_SINK_ALIASES.values()), "text", "uuid", "json", "jsonb", "bytea", "xml"])},
-    PG_CASTABLE,
-    PG_SINK_ALIASES,
-    PG_SINK_ALIASES,
-)
+# Between PostgreSQL databases every base type accepts itself, and numbers and times widen.
+PG_PG = CompatibilityMap({name: name for name in PG_BASE_TYPES}, PG_CASTABLE, PG_ALIASES, PG_ALIASES)
 
 
 def base_type(col: Column | str) -> Column:

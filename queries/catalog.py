@@ -404,6 +404,21 @@ def _(t: Tables) -> DataFrame:
     return C.type_compatible(t("type_pairs"), t("type_overrides"))
 
 
+_PG_TYPE = "case p_partkey % 9 when 0 then 'int4' when 1 then 'varchar(20)' when 2 then 'timestamp' when 3 then 'uuid' when 4 then 'bool' when 5 then 'decimal(10,2)' when 6 then 'json' when 7 then 'date' else 'money' end"
+_PG_SINK = "case p_size % 7 when 0 then 'bigint' when 1 then 'character varying' when 2 then 'timestamptz' when 3 then 'uuid' when 4 then 'boolean' when 5 then 'float8' else 'jsonb' end"
+
+
+@query(
+    "j2_type_compatible_same_engine",
+    f"""select p_partkey, s, d, case split_part(s, '(', 1) when 'int4' then d in ('bigint', 'float8') when 'varchar' then d = 'character varying' when 'timestamp' then d = 'timestamptz'
+    when 'uuid' then d = 'uuid' when 'bool' then d = 'boolean' when 'decimal' then d = 'float8' when 'date' then d = 'timestamptz' else false end as is_compatible
+    from (select p_partkey, {_PG_TYPE} as s, {_PG_SINK} as d from {{part}})""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.sql(f"select p_partkey, {_PG_TYPE} as s, {_PG_SINK} as d from {{part}}")
+    return rows.withColumn("is_compatible", Y.compatible("s", "d", Y.PG_PG))
+
+
 _ALLOWED = ["int", "bigint", "uniqueidentifier", "nvarchar", "datetime2", "bit", "float"]
 _ALLOWED_SQL = "(values " + ", ".join(f"('{a}')" for a in _ALLOWED) + ") allowed(override_type)"
 
