@@ -19,6 +19,31 @@ RECOMMENDED_CONF = {
 }
 
 
+# Bytes one shuffle partition should hold, and the most partitions a driver keeps track of well.
+PARTITION_BYTES = 256 * 1024**2
+MOST_PARTITIONS = 100_000
+
+
+def cluster_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a cluster whose largest shuffle moves about ``shuffle_bytes``.
+
+    Partitions are sized for that shuffle; adaptive execution merges them again after
+    smaller ones and splits those a hot key makes too large. Streaming state goes to RocksDB,
+    whose size is not bounded by executor memory.
+    """
+    partitions = max(2 * cores, -(-shuffle_bytes // PARTITION_BYTES))
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.shuffle.partitions": str(min(partitions, MOST_PARTITIONS)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{PARTITION_BYTES // 2}b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{PARTITION_BYTES}b",
+        "spark.sql.files.maxPartitionBytes": f"{PARTITION_BYTES}b",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+    }
+
+
 def local_session(app: str, cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changefeed.plans.snapshot import SnapshotTable
-from changefeed.session import shared_dir
+from changefeed.session import cluster_conf, shared_dir
 from tests.conftest import rows
 from tests.test_apply import BATCH, TARGET, changes, model
 
@@ -106,3 +106,9 @@ def test_shared_dir_follows_the_session(tmp_path):
     assert shared_dir(Conf({"spark.checkpoint.dir": f"{tmp_path}/"}), "x").startswith(f"{tmp_path}/x-")
     assert "changefeed-" in shared_dir(Conf(), "x")
     assert shared_dir(Conf(), "x") != shared_dir(Conf(), "x")
+
+
+def test_partitions_follow_the_shuffle():
+    assert cluster_conf(10 * 1024**4, 4000)["spark.sql.shuffle.partitions"] == "40960"
+    assert cluster_conf(1024, 4000)["spark.sql.shuffle.partitions"] == "8000"
+    assert cluster_conf(1024**5, 4000)["spark.sql.shuffle.partitions"] == "100000"
