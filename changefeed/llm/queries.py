@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changefeed.llm import bpe, mixing, quality, repeats, simhash, tokens
+from changefeed.llm import bpe, licences, mixing, neighbours, quality, repeats, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,26 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 @query("op9_suffix_repeats")
 def suffix_repeats(docs: DataFrame) -> DataFrame:
     return repeats.digests(docs)
+
+
+@query("op4_nearest_neighbours", "embeddings")
+def nearest_neighbours(rows: DataFrame) -> DataFrame:
+    return neighbours.search(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op8_arc_to_warc", "pages")
+def arc_to_warc(pages: DataFrame) -> DataFrame:
+    return warc.converted(pages)
+
+
+@query("op10_licence_scan")
+def licence_scan(docs: DataFrame) -> DataFrame:
+    return licences.scan(docs)
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.scored(docs, labels)
+
+
+QUERIES["op3_toxicity"] = toxicity_scores
