@@ -22,7 +22,7 @@ from changefeed.llm.pieces import cut
 from changefeed.session import shared_dir
 
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
-MEMORY = 300_000
+MEMORY = 700_000
 CHARACTERS_A_ROUND = 2_000_000
 
 
@@ -47,7 +47,7 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         """Encode new pieces. Those of a space and a word are encoded as one line of text, which the library
         cuts before each space; so each begins at an id that starts with a space."""
-        line = sorted(x for x in new if x[0] == " " and len(x) > 1 and not x[1:].isspace())
+        line = [x for x in new if x[0] == " " and len(x) > 1 and not x[1:].isspace()]
         for i in range(0, len(line), 2000):
             part = line[i : i + 2000]
             ids = np.array(self._ids(["".join(part)])[0], "<u4")
