@@ -22,7 +22,7 @@ from changefeed.llm.pieces import cut
 from changefeed.session import shared_dir
 
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
-MEMORY = 700_000
+MEMORY = 1_500_000
 CHARACTERS_A_ROUND = 2_000_000
 
 
@@ -110,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     encoded = ordered.mapInArrow(run, "rid long, doc_id long, ids array<int>")
     (
         encoded.write.format("orc")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", INDEX_STRIDE)
