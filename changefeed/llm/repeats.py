@@ -9,14 +9,16 @@ strings of that length are judged, none is sampled; anchors only decide which of
    A run's slice is all bytes its strings touch; its second hash covers the slice.
 2. *Shards.* Runs are dealt by anchor hash, packed in arrays. A task sends each (anchor, slice) of a batch once, and
    declares the batch's later copies removed itself, so copies of any number stay as many rows as there are batches.
-   The earliest run of each slice owns it; others are removed whole. Owners whose anchor has other slices are contested.
+   The earliest run of each slice owns it; others are removed whole (anchor and slice hash together are 128 bits; copies
+   within a batch are compared byte by byte). Owners whose anchor has other slices are contested.
 3. *Suffix sort.* Contested slices are read from the texts and dealt by anchor. The suffixes that begin at the
    anchors are sorted by mergesort; two suffixes are compared by their longest common extension, found by binary search over prefix
    polynomial hashes, so a comparison takes logarithmic time. Neighbours in sorted order then give right extensions
    (running minimum) and left extensions (binary search again); together they tell which strings two slices share.
-   Bytes are compared before anything is removed, so a hash collision cannot remove text.
+   Bytes are compared before anything is removed.
    An anchor with more than ``CROWD`` slices (a common line in many surroundings) would be one large group: its
-   strings become rows of their own instead, and the least start of each is found by a partial aggregate.
+   strings become rows of their own instead, told apart by two independent 64-bit hashes. A task sends each of them
+   once, and the least start over all tasks is one aggregate.
 4. *Removal.* Ranges of starts are gathered for each document and cut from its text.
 """
 
@@ -31,10 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import keyed, materialise, partitions
+from changefeed.llm.common import keyed, materialise, packed, partitions, unpacked
 
 LENGTH, GRAM, CROWD = 100, 32, 64
-BATCH_BYTES, SHARD_BYTES = 4 << 20, 96 << 20
+BATCH_BYTES, SHARD_BYTES = 1 << 20, 32 << 20
 BASE, OTHER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 U = np.uint64
 
@@ -211,15 +213,43 @@ def judge_runs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("shard").applyInArrow(run, "rid long, q long, n int, o int, h long, fate int")
 
 
+SLICE = (("h", pa.int64()), ("h2", pa.int64()), ("rid", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("bytes", pa.binary()))
+CROWD_ROWS = 20_000
+
+
+def _batch(**columns) -> pa.RecordBatch:  # noqa: ANN003
+    rows = len(columns["rid"])
+    arrays = [pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in SLICE]
+    return pa.RecordBatch.from_arrays(arrays, [k for k, _ in SLICE])
+
+
+def _strings(crowd: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The first of equal strings in crowded slices, by two hashes; ranges of later ones, without hashes."""
+    data = np.frombuffer(b"".join([x[3] for x in crowd]), np.uint8)
+    n = np.array([x[2] for x in crowd])
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + step
+    h, h2 = (mixed(Hashes(data, base).of(at, at + LENGTH)).view(np.int64) for base in (BASE, OTHER))
+    rid, q = np.repeat([x[0] for x in crowd], n), np.repeat([x[1] for x in crowd], n) + step
+    order = np.lexsort((q, rid, h2, h))
+    first = np.diff(_groups(h[order], h2[order]), prepend=-1) > 0
+    once = order[first]
+    yield _batch(h=h[once], h2=h2[once], rid=rid[once], q=q[once])
+    later = order[~first]
+    later = later[np.lexsort((q[later], rid[later]))]
+    if len(later):
+        head = np.flatnonzero(np.append(True, (rid[later][1:] != rid[later][:-1]) | (q[later][1:] != q[later][:-1] + 1)))
+        yield _batch(rid=rid[later][head], q=q[later][head], n=np.diff(np.append(head, len(later))))
+
+
 def read_slices(docs: DataFrame, fates: DataFrame) -> DataFrame:
-    """Bytes of contested slices, and each string of crowded ones by two hashes."""
+    """Bytes of contested slices; each task's first of equal strings of crowded ones, and the later ones."""
     wanted = fates.where(F.col("fate") > REMOVED).groupBy("rid").agg(F.collect_list(F.struct("q", "n", "o", "h", "fate")).alias("runs"))
-    kinds = (("h", pa.int64()), ("h2", pa.int64()), ("rid", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("bytes", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd: list[tuple[int, int, int, bytes]] = []
         for b in batches:
-            out: list[list] = [[] for _ in kinds]
-            crowd = []
+            rows = []
             for rid, text, found in zip(b.column("rid").to_pylist(), b.column("text").cast(pa.binary()), b.column("runs")):
                 text, found = text.as_py(), found.values
                 q, n, o, h, fate = (found.field(k).to_pylist() for k in ("q", "n", "o", "h", "fate"))
@@ -228,21 +258,14 @@ def read_slices(docs: DataFrame, fates: DataFrame) -> DataFrame:
                     if x[4] == CROWDED:
                         crowd.append((rid, x[0], x[1], piece))
                     else:
-                        for column, v in zip(out, (x[3], None, rid, x[0], x[1], x[2], piece)):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, kinds)], [k for k, _ in kinds])
-            for i in range(0, len(crowd), 20_000):
-                part = crowd[i : i + 20_000]
-                data = np.frombuffer(b"".join([x[3] for x in part]), np.uint8)
-                n = np.array([x[2] for x in part])
-                place = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(place, n) + step
-                hashes = [mixed(Hashes(data, base).of(at, at + LENGTH)).view(np.int64) for base in (BASE, OTHER)]
-                rid, q = np.repeat([x[0] for x in part], n), np.repeat([x[1] for x in part], n) + step
-                empty = pa.nulls(len(at))
-                columns = [pa.array(hashes[0]), pa.array(hashes[1]), pa.array(rid), pa.array(q), pa.array(np.ones(len(at), np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, empty.cast(pa.int32()), empty.cast(pa.binary())], [k for k, _ in kinds])
+                        rows.append((x[3], rid, x[0], x[1], x[2], piece))
+            if rows:
+                yield _batch(**dict(zip(("h", "rid", "q", "n", "o", "bytes"), zip(*rows))))
+            if len(crowd) >= CROWD_ROWS:
+                yield from _strings(crowd)
+                crowd = []
+        if crowd:
+            yield from _strings(crowd)
 
     schema = "h long, h2 long, rid long, q long, n int, o int, bytes binary"
     return docs.select("rid", "text").join(wanted, "rid").mapInArrow(run, schema)
@@ -382,10 +405,11 @@ def sort_slices(slices: DataFrame) -> DataFrame:
 
 
 def crowded(strings: DataFrame) -> DataFrame:
-    rows = strings.where("bytes is null").select("h", "h2", "rid", "q")
+    rows = strings.where("h2 is not null").select("h", "h2", "rid", "q")
     first = rows.groupBy("h", "h2").agg(F.min(F.struct("rid", "q")).alias("first"), F.count("*").alias("c")).where("c > 1")
     later = rows.join(first, ["h", "h2"]).where(F.struct("rid", "q") > F.col("first"))
-    return later.select("rid", "q", F.lit(1).alias("n"))
+    known = strings.where("h is null").select("rid", "q", "n")
+    return later.select("rid", "q", F.lit(1).alias("n")).union(known)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -447,13 +471,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``; repeated strings are cut from ``text``. Bytes of a character cut in half go too."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    names = [*docs.columns]
-    schema = ", ".join(f"`{n}` {'string' if n == 'text' else t}" for n, t in docs.dtypes)
+    rows = _with_ranges(keyed(packed(docs), keep=("rest",))).select("doc_id", "text", "rest", "ranges")
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("ranges").dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.array([k.decode("utf-8", "ignore") for _, k, _ in _cut(b)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if n == "text" else b.column(n) for n in names], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, b.column("rest")], ["doc_id", "text", "rest"])
 
-    return _with_ranges(keyed(docs, keep=keep)).select(*names, "ranges").mapInArrow(run, schema)
+    return unpacked(rows.mapInArrow(run, schema), docs)
