@@ -192,6 +192,7 @@ def _texts(column: pa.Array) -> list[str]:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``ids``, the token ids of the text (null: none)."""
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    docs = docs.drop("ids")
     names, schema = docs.columns, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns and ``bytes``, what the ids stand for (null: empty)."""
     held = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
+    encoded = encoded.drop("bytes")
     names, schema = encoded.columns, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

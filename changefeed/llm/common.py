@@ -46,6 +46,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     return materialise(ordered.withColumn("rid", F.monotonically_increasing_id()), "keyed")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, ``rest``, where no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("rest"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from packed rows."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in like.columns])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of undirected ``links`` (a, b): columns node, label.
 

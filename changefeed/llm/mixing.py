@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import WORD, keyed, materialise
+from changefeed.llm.common import WORD, keyed, materialise, packed, unpacked
 
 BLOCK = 4096
 PASSES = 3
@@ -187,17 +187,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Only the last document of a source's target is cut, to its first words; every other row has its whole text.
     """
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = keyed(docs, keep=keep)
-    pieces = mix(sized(rows)).pieces
-    spans = pieces.groupBy("rid", "pass").agg(F.min("from_word").alias("_from"), F.max("to_word").alias("_to"))
-    whole = (F.col("_from") == 0) & (F.col("_to") == words(F.col("text")))
+    rows = keyed(packed(docs), keep=("rest",))
+    pieces = mix(sized(rows.withColumn("source", F.col("rest.source")))).pieces
+    spans = pieces.groupBy("rid", "pass").agg(F.min("from_word").alias("from"), F.max("to_word").alias("to"))
+    whole = (F.col("from") == 0) & (F.col("to") == words(F.col("text")))
     all_words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.slice(all_words, F.col("_from") + 1, F.col("_to") - F.col("_from")), " ")
-    out = rows.join(spans, "rid").withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    part = F.array_join(F.slice(all_words, F.col("from") + 1, F.col("to") - F.col("from")), " ")
+    out = unpacked(rows.join(spans, "rid").withColumn("text", F.when(whole, F.col("text")).otherwise(part)), docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def taken(m: Mix) -> DataFrame:

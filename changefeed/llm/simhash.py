@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import components, keyed, materialise
+from changefeed.llm.common import components, keyed, materialise, packed, unpacked
 
 SEED, SHINGLE, BITS, GUARANTEED, FREE = 42, 3, 3, 5, 1 << 16
 LONG_LIST = 256
@@ -153,9 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The first row of each group stays, null ids after all others; all columns stay."""
-    rows = keyed(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    rows = keyed(packed(docs), keep=("rest",))
     keep = classes(rows).where("rid = component_rid").select("rid")
-    return rows.join(keep, "rid", "left_semi").select(*docs.columns)
+    return unpacked(rows.join(keep, "rid", "left_semi"), docs)
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -157,10 +157,10 @@ def score(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     table = VectorAssembler(**_ASSEMBLER).transform(with_features(rows, model.strength, keep))
     found = model.calibration.setPredictionCol("calibrated").transform(_margin(model.trees.transform(table)))
     blended = 0.999 * F.col("calibrated") + 0.001 * F.col("margin")
-    return found.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended)).alias("score"))
+    return found.select(*keep, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended)), 10).alias("score"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = TREES) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text); ``labels`` has doc_id and toxic.
 
     Rows whose crc32 of the id has remainder 1 by 3 are held out: their labels are never read. Rows without id are
@@ -172,6 +172,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out).where("toxic in (0, 1)")
-    model = fit(rows.join(known, "doc_id"), sample)
+    model = fit(rows.join(known, "doc_id"), sample, trees)
     out = score(rows.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
