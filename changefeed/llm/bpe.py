@@ -25,7 +25,7 @@ from changefeed.llm.common import worker_cache
 from changefeed.llm.pieces import cut
 
 WORDS_A_QUERY = 5000
-MEMORY = 1_200_000
+MEMORY = 400_000
 CHARACTERS_A_ROUND = 2_000_000
 
 CONTRACT = """

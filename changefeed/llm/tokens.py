@@ -22,7 +22,7 @@ from changefeed.llm.pieces import cut
 from changefeed.session import shared_dir
 
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
-MEMORY = 1_500_000
+MEMORY = 1_000_000
 CHARACTERS_A_ROUND = 2_000_000
 
 
