@@ -8,18 +8,16 @@ in one task. Joins carry no hints; see ``apply_changes`` for how a batch meets i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changefeed.functions.expressions import position_struct
 from changefeed.operators.columns import stamp_metadata
+from changefeed.session import shared_dir
 from changefeed.spec import APPLIED_OPS, OP_DELETE, Position
 
-# A batch whose estimate is below this share of its target is merged as a small one.
-SMALL_BATCH_SHARE = 0.1
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The row with the highest ``order`` per key.
 
@@ -49,14 +47,6 @@ def delete_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Dat
     return target.join(batch.select(*keys), list(keys), "left_anti")
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a frame; none where the session cannot tell."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
 def _winners(changes: DataFrame, keys: list[str], order: Sequence[str], op: str, delete_order: str) -> DataFrame:
     """One row per key: its last change, or its delete if any delete is to win."""
     if delete_order == "last":
@@ -72,38 +62,11 @@ def _winners(changes: DataFrame, keys: list[str], order: Sequence[str], op: str,
     return spread.withColumn(op, F.coalesce(F.col("__deleted"), F.col(op))).drop("__deleted")
 
 
-def _merge_small(target: DataFrame, last: DataFrame, keys: list[str], stale: Column | None, stored: dict[str, str], removes: Column) -> DataFrame:
-    """Anti join and union: a batch that fits in memory is broadcast and the target not shuffled."""
-    if stale is not None:
-        current = target.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in stored])
-        incoming = last.select(*keys, *[F.col(o).alias(f"__new_{o}") for o in stored.values()])
-        last = last.join(current.join(incoming, keys).filter(stale).select(*keys), keys, "left_anti")
-    survivors = target.join(last.select(*keys), keys, "left_anti")
-    arriving = last.filter(~removes)
-    columns = [
-        (F.col(c) if c in arriving.columns else F.lit(None).cast(target.schema[c].dataType)).alias(c) for c in target.columns
-    ]
-    return survivors.unionByName(arriving.select(*columns))
-
-
-def _merge_large(target: DataFrame, last: DataFrame, keys: list[str], stale: Column | None, stored: dict[str, str], removes: Column) -> DataFrame:
-    """One full outer join by key: both sides are read and shuffled once."""
-    removed = last.withColumn("__removes", removes)
-    new = removed.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in removed.columns if c not in keys], F.lit(True).alias("__new"))
-    old = target.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in target.columns if c not in keys], F.lit(True).alias("__old"))
-    j = old.join(new, keys, "full_outer")
-    applies = F.col("__new").isNotNull()
-    if stale is not None:
-        applies = applies & ~(F.col("__old").isNotNull() & F.coalesce(stale, F.lit(False)))
-    kept = F.when(applies, ~F.col("__new___removes")).otherwise(F.col("__old").isNotNull())
-
-    def value(c: str) -> Column:
-        if c in keys:
-            return F.col(c)
-        fresh = F.col(f"__new_{c}") if c in last.columns else F.lit(None)
-        return F.when(applies, fresh).otherwise(F.col(f"__old_{c}"))
-
-    return j.filter(kept).select(*[value(c).alias(c) for c in target.columns])
+def _staged(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder: its true size, not an estimate, plans what follows."""
+    path = shared_dir(df.sparkSession, "batch")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def apply_changes(
@@ -116,7 +79,8 @@ def apply_changes(
     delete_order: str = "last",
     guard: bool = False,
     target_order: Sequence[str] | None = None,
-    batch_size: str = "auto",
+    tombstone: str | None = None,
+    stage: bool = False,
 ) -> DataFrame:
     """The target after a batch of changes.
 
@@ -125,40 +89,52 @@ def apply_changes(
 
     ``delete_order='any'`` instead removes every key that has a delete anywhere in the
     batch, even one inserted again later. ``guard`` ignores changes that are not newer than
-    the stored row, whose position is in ``target_order``; a replayed batch then changes
-    nothing.
-
-    ``batch_size`` picks the join. ``small`` leaves the target where it is and may read the
-    batch several times: adaptive execution broadcasts the batch if it measures it small
-    enough. ``large`` shuffles target and batch once. ``auto`` compares the optimizer's size
-    estimates; all give the same rows.
+    the stored row, whose position is in ``target_order``. A removed row has no position, so
+    a replay that must not bring it back needs ``tombstone``: the name of a boolean column of the
+    target. Deletes then stay as rows with that column true; ``live`` leaves them out and
+    ``expire_tombstones`` drops old ones.
+
+    Every batch is merged by one anti join and union: all rows of a changed key are replaced
+    by one, also where the target repeats a key. ``stage`` writes the batch, reduced to a row per key, to the
+    shared folder first: a small one is then planned as a broadcast by its true size, and the target is not shuffled.
     """
     if mode not in ("hard", "soft"):
         raise ValueError(f"mode must be 'hard' or 'soft', not {mode!r}")
     if delete_order not in ("last", "any"):
         raise ValueError(f"delete_order must be 'last' or 'any', not {delete_order!r}")
-    if batch_size not in ("auto", "small", "large"):
-        raise ValueError(f"batch_size must be 'auto', 'small' or 'large', not {batch_size!r}")
     keys = list(keys)
     needed = dict.fromkeys([*keys, *[c for c in target.columns if c in batch.columns], *order, op])
     changes = batch.select(*needed)
     if mode == "hard":
         changes = changes.filter(F.col(op).isin(*APPLIED_OPS))
     last = _winners(changes, keys, order, op, delete_order if mode == "hard" else "last")
-
-    stored = dict(zip(target_order or order, order))
-    stale = None
+    if stage:
+        last = _staged(last)
     if guard:
-        current = F.struct(*[F.col(f"__old_{c}").alias(f"p{i}") for i, c in enumerate(stored)])
-        newest = F.struct(*[F.col(f"__new_{o}").alias(f"p{i}") for i, o in enumerate(stored.values())])
-        stale = current >= newest
+        stored = dict(zip(target_order or order, order))
+        current = target.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in stored])
+        incoming = last.select(*keys, *[F.col(o).alias(f"__new_{o}") for o in stored.values()])
+        old = F.struct(*[F.col(f"__old_{c}").alias(f"p{i}") for i, c in enumerate(stored)])
+        new = F.struct(*[F.col(f"__new_{o}").alias(f"p{i}") for i, o in enumerate(stored.values())])
+        stale = current.join(incoming, keys).filter(old >= new).select(*keys)
+        last = last.join(stale, keys, "left_anti")
     removes = F.col(op) == OP_DELETE if mode == "hard" else F.lit(False)
-    if batch_size == "auto":
-        ours, theirs = _estimated_bytes(batch), _estimated_bytes(target)
-        small = ours is None or theirs is None or ours < theirs * SMALL_BATCH_SHARE
-        batch_size = "small" if small else "large"
-    merge = _merge_small if batch_size == "small" else _merge_large
-    return merge(target, last, keys, stale, stored, removes)
+    survivors = target.join(last.select(*keys), keys, "left_anti")
+    arriving = last.withColumn(tombstone, removes) if tombstone else last.filter(~removes)
+    columns = [
+        (F.col(c) if c in arriving.columns else F.lit(None).cast(target.schema[c].dataType)).alias(c) for c in target.columns
+    ]
+    return survivors.unionByName(arriving.select(*columns))
+
+
+def live(target: DataFrame, tombstone: str) -> DataFrame:
+    """The rows that are not deleted, without the column that says so."""
+    return target.filter(~F.coalesce(F.col(tombstone), F.lit(False))).drop(tombstone)
+
+
+def expire_tombstones(target: DataFrame, tombstone: str, before: Column | str, lsn: str = Position().lsn) -> DataFrame:
+    """The target without deletes below a position from which nothing is delivered again."""
+    return target.filter(~F.coalesce(F.col(tombstone) & (F.col(lsn) < before), F.lit(False)))
 
 
 def advance_checkpoints(
@@ -272,8 +248,10 @@ def expire_changes(
         marks = marks.join(low_water, list(keys), "left").select(
             *keys, F.greatest("__mark", "low_lsn").alias("__mark")
         )
-    kept = df.join(marks, list(keys)).filter(F.col("__mark").isNull() | (F.col(lsn) >= F.col("__mark")))
-    return kept.drop("__mark")
+    marks = marks.select(*[F.col(k).alias(f"__of_{k}") for k in keys], "__mark")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    kept = df.join(marks, same).filter(F.col("__mark").isNull() | (F.col(lsn) >= F.col("__mark")))
+    return kept.select(*df.columns)
 
 
 def dedupe_batch(df: DataFrame, identity: Sequence[str]) -> DataFrame:

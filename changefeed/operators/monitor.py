@@ -142,10 +142,15 @@ def gap_alerts(log: DataFrame, bucket_width: int = 1_000_000) -> DataFrame:
     return offset_gaps(log, bucket_width).filter(F.col("gap_size") > 0)
 
 
-def position_regressions(log: DataFrame, feed: Sequence[str], lsn: str = "start_lsn", seq: str = "seqval") -> DataFrame:
-    """Batches of a feed that ended below the batch before them, as after a lost cursor."""
+def position_regressions(
+    log: DataFrame, feed: Sequence[str], lsn: str = "start_lsn", seq: str = "seqval", tie: Sequence[str] = (), width: str = "hour"
+) -> DataFrame:
+    """Batches of a feed that ended below the batch before them, as after a lost cursor.
+
+    ``tie`` orders batches of one time; without it their positions do. A feed is sorted in pieces of ``width``.
+    """
     linked = previous_row(
-        log, feed, ["processed_at"], [lsn, seq], F.date_trunc("day", F.col("processed_at")), "__previous"
+        log, feed, ["processed_at", *(tie or [lsn, seq])], [lsn, seq], F.date_trunc(width, F.col("processed_at")), "__previous"
     )
     before = position_struct(F.col(f"__previous.{lsn}"), F.col(f"__previous.{seq}"))
     fell = F.col("__previous").isNotNull() & (before > position_struct(lsn, seq))
@@ -312,13 +317,14 @@ def latency_percentiles(
     )
     in_bucket = W.partitionBy("table_name", "b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     values = (
-        recent.join(wanted.select("table_name", "b").distinct(), ["table_name", "b"])
+        recent.join(wanted.select(F.col("table_name").alias("t"), F.col("b").alias("c")).distinct(), F.col("table_name").eqNullSafe(F.col("t")) & (F.col("b") == F.col("c")))
         .groupBy("table_name", "b", "v")
         .agg(F.count("*").alias("m"))
         .withColumn("upto", F.sum("m").over(in_bucket))
     )
     hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m"))
-    picked = wanted.join(values, ["table_name", "b"]).filter(hit)
+    values = values.withColumnsRenamed({"table_name": "t", "b": "c"})
+    picked = wanted.join(values, F.col("table_name").eqNullSafe(F.col("t")) & (F.col("b") == F.col("c"))).filter(hit)
 
     def interpolated(name: str) -> Column:
         low, high = (F.max(F.when((F.col("name") == name) & (F.col("side") == x), F.col("v"))) for x in ("low", "high"))

@@ -16,7 +16,7 @@ ENV_ALIASES = {
     "default": ("dev", "nonprod", "stage", "test"),
     "nonprod": ("dev", "stage", "test"),
     "local": ("dev", "test"),
-    "prod": ("prod", "prod-adcuris"),
+    "prod": ("prod", "production"),
 }
 EMPTY_VALUES = ("", "null", "none")
 # --- End of fixed values ----------------------------------------------------

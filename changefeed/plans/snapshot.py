@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changefeed.operators.apply import advance_checkpoints, apply_changes
+from changefeed.operators.apply import advance_checkpoints, apply_changes, live
 from changefeed.plans.files import SharedFiles
-from changefeed.spec import OP_DELETE, Position
+from changefeed.spec import APPLIED_OPS, OP_DELETE, Position
 
 BUCKET = "__bucket"
 
+DELETED = "__deleted"
+
 
 class SnapshotTable:
     """A target table under one folder of the shared file system."""
@@ -51,12 +53,17 @@ class SnapshotTable:
 
     def read(self, only: Sequence[int] | None = None, pointer: Mapping | None = None) -> DataFrame:
         """The current rows, of all buckets or of some."""
+        return live(self._stored(only, pointer), DELETED)
+
+    def _stored(self, only: Sequence[int] | None = None, pointer: Mapping | None = None) -> DataFrame:
+        """Current rows and the deletes kept beside them, so that a late replay cannot undo a delete."""
+        schema = T.StructType([*self.schema.fields, T.StructField(DELETED, T.BooleanType())])
         state = pointer or self.pointer()
         chosen = {int(b): v for b, v in state["buckets"].items() if only is None or int(b) in set(only)}
         if not chosen:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.createDataFrame([], schema)
         paths = [f"{self.root}/data/v{v}/{BUCKET}={b}" for b, v in sorted(chosen.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def checkpoints(self, schema: T.StructType | None = None, pointer: Mapping | None = None) -> DataFrame | None:
         """The stored checkpoints, or an empty frame of ``schema``."""
@@ -85,7 +92,8 @@ class SnapshotTable:
         state = pointer or self.pointer()
         version = state["version"] + 1
         # Rebalancing gives a bucket as many files as its size calls for.
-        laid_out = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET)
+        deleted = F.col(DELETED) if DELETED in rows.columns else F.lit(False)
+        laid_out = rows.select(*self.schema.names, deleted.alias(DELETED)).withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET)
         laid_out.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/data/v{version}")
         written = {int(n.split("=")[1]) for n in self.files.names(f"data/v{version}") if n.startswith(f"{BUCKET}=")}
         where = {b: v for b, v in state["buckets"].items() if int(b) not in set(touched)}
@@ -127,11 +135,12 @@ class SnapshotTable:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             # At most one number per bucket comes to the driver.
-            touched = [r[0] for r in batch.select(self.bucket_of().alias("b")).distinct().collect()]
-            if not touched:
+            applied = batch.filter(F.col(op).isin(*APPLIED_OPS)) if mode == "hard" else batch
+            touched = [r[0] for r in applied.select(self.bucket_of().alias("b")).distinct().collect()]
+            if batch.isEmpty():
                 return False
-            current = self.read(touched, state)
-            merged = apply_changes(current, batch, self.keys, mode, order, op, guard=guard)
+            current = self._stored(touched, state)
+            merged = apply_changes(current, batch, self.keys, mode, order, op, guard=guard, tombstone=DELETED)
             ckpt = None
             if feed:
                 position = Position(*order)

@@ -14,10 +14,8 @@ from changefeed.spec import (
     APPLIED_OPS,
     BROKERED_SOURCE,
     CHANGE_METADATA,
-    COMPOSITE_CURSOR_CAP,
     OP_BEFORE_IMAGE,
     OP_DELETE,
-    SINGLE_CURSOR_CAP,
     Position,
     TableSpec,
 )
@@ -39,7 +37,7 @@ def scan_changes(
     position: Position = Position(),
     op: str = "op_code",
 ) -> DataFrame:
-    """Changes after a cursor, in log order, at most ``limit`` of them.
+    """Changes after a cursor, in log order: all of them, or the first ``limit``.
 
     ``composite`` uses (lsn, seq) and keeps only the operations that are applied; the
     single-column cursor uses ``lsn > after_lsn`` and keeps every operation. The cursor
@@ -49,15 +47,15 @@ def scan_changes(
     """
     lsn, seq = F.col(position.lsn), F.col(position.seq)
     if composite:
-        limit = COMPOSITE_CURSOR_CAP if limit is None else limit
         kept = F.col(op).isin(*(APPLIED_OPS if ops is None else ops))
         after = (lsn >= after_lsn) if after_seq is None else (lsn > after_lsn) | ((lsn == after_lsn) & (seq > after_seq))
         rows = df.filter(kept & after)
     else:
-        limit = SINGLE_CURSOR_CAP if limit is None else limit
         rows = df.filter(lsn > after_lsn)
         if ops is not None:
             rows = rows.filter(F.col(op).isin(*ops))
+    if limit is None:
+        return rows.orderBy(lsn, seq)
     if whole_transactions:
         capped = rows.select(lsn.alias("lsn")).orderBy("lsn").limit(limit)
         return rows.filter(lsn <= capped.agg(F.max("lsn")).scalar())

@@ -308,9 +308,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("h1_apply_changes_small_batch", QUERY_H1)
 def _(t: Tables) -> DataFrame:
-    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], batch_size="small")
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], stage=True)
 
 
 @query("h16_apply_changes_guarded_small_batch", QUERY_H16)
 def _(t: Tables) -> DataFrame:
-    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], guard=True, batch_size="small")
+    return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"], guard=True, stage=True)
+
+
+@query("h16_replay_after_delete", QUERY_H16)
+def _(t: Tables) -> DataFrame:
+    # The inserts and updates of a batch come again after its deletes: nothing may change.
+    target, batch = t("order_target").withColumn("deleted", F.lit(False)), t("order_changes")
+    once = A.apply_changes(target, batch, ["o_orderkey"], guard=True, tombstone="deleted")
+    again = A.apply_changes(once, batch.filter("op_code <> 1"), ["o_orderkey"], guard=True, tombstone="deleted")
+    return A.live(again, "deleted")

@@ -25,7 +25,7 @@ EVENTS = TableSpec("events", ["pk"], database="appdb", topic_prefix="dev.tenant1
 @query(
     "a1_scan_changes_single_cursor",
     f"""select event_id, op_code, start_lsn, seqval from {{change_feed}}
-    where start_lsn > '{START_LSN}' order by start_lsn, seqval limit 100000""",
+    where start_lsn > '{START_LSN}' order by start_lsn, seqval""",
 )
 def _(t: Tables) -> DataFrame:
     rows = feeds.scan_changes(t("change_feed"), START_LSN, composite=False)
@@ -35,11 +35,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "a1_scan_whole_transactions",
     f"""with f as (select * from {{change_feed}} where start_lsn > '{START_LSN}'),
-    cut as (select max(start_lsn) as lsn from (select start_lsn from f order by start_lsn limit 100000))
+    cut as (select max(start_lsn) as lsn from (select start_lsn from f order by start_lsn limit 1000))
     select event_id, op_code, start_lsn, seqval from f where start_lsn <= (select lsn from cut)""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = feeds.scan_changes(t("change_feed"), START_LSN, composite=False, whole_transactions=True)
+    rows = feeds.scan_changes(t("change_feed"), START_LSN, composite=False, limit=1000, whole_transactions=True)
     return rows.select("event_id", "op_code", "start_lsn", "seqval")
 
 
@@ -47,7 +47,7 @@ def _(t: Tables) -> DataFrame:
     "a2_scan_changes_composite_cursor",
     f"""select event_id, op_code, start_lsn, seqval from {{change_feed}}
     where op_code in (1, 2, 4) and (start_lsn > '{START_LSN}' or (start_lsn = '{START_LSN}' and seqval > '{1:020X}'))
-    order by start_lsn, seqval limit 50000""",
+    order by start_lsn, seqval""",
 )
 def _(t: Tables) -> DataFrame:
     rows = feeds.scan_changes(t("change_feed"), START_LSN, f"{1:020X}")

@@ -224,7 +224,7 @@ from {customer}
 
 VIEWS["sink_targets"] = """
 select distinct concat('sinks.', case when s_suppkey % 2 = 0 then 'proxy' else 'main' end) as sink,
-  case s_suppkey % 4 when 0 then 'dev' when 1 then 'test' when 2 then 'prod-adcuris' else 'stage' end as target_env
+  case s_suppkey % 4 when 0 then 'dev' when 1 then 'test' when 2 then 'production' else 'stage' end as target_env
 from {supplier}
 """
 

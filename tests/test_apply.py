@@ -44,36 +44,50 @@ def model(target: dict, batch: list[tuple], mode: str = "hard", guard: bool = Fa
     return state
 
 
-@pytest.mark.parametrize("size", ["small", "large", "auto"])
+@pytest.mark.parametrize("stage", [False, True])
 @pytest.mark.parametrize("mode", ["hard", "soft"])
 @pytest.mark.parametrize("guard", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_apply_equals_the_row_by_row_model(spark, size, mode, guard, seed):
+def test_apply_equals_the_row_by_row_model(spark, stage, mode, guard, seed):
     rnd = random.Random(seed)
     target = {k: (f"old{k}", f"{rnd.randrange(60):020X}", f"{9:020X}") for k in range(0, 40, 2)}
     batch = changes(200, 50, seed)
     t = spark.createDataFrame([(k, *v) for k, v in target.items()], TARGET)
-    out = A.apply_changes(t, spark.createDataFrame(batch, BATCH), ["k"], mode, guard=guard, batch_size=size)
+    out = A.apply_changes(t, spark.createDataFrame(batch, BATCH), ["k"], mode, guard=guard, stage=stage)
     assert {r.k: tuple(r)[1:] for r in out.collect()} == model(target, batch, mode, guard)
     assert out.count() == len({r.k for r in out.collect()})
 
 
-@pytest.mark.parametrize("size", ["small", "large"])
-def test_delete_then_reinsert(spark, size):
+@pytest.mark.parametrize("stage", [False, True])
+def test_delete_then_reinsert(spark, stage):
     t = spark.createDataFrame([(1, "a", "00", "00")], TARGET)
     batch = spark.createDataFrame([(1, "a", 1, "01", "00"), (1, "b", 2, "01", "01"), (2, "c", 2, "01", "02")], BATCH)
-    assert rows(A.apply_changes(t, batch, ["k"], batch_size=size), "k", "v") == [(1, "b"), (2, "c")]
-    kept = A.apply_changes(t, batch, ["k"], delete_order="any", batch_size=size)
+    assert rows(A.apply_changes(t, batch, ["k"], stage=stage), "k", "v") == [(1, "b"), (2, "c")]
+    kept = A.apply_changes(t, batch, ["k"], delete_order="any", stage=stage)
     assert rows(kept, "k", "v") == [(2, "c")]
 
 
-@pytest.mark.parametrize("size", ["small", "large"])
-def test_a_guarded_replay_changes_nothing(spark, size):
-    batch = spark.createDataFrame([r for r in changes(120, 20, 3) if r[2] != 1], BATCH)
-    empty = spark.createDataFrame([], TARGET)
-    once = A.apply_changes(empty, batch, ["k"], guard=True, batch_size=size)
-    twice = A.apply_changes(once, batch.filter(F.col("start_lsn") < f"{20:020X}"), ["k"], guard=True, batch_size=size)
-    assert rows(twice) == rows(once)
+@pytest.mark.parametrize("stage", [False, True])
+def test_a_guarded_replay_changes_nothing(spark, stage):
+    batch = spark.createDataFrame(changes(120, 20, 3), BATCH)
+    empty = spark.createDataFrame([], TARGET + ", gone boolean")
+    once = A.apply_changes(empty, batch, ["k"], guard=True, stage=stage, tombstone="gone")
+    assert {r.k: tuple(r)[1:] for r in A.live(once, "gone").collect()} == model({}, changes(120, 20, 3))
+    for replay in (batch.filter(F.col("start_lsn") < f"{20:020X}"), batch.filter("op_code <> 1"), batch):
+        twice = A.apply_changes(once, replay, ["k"], guard=True, stage=stage, tombstone="gone")
+        assert rows(twice) == rows(once)
+    assert A.expire_tombstones(once, "gone", "Z").filter("gone").isEmpty()
+
+
+def test_a_repeated_key_of_the_target_becomes_one_row(spark):
+    t = spark.createDataFrame([(1, "a", "00", "00"), (1, "b", "00", "00"), (2, "c", "00", "00"), (2, "d", "00", "00")], TARGET)
+    batch = spark.createDataFrame([(1, "x", 4, "01", "00")], BATCH)
+    assert rows(A.apply_changes(t, batch, ["k"]), "k", "v") == [(1, "x"), (2, "c"), (2, "d")]
+
+
+def test_expiry_keeps_feeds_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1, "01"), ("a", 1, "01"), ("a", 2, "02")], "c string, at int, start_lsn string")
+    assert rows(A.expire_changes(df, ["c"], F.lit(2), "at")) == [(None, 1, "01"), ("a", 2, "02")]
 
 
 def test_batches_in_a_row_equal_one_batch(spark):
@@ -88,13 +102,12 @@ def test_batches_in_a_row_equal_one_batch(spark):
 def test_columns_the_batch_lacks_become_null(spark):
     t = spark.createDataFrame([(1, "a", "x")], "k int, v string, extra string")
     batch = spark.createDataFrame([(1, "b", 4, "01", "00")], BATCH)
-    for size in ("small", "large"):
-        assert rows(A.apply_changes(t, batch, ["k"], batch_size=size)) == [(1, "b", None)]
+    assert rows(A.apply_changes(t, batch, ["k"])) == [(1, "b", None)]
 
 
 def test_bad_arguments(spark):
     t = spark.createDataFrame([], TARGET)
-    for kw in ({"mode": "x"}, {"delete_order": "x"}, {"batch_size": "x"}):
+    for kw in ({"mode": "x"}, {"delete_order": "x"}):
         with pytest.raises(ValueError, match="must be"):
             A.apply_changes(t, t, ["k"], **kw)
 
