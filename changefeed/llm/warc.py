@@ -171,7 +171,7 @@ def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -
                     offset = len(parts[0])
                 parts.append(member(arc_record(version, name, offset, page_id, url, payload)))
                 offset += len(parts[-1])
-                size += len(payload)
+                size += len(payload) + len(parts[-1])  # many empty payloads fill an archive as well
                 if size >= archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["archive"])
                     parts, size, made = [], 0, made + 1
