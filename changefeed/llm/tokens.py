@@ -8,16 +8,22 @@ ORC stores the ids as run-length encoded integers in stripes of ``stripe_bytes``
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import keyed, partitions, worker_cache
+from changefeed.llm.common import keyed, materialise, partitions, worker_cache
 from changefeed.llm.pieces import cut
 from changefeed.session import shared_dir
 
@@ -26,6 +32,16 @@ MEMORY = 1_000_000
 CHARACTERS_A_ROUND = 2_000_000
 
 
+# Printable characters up to Latin Extended-B, white space but the plain space left out.
+NEAR = re.compile("[ -~\xa1-\u024f]+").fullmatch
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where it is printable, else the next one from 256 on."""
+    free = itertools.count(256)
+    return [chr(b if 33 <= b <= 126 or b >= 161 and b != 173 else next(free)) for b in range(256)]
+
+
 class Encoder:
     """A tokenizer of the public library in one worker. Pieces met before are looked up."""
 
@@ -37,25 +53,30 @@ class Encoder:
         pre = json.loads(text).get("pre_tokenizer") or {}
         self.plain = json.loads(text).get("normalizer") is None and pre.get("type") == "ByteLevel"
         self.plain = self.plain and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        size = self.tokenizer.get_vocab_size()
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "Ġ" for i in range(size)])
+        self.letters = dict(enumerate(_byte_letters()))
+        self.matches = regex.compile(public_tokenizers.PATTERN)
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Encode new pieces. Those of a space and a word are encoded as one line of text, which the library
-        cuts before each space; so each begins at an id that starts with a space."""
-        line = [x for x in new if x[0] == " " and len(x) > 1 and not x[1:].isspace()]
-        for i in range(0, len(line), 2000):
-            part = line[i : i + 2000]
-            ids = np.array(self._ids(["".join(part)])[0], "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(part):
-                ends = [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-                flat = ids.tobytes()
-                self.pieces.update(zip(part, [flat[a:b] for a, b in zip((4 * starts).tolist(), ends)]))
+        """Encode new pieces. Those of Latin letters, on which all Unicode versions agree, are cut into matches of the
+        pattern here and the library's model encodes each match once; others go through the whole library."""
+        model, space, words = self.tokenizer.model, self.letters[32], {}
+
+        def encoded(match: str) -> bytes:
+            ids = words.get(match) or self.pieces.get(match)
+            if ids is None:
+                raw = match if match.isascii() else match.encode().decode("latin-1").translate(self.letters)
+                ids = words[match] = array("I", [x.id for x in model.tokenize(raw.replace(" ", space))]).tobytes()
+            return ids
+
+        for x in filter(NEAR, new):
+            if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
+                self.pieces[x] = encoded(x)  # one match
+            else:
+                self.pieces[x] = b"".join(map(encoded, self.matches.findall(x)))
         rest = [x for x in new if x not in self.pieces]
         for i in range(0, len(rest), 2000):
             part = rest[i : i + 2000]
@@ -65,15 +86,15 @@ class Encoder:
         if not self.plain:
             return [np.array(x, "<u4") for x in self._ids(texts)]
         cuts = [cut(t) if t else [] for t in texts]
-        new = {x for c in cuts for x in c} - self.pieces.keys()
+        new = set().union(*cuts) - self.pieces.keys()
         if len(self.pieces) + len(new) > MEMORY:
             self.pieces.clear()
-            new = {x for c in cuts for x in c}
+            new = set().union(*cuts)
         new.discard("")
         self.pieces[""] = b""
         if new:
             self._learn(new)
-        return [np.frombuffer(b"".join([self.pieces[x] for x in c]), "<u4") for c in cuts]
+        return [np.frombuffer(b"".join(itemgetter("", *c)(self.pieces)), "<u4") for c in cuts]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, stripe_bytes: int = STRIPE_BYTES) -> None:
@@ -145,6 +166,7 @@ def checked(stored: DataFrame) -> DataFrame:
     rows = named.select("rid", "doc_id", "file", "ids").mapInArrow(
         run, "rid long, doc_id long, file string, n_tokens long, ids_crc32 long"
     )
+    rows = materialise(rows, "token-rows")  # read twice below; the ids are read once
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("rid").alias("first"))
     before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
