@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -63,6 +64,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def _joined(known: dict, keys: list) -> bytes:
+    """The values of the keys in a row."""
+    return b"".join(itemgetter(*keys)(known)) if len(keys) > 1 else b"".join([known[x] for x in keys])
+
+
 class Codec:
     """Encodes and decodes inside one worker."""
 
@@ -128,14 +134,14 @@ class Codec:
                 cuts.append(cut(texts[at]))
                 size += len(texts[at])
                 at += 1
-            new = {x for c in cuts for x in c} - self.pieces.keys()
+            new = set().union(*cuts) - self.pieces.keys()
             if len(self.pieces) + len(new) > MEMORY:
                 self.pieces.clear()
-                new = {x for c in cuts for x in c}
+                new = set().union(*cuts)
             if new:
                 self._learn(new)
             for c in cuts:
-                yield np.frombuffer(b"".join([self.pieces[x] for x in c]), "<i4")
+                yield np.frombuffer(_joined(self.pieces, c), "<i4")
 
     def decode(self, many: list[np.ndarray]) -> Iterator[bytes]:
         """The bytes of each sequence of ids. It is cut before tokens that begin with a space; parts
@@ -150,10 +156,10 @@ class Codec:
                 cuts.append([flat[a:b] for a, b in zip([0, *starts], [*starts, len(flat)])])
                 size += len(flat)
                 at += 1
-            new = {x for c in cuts for x in c} - self.parts.keys()
+            new = set().union(*cuts) - self.parts.keys()
             if len(self.parts) + len(new) > MEMORY:
                 self.parts.clear()
-                new = {x for c in cuts for x in c}
+                new = set().union(*cuts)
             todo = list(new)
             for i in range(0, len(todo), 8 * WORDS_A_QUERY):
                 part = todo[i : i + 8 * WORDS_A_QUERY]
@@ -173,7 +179,7 @@ class Codec:
                     for k, a, z in zip(group.column("s").to_pylist(), ends, ends[1:]):
                         self.parts[part[k]] = flat[a:z]
             for c in cuts:
-                yield b"".join([self.parts[x] for x in c])
+                yield _joined(self.parts, c)
 
 
 def _codec(held, pattern: str, path: str) -> Codec:  # noqa: ANN001
