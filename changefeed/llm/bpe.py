@@ -3,7 +3,11 @@
 Spark hands out the rows; each task cuts its texts into words by the public pattern and gives words it
 has not met to an embedded SQL engine, which keeps one row for each token and position. Each step of the
 recursion joins neighbouring tokens with the merge table, takes the leftmost pair of the least rank
-in every word and contracts it; words without a pair drop out, until none is left.
+in every word and contracts it; words without a pair drop out, until none is left. Words of more than
+``LONG`` bytes take a form of the recursion that contracts, in one step, every place of the least rank in
+the word, leftmost first where places overlap, and stops after so many steps that the rows it holds stay
+bounded; it goes on from the state it reached. A rank whose token forms a pair of a smaller rank with any
+neighbour (``alone``) is contracted one place a step, so that both forms give the same ids.
 Decoding is an ordered aggregation of the tokens' bytes.
 
 Encoded words are remembered by the worker, at most ``MEMORY`` of them; only speed depends on that.
@@ -25,6 +29,9 @@ from changefeed.llm.common import worker_cache
 from changefeed.llm.pieces import cut
 
 WORDS_A_QUERY = 5000
+SQUARES_A_QUERY = 6_000_000
+LONG = 256
+ROWS_OF_LONG = 2_000_000
 MEMORY = 400_000
 CHARACTERS_A_ROUND = 2_000_000
 
@@ -52,6 +59,41 @@ with recursive step(k, w, p, n, id, r) as (
 select step.w, step.p, step.id from step
 join (select w, max(k) as k from step group by w) last on step.w = last.w and step.k = last.k
 """
+CONTRACT_LONG = """
+with recursive step(k, w, p, n, id, r) as (
+    select 0, w, p, n, id, r from given
+    union all
+    (
+        with pairs as (
+            select w, p, n, merged, alone from (select * from step where k < {most}) join merges_here on pair = (id::bigint << 20) | r
+        ),
+        hits as (
+            select w, p, n, merged, alone, row_number() over (partition by w order by p) as place,
+                   lag(n, 1, -2) over (partition by w order by p) = p as joined
+            from pairs join (select w, min(merged) as merged from pairs group by w) using (w, merged)
+        ),
+        runs as (
+            select *, max(case when joined then 0 else place end) over (partition by w order by p rows unbounded preceding) as head from hits
+        ),
+        taken as (
+            select w, p, n, merged from runs where case when alone then place = 1 else (place - head) % 2 = 0 end
+        ),
+        left_over as (
+            select k, step.w, step.p, coalesce(after.n, step.n) as n, coalesce(taken.merged, step.id) as id, coalesce(after.r, step.r) as r
+            from step
+            semi join taken as any_taken on any_taken.w = step.w
+            anti join taken as before on before.w = step.w and before.n = step.p
+            left join taken on taken.w = step.w and taken.p = step.p
+            left join (select step.w, step.p, step.n, step.r from step join taken on taken.w = step.w and taken.n = step.p) after
+            on after.w = taken.w and after.p = taken.n
+        )
+        select k + 1, left_over.w, left_over.p, left_over.n, id, coalesce(taken.merged, r)
+        from left_over left join taken on taken.w = left_over.w and taken.p = left_over.n
+    )
+)
+select step.w, step.p, step.n, step.id, step.r, step.k from step
+join (select w, max(k) as k from step group by w) last on step.w = last.w and step.k = last.k
+"""
 JOIN_BYTES = """
 select s, list(bytes order by p) as parts from given join vocabulary using (id) group by s
 """
@@ -63,6 +105,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def _contracted_alone(ranks: dict[bytes, int]) -> set[int]:
+    """Tokens that may, once made from the least pair of a word, form a pair of a smaller rank.
+
+    x y becomes t while z follows; t z has a smaller rank than t. If y z has one too, it would have been
+    contracted before, so t counts only where y z has none. The same holds with z before.
+    """
+    found = set()
+    for whole, rank in ranks.items():
+        for i in range(1, len(whole)):
+            for t, z, ahead in ((whole[:i], whole[i:], False), (whole[i:], whole[:i], True)):
+                made = ranks.get(t, -1)
+                if made < rank or z not in ranks or made in found:
+                    continue
+                for j in range(1, len(t)):
+                    if t[:j] in ranks and t[j:] in ranks and ranks.get(z + t[:j] if ahead else t[j:] + z, made) >= made:
+                        found.add(made)
+    return found
+
+
+def _parts(words: set[bytes]) -> Iterator[list[bytes]]:
+    """The words in lists of bounded number and sum of squared lengths, as a word leaves about half its square in rows."""
+    part, size = [], 0
+    for word in words:
+        if part and (len(part) == WORDS_A_QUERY or size + len(word) ** 2 > SQUARES_A_QUERY):
+            yield part
+            part, size = [], 0
+        part.append(word)
+        size += len(word) ** 2
+    if part:
+        yield part
+
+
 class Codec:
     """Encodes and decodes inside one worker."""
 
@@ -76,8 +150,10 @@ class Codec:
         self.con = duckdb.connect()
         self.con.execute("set threads = 1; set memory_limit = '250MB'")
         pair, merged = (np.array(x, np.int64) for x in zip(*merges)) if merges else (np.zeros(0, np.int64),) * 2
-        self.con.register("given", pa.table({"pair": pair, "merged": merged}))
-        self.con.execute("create table merges as select pair, merged from given")
+        apart = _contracted_alone(ranks)
+        alone = np.fromiter((m in apart for m in merged.tolist()), bool, len(merged))
+        self.con.register("given", pa.table({"pair": pair, "merged": merged, "alone": alone}))
+        self.con.execute("create table merges as select pair, merged, alone from given")
         self.con.register("given", pa.table({"id": list(ranks.values()), "bytes": list(ranks)}))
         self.con.execute("create table vocabulary as select id, bytes from given")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -91,8 +167,8 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, four bytes each."""
+    def _positions(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Word, position, next position, token and next token of each byte; the last one's next are -1."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(length)
         n = int(ends[-1])
@@ -101,7 +177,35 @@ class Codec:
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         after, right = np.append(p[1:], -1), np.append(ids[1:], -1)
         after[ends - 1] = right[ends - 1] = -1
-        self.con.register("given", pa.table({"w": w, "p": p, "n": after, "id": ids, "r": right}))
+        return w, p, after, ids, right
+
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, four bytes each, for words of any length."""
+        w, p, n, ids, r = self._positions(words)
+        text = b"\n".join(words)
+        here = [i for i, t in enumerate(self.texts) if t in text]
+        self.con.register("given", pa.table({"merged": here}))
+        self.con.execute("create or replace temp table merges_here as select merges.* from merges semi join given using (merged)")
+        done = [b""] * len(words)
+        while len(w):
+            most = max(1, ROWS_OF_LONG // len(w))
+            self.con.register("given", pa.table({"w": w, "p": p, "n": n, "id": ids, "r": r}))
+            got = self.con.sql(CONTRACT_LONG.format(most=most)).to_arrow_table()
+            columns = [got.column(c).to_numpy() for c in ("w", "p", "n", "id", "r", "k")]
+            order = np.lexsort((columns[1], columns[0]))
+            w, p, n, ids, r, k = (c[order] for c in columns)
+            at, first = np.unique(w, return_index=True)
+            for i, a, z in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(w)]):
+                if k[a] < most:
+                    done[i] = ids[a:z].astype("<i4").tobytes()
+            more = k == most
+            w, p, n, ids, r = (c[more] for c in (w, p, n, ids, r))
+        return done
+
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, four bytes each, for words of at most ``LONG`` bytes."""
+        w, p, n, ids, r = self._positions(words)
+        self.con.register("given", pa.table({"w": w, "p": p, "n": n, "id": ids, "r": r}))
         got = self.con.sql(CONTRACT).to_arrow_table()
         w, p, ids = (got.column(c).to_numpy() for c in ("w", "p", "id"))
         order = np.lexsort((p, w))
@@ -111,11 +215,12 @@ class Codec:
 
     def _learn(self, pieces: set[str]) -> None:
         matches = {x: [m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(x)] for x in pieces}
-        words = list({m for ms in matches.values() for m in ms})
+        words = {m for ms in matches.values() for m in ms}
+        long = {m for m in words if len(m) > LONG}
         ids: dict[bytes, bytes] = {}
-        for i in range(0, len(words), WORDS_A_QUERY):
-            part = words[i : i + WORDS_A_QUERY]
-            ids.update(zip(part, self._contract(part)))
+        for some, contract in ((words - long, self._contract), (long, self._contract_long)):
+            for part in _parts(some):
+                ids.update(zip(part, contract(part)))
         for x, ms in matches.items():
             self.pieces[x] = b"".join([ids[m] for m in ms])
 

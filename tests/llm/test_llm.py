@@ -94,6 +94,18 @@ def test_bpe_equals_the_public_library_and_decodes(docs):  # noqa: ANN001
     assert all(bytes(r.bytes).decode() == (r.text or "") for r in back.select("text", "bytes").collect())
 
 
+def test_long_words_equal_the_public_library(monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(bpe, "ROWS_OF_LONG", 20_000)  # the recursion stops and goes on
+    ranks, rnd = bpe.read_ranks(TIKTOKEN), random.Random(7)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["".join(rnd.choices(a, k=k)) for a in ("ab", "aeinst", "étaü", "=-") for k in (255, 256, 257, 400, 1500)]
+    texts += ["a" * 5001, "ab" * 2000, "=" * 3000, " " * 900 + "x", " ".join(texts)]
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    ids = list(codec.encode(texts))
+    assert [x.tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+    assert list(codec.decode(ids)) == [t.encode() for t in texts]
+
+
 def test_special_strings_are_ordinary_text(spark):  # noqa: ANN001
     text = "<|endoftext|> x<|endoftext|>"
     one = spark.createDataFrame([(1, text)], "doc_id long, text string")
