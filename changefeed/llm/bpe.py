@@ -10,7 +10,8 @@ bounded; it goes on from the state it reached. A rank whose token forms a pair o
 neighbour (``alone``) is contracted one place a step, so that both forms give the same ids.
 Decoding is an ordered aggregation of the tokens' bytes.
 
-Encoded words are remembered by the worker, at most ``MEMORY`` of them; only speed depends on that.
+Encoded words are remembered by the worker, at most ``MEMORY`` and those of the round at hand; beyond, it keeps
+those that the round at hand uses. Only speed depends on that.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ WORDS_A_QUERY = 5000
 SQUARES_A_QUERY = 6_000_000
 LONG = 256
 ROWS_OF_LONG = 2_000_000
-MEMORY = 400_000
+MEMORY = 550_000
 CHARACTERS_A_ROUND = 2_000_000
 
 CONTRACT = """
@@ -239,10 +240,10 @@ class Codec:
                 cuts.append(cut(texts[at]))
                 size += len(texts[at])
                 at += 1
-            new = set().union(*cuts) - self.pieces.keys()
+            met = set().union(*cuts)
+            new = met - self.pieces.keys()
             if len(self.pieces) + len(new) > MEMORY:
-                self.pieces.clear()
-                new = set().union(*cuts)
+                self.pieces = {x: self.pieces[x] for x in met - new}
             if new:
                 self._learn(new)
             for c in cuts:
@@ -261,10 +262,10 @@ class Codec:
                 cuts.append([flat[a:b] for a, b in zip([0, *starts], [*starts, len(flat)])])
                 size += len(flat)
                 at += 1
-            new = set().union(*cuts) - self.parts.keys()
+            met = set().union(*cuts)
+            new = met - self.parts.keys()
             if len(self.parts) + len(new) > MEMORY:
-                self.parts.clear()
-                new = set().union(*cuts)
+                self.parts = {x: self.parts[x] for x in met - new}
             todo = list(new)
             for i in range(0, len(todo), 8 * WORDS_A_QUERY):
                 part = todo[i : i + 8 * WORDS_A_QUERY]
