@@ -7,10 +7,12 @@ strings of that length are judged, none is sampled; anchors only decide which of
    (the leftmost of equals). Equal strings have their anchor at the same place. Neighbouring strings share anchors, so a
    document becomes runs (anchor hash, first start, number of starts), one for about every 35 bytes.
    A run's slice is all bytes its strings touch; its second hash covers the slice.
-2. *Shards.* Runs are dealt by anchor hash, packed in arrays. A task sends each (anchor, slice) of a batch once, and
-   declares the batch's later copies removed itself, so copies of any number stay as many rows as there are batches.
+2. *Shards.* Runs are dealt by anchor and slice, packed in arrays. A task sends each (anchor, slice) of a batch once, and
+   declares the batch's later copies removed itself. Their ranges need no judgement and are spread over all shards.
+   So a slice of any number of copies is as many rows as there are batches, and no shard has more than its share of others.
    The earliest run of each slice owns it; others are removed whole (anchor and slice hash together are 128 bits; copies
-   within a batch are compared byte by byte). Owners whose anchor has other slices are contested.
+   within a batch are compared byte by byte). Owners are dealt again by anchor: those whose anchor has other slices are
+   contested. A shard sends at most ``CROWD`` + 1 owners of an anchor, as these alone make it crowded.
 3. *Suffix sort.* Contested slices are read from the texts and dealt by anchor. The suffixes that begin at the
    anchors are sorted by mergesort; two suffixes are compared by their longest common extension, found by binary search over prefix
    polynomial hashes, so a comparison takes logarithmic time. Neighbours in sorted order then give right extensions
@@ -104,8 +106,8 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np
     return {"doc": np.searchsorted(ends, q, "right"), "q": q, "n": n, "o": a - q, "h": h[a], "s": s}
 
 
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
-    """Buffers of about BATCH_BYTES and their segments (rid, offset in the document, start, end).
+def segments(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[tuple[np.ndarray, list]]:
+    """Buffers of about ``batch_bytes`` and their segments (rid, offset in the document, start, end).
 
     A longer document is cut into segments that overlap by LENGTH - 1 bytes, so each string is in exactly one.
     """
@@ -113,12 +115,12 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
     for b in batches:
         for rid, text in zip(b.column("rid").to_pylist(), b.column("text").cast(pa.binary())):
             text = text.as_py()
-            for base in range(0, max(1, len(text) - LENGTH + 1), BATCH_BYTES):
-                piece = text[base : base + BATCH_BYTES + LENGTH - 1]
+            for base in range(0, max(1, len(text) - LENGTH + 1), batch_bytes):
+                piece = text[base : base + batch_bytes + LENGTH - 1]
                 parts.append(piece)
                 held.append((rid, base, size, size + len(piece)))
                 size += len(piece)
-                if size >= BATCH_BYTES:
+                if size >= batch_bytes:
                     yield np.frombuffer(b"".join(parts), np.uint8), held
                     parts, held, size = [], [], 0
     if held:
@@ -126,24 +128,45 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
 
 
 FIELDS = (("h", np.uint64), ("s", np.uint64), ("rid", np.int64), ("q", np.int64), ("n", np.uint8), ("o", np.uint8))
+OWNERS = tuple(x for x in FIELDS if x[0] != "s")
+RANGES = (("rid", np.int64), ("q", np.int64), ("n", np.int32))
+REMOVED, CONTESTED, CROWDED, OPEN = 0, 1, 2, 3
+DEALT = "shard long, fate int, blob binary"
 
 
-def _pack(columns: dict[str, np.ndarray], pick: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(columns[k][pick].astype(t)).tobytes() for k, t in FIELDS)
+def _pack(columns: dict[str, np.ndarray], pick: np.ndarray, fields: tuple = FIELDS) -> bytes:
+    raw = b"".join(np.ascontiguousarray(columns[k][pick].astype(t)).tobytes() for k, t in fields)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    width, out = sum(np.dtype(t).itemsize for _, t in FIELDS), {k: [] for k, _ in FIELDS}
+def _unpack(blobs: list[bytes], fields: tuple = FIELDS) -> dict[str, np.ndarray]:
+    width, out = sum(np.dtype(t).itemsize for _, t in fields), {k: [] for k, _ in fields}
     for blob in blobs:
         raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
         rows = len(raw) // width
-        for k, t in FIELDS:
+        for k, t in fields:
             out[k].append(np.frombuffer(raw, t, rows, at))
             at += rows * np.dtype(t).itemsize
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
+def _deal(columns: dict[str, np.ndarray], pick: np.ndarray, shard: np.ndarray, fields: tuple) -> list[tuple]:
+    """A row of DEALT for each shard of the picked open runs."""
+    order = np.argsort(shard, kind="stable")
+    ids, start = np.unique(shard[order], return_index=True)
+    return [(int(k), OPEN, _pack(columns, part, fields)) for k, part in zip(ids, np.split(pick[order], start[1:]))]
+
+
+def _removed(columns: dict[str, np.ndarray], pick: np.ndarray) -> bytes:
+    """Packed ranges of the picked runs; those that follow each other in a document become one."""
+    rid, q, n = (columns[k][pick].astype(np.int64) for k in ("rid", "q", "n"))
+    order = np.lexsort((q, rid))
+    rid, q, n = rid[order], q[order], n[order]
+    head = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (q[1:] != q[:-1] + n[:-1])))
+    ranges = {"rid": rid[head], "q": q[head], "n": np.add.reduceat(n, head)}
+    return _pack(ranges, np.arange(len(head)), RANGES)
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """Group numbers of rows sorted by keys: they rise where any key changes."""
     change = np.zeros(len(keys[0]), bool)
@@ -153,10 +176,10 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def find_runs(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, copies and a blob of packed runs."""
+    """Packed runs of each batch by their slices, and the ranges of the batch's own copies, spread over all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, held in segments(batches):
+        for data, held in segments(batches, BATCH_BYTES):
             rid, base, starts, ends = (np.array(x, np.int64) for x in zip(*held))
             r = runs(data, starts, ends)
             if not len(r["q"]):
@@ -174,43 +197,77 @@ def find_runs(docs: DataFrame, shards: int) -> DataFrame:
                 x, y = order[i], owner[i]
                 first[i] = text[slices[0][x] : slices[1][x]] != text[slices[0][y] : slices[1][y]]
             again, once = np.sort(order[~first]), np.sort(order[first])
-            shard = (columns["h"][once] >> U(20)) % U(shards)
-            out = [(int(k), False, _pack(columns, once[shard == k])) for k in np.unique(shard)]
-            if len(again):
-                out.append((int(columns["h"][again[0]] % U(shards)), True, _pack(columns, again)))
-            names = ["shard", "copies", "blob"]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=pa.schema(list(zip(names, (pa.int64(), pa.bool_(), pa.binary())))))
+            out = _deal(columns, once, mixed(columns["h"][once] + columns["s"][once] * U(OTHER)) % U(shards), FIELDS)
+            if len(again):  # dealt by the batch's place, whatever was copied
+                place = mixed(rid[:1].astype(np.uint64) * U(BASE) + base[:1].astype(np.uint64))
+                out.append((int(mixed(place)[0] % U(shards)), REMOVED, _removed(columns, again)))
+            yield _dealt(out)
+
+    return docs.select("rid", "text").mapInArrow(run, DEALT)
 
-    return docs.select("rid", "text").mapInArrow(run, "shard long, copies boolean, blob binary")
 
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema([("shard", pa.int64()), ("fate", pa.int32()), ("blob", pa.binary())])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
-REMOVED, CONTESTED, CROWDED = 0, 1, 2
 
+def find_owners(dealt: DataFrame, shards: int) -> DataFrame:
+    """Owners of slices by their anchors, and what is known already: copies, and owners of anchors crowded here.
 
-def judge_runs(packed: DataFrame) -> DataFrame:
+    All runs of a slice are in one shard, those of an anchor in many. A shard sends CROWD + 1 owners of an anchor at
+    most: these alone make it crowded, so what becomes of the others is known.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own, out, found = key[0].as_py(), [], []
+        for fate, blob in zip(table.column("fate").to_pylist(), table.column("blob").to_pylist()):
+            if fate == OPEN:
+                found.append(blob)
+            else:
+                out.append((own, fate, blob))
+        if found:
+            r = _unpack(found)
+            order = np.lexsort((r["q"], r["rid"], r["s"], r["h"]))
+            r = {k: v[order] for k, v in r.items()}
+            first = np.diff(_groups(r["h"], r["s"]), prepend=-1) > 0
+            if not first.all():
+                out.append((own, REMOVED, _removed(r, np.flatnonzero(~first))))
+            owners = np.flatnonzero(first)
+            of_anchor = _groups(r["h"][owners])
+            place = np.arange(len(owners)) - np.searchsorted(of_anchor, of_anchor)
+            if (place > CROWD).any():
+                out.append((own, CROWDED, _pack(r, owners[place > CROWD], RANGES)))
+            some = owners[place <= CROWD]
+            out += _deal(r, some, (r["h"][some] >> U(20)) % U(shards), OWNERS)
+        return pa.Table.from_batches([_dealt(out)])
+
+    return dealt.groupBy("shard").applyInArrow(run, DEALT)
+
+
+def judge_runs(dealt: DataFrame) -> DataFrame:
     """rid, q, n, o, h and what becomes of each run; owners of an uncontested slice are left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        copies = table.column("copies").to_pylist()
+        fates = table.column("fate").to_pylist()
         blobs = table.column("blob").to_pylist()
         parts = []
-        if later := [b for b, c in zip(blobs, copies) if c]:
-            r = _unpack(later)
-            parts.append({**r, "fate": np.full(len(r["q"]), REMOVED)})
-        if rest := [b for b, c in zip(blobs, copies) if not c]:
-            r = _unpack(rest)
-            order = np.lexsort((r["q"], r["rid"], r["s"], r["h"]))
+        for known in (REMOVED, CROWDED):
+            if some := [b for b, f in zip(blobs, fates) if f == known]:
+                r = _unpack(some, RANGES)
+                none = np.zeros(len(r["q"]), np.int64)
+                parts.append({**r, "o": none, "h": none, "fate": np.full(len(none), known)})
+        if some := [b for b, f in zip(blobs, fates) if f == OPEN]:
+            r = _unpack(some, OWNERS)
+            order = np.argsort(r["h"], kind="stable")
             r = {k: v[order] for k, v in r.items()}
-            of_anchor, of_slice = _groups(r["h"]), _groups(r["h"], r["s"])
-            first = np.diff(of_slice, prepend=-1) > 0
-            kinds = np.bincount(of_anchor, first)[of_anchor]
-            fate = np.where(first, np.where(kinds > CROWD, CROWDED, CONTESTED), REMOVED)
-            keep = ~first | (kinds > 1)
+            of_anchor = _groups(r["h"])
+            kinds = np.bincount(of_anchor)[of_anchor]
+            fate, keep = np.where(kinds > CROWD, CROWDED, CONTESTED), kinds > 1
             parts.append({**{k: v[keep] for k, v in r.items()}, "fate": fate[keep]})
         kinds = (("rid", np.int64), ("q", np.int64), ("n", np.int32), ("o", np.int32), ("h", np.int64), ("fate", np.int32))
         return pa.table({k: np.concatenate([p[k] for p in parts]).astype(t) for k, t in kinds})
 
-    return packed.groupBy("shard").applyInArrow(run, "rid long, q long, n int, o int, h long, fate int")
+    return dealt.groupBy("shard").applyInArrow(run, "rid long, q long, n int, o int, h long, fate int")
 
 
 SLICE = (("h", pa.int64()), ("h2", pa.int64()), ("rid", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("bytes", pa.binary()))
@@ -416,7 +473,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """rid and the ranges (q, n) of repeated starts of keyed documents that have any."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(partitions(docs), -(-size // SHARD_BYTES))
-    fates = materialise(judge_runs(find_runs(docs, shards)), "runs")
+    fates = materialise(judge_runs(find_owners(find_runs(docs, shards), shards)), "runs")
     slices = materialise(read_slices(docs, fates), "slices")
     removed = fates.where(F.col("fate") == REMOVED).select("rid", "q", "n")
     every = removed.union(sort_slices(slices)).union(crowded(slices))

@@ -339,6 +339,22 @@ def test_repeats_equal_plain_removal(spark, docs, monkeypatch, crowd, batch):  #
     same(repeats.digests(docs).collect(), kept_plainly(documents()))
 
 
+@pytest.mark.parametrize("kind", ["document", "line", "letter"])
+def test_runs_of_a_frequent_text_are_spread_over_the_shards(spark, monkeypatch, kind):  # noqa: ANN001
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 5000)
+    rnd = random.Random(9)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    page, line = prose(1000), prose(80)
+    often = {"document": lambda: page, "line": lambda: prose(90) + line + prose(90), "letter": lambda: "a" * 1000}[kind]
+    texts = [often() if i % 3 == 0 else prose(1000 if kind != "line" else 260) for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").coalesce(1)
+    dealt = repeats.find_runs(docs, 16)
+    frames = [dealt, repeats.find_owners(dealt, 16)] if kind != "line" else [dealt]
+    for frame in frames:
+        sizes = [r.n for r in frame.groupBy("shard").agg(F.sum(F.length("blob")).alias("n")).collect()]
+        assert len(sizes) == 16 and max(sizes) < 1.4 * sum(sizes) / 16
+
+
 def test_suffix_order_is_the_sorted_order():
     rnd = random.Random(6)
     pieces = [bytes(rnd.choices(b"ab", k=rnd.randint(1, 40))) for _ in range(300)]
