@@ -1,11 +1,13 @@
-"""Licence scans: an exact set-similarity join between lines of texts and licence templates.
+"""Licence scans: an exact set-similarity join between word windows of texts and licence templates.
 
-Built-in functions only. Sets of words are compared: a line meets a template if it holds at least ``CONTAINMENT`` of
-the template's distinct words. Words of templates are counted over all texts (in how many each occurs) and ordered
+Built-in functions only. Sets of words are compared: a window meets a template if it holds at least ``CONTAINMENT`` of
+the template's distinct words. A window is ``SPAN`` times as many words as the template has, wherever lines end: notices
+are wrapped over lines, and words far apart in a text without line ends are no notice. Every place is covered, as windows
+start at each of the template's words, but only in texts that hold enough of them. Words of templates are counted over all texts (in how many each occurs) and ordered
 from rare to frequent; in that order, with ``need`` the least number of words to share,
 
-* prefix filter: one of the first ``size - need + 1`` words of the template must be in the line,
-* length filter: the line must hold ``need`` template words at all,
+* prefix filter: one of the first ``size - need + 1`` words of the template must be in the window,
+* length filter: the window must hold ``need`` template words at all,
 * positional filter: from the first shared word on, both sides must have ``need`` words left.
 
 What passes is verified by the full intersection, so the join is exact. Templates are a fixed list, so its words (read by
@@ -15,14 +17,15 @@ the driver with their counts) and the index over its prefixes are bounded by tha
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changefeed.llm.common import keyed, materialise
 
-CONTAINMENT = 0.9
+CONTAINMENT, SPAN = 0.9, 2
 # A word: no ASCII control, space or sign. With capitals allowed, the words of a text and of its lower-cased form are the same.
 INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 OUTSIDE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -92,17 +95,21 @@ class Templates:
         self.labels = [label for label, _ in templates]
         kept = ["".join(c if c.isalnum() else " " for c in text.lower()).split() for _, text in templates]
         self.sets = [list(dict.fromkeys(words)) for words in kept]
+        self.lengths = [SPAN * len(words) for words in kept]
         self.needs = [max(1, math.ceil(containment * len(s) - 1e-9)) for s in self.sets]
         self.vocabulary = sorted({w for s in self.sets for w in s})
 
+    def able(self, present: Column) -> list[Column]:
+        """Whether a set of words reaches each template."""
+        return [F.size(F.array_intersect(present, F.lit(s))) >= n for s, n in zip(self.sets, self.needs)]
+
     def may_match(self, present: Column) -> Column:
-        """Whether a set of words reaches any template: no line of a text that fails can match."""
-        able = [F.size(F.array_intersect(present, F.lit(s))) >= n for s, n in zip(self.sets, self.needs)]
-        return reduce(lambda x, y: x | y, able)
+        """Whether a set of words reaches any template: no window of a text that fails can match."""
+        return reduce(lambda x, y: x | y, self.able(present))
 
 
 def prepared(docs: DataFrame, templates: Templates) -> DataFrame:
-    """One pass over keyed texts, written once: facts, template words present, and the text where a line may match."""
+    """One pass over keyed texts, written once: facts, template words present, and the text where a window may match."""
     words = docs.withColumn("words", word_list(F.col("text")))
     facts = phrase_facts(words).withColumn("present", F.array_intersect("words", F.lit(templates.vocabulary)))
     text = F.when(templates.may_match(F.col("present")), F.col("text")).alias("text")
@@ -110,8 +117,39 @@ def prepared(docs: DataFrame, templates: Templates) -> DataFrame:
     return materialise(facts.select(*names, text), "licences")
 
 
-def template_matches(rows: DataFrame, templates: Templates) -> DataFrame:
-    """rid, line (from 0), label and score of every line that meets a template."""
+def lines(maybe: DataFrame, templates: Templates, rank: dict[str, int], prefix: list[str]) -> DataFrame:
+    """rid, block, of (null: any template) and ranks of the template words of each line with a prefix word."""
+    spark = maybe.sparkSession
+    said = maybe.select("rid", F.posexplode(F.split("text", "\n")).alias("block", "said"))
+    said = said.select("rid", "block", F.array_distinct(word_list(F.col("said"))).alias("words"))
+    said = said.where(F.arrays_overlap("words", F.lit(prefix)))
+    known = _rows(spark, [(w, r) for w, r in rank.items()], "known rank")
+    words = said.select("rid", "block", F.explode("words").alias("word")).join(known, F.col("word") == F.col("known"))
+    blocks = words.groupBy("rid", "block").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    return blocks.select("rid", "block", F.lit(None).cast("int").alias("of"), "ranks")
+
+
+def windows(maybe: DataFrame, templates: Templates, rank: dict[str, int], prefix: list[str]) -> DataFrame:
+    """rid, block (place of the first word), of (template) and ranks of its words in each window that starts with one.
+
+    Any window can be moved on to its first word of the template without losing one. The words of a template in one text
+    are one group, no larger than the text; a window reaches over ``length`` words of any kind.
+    """
+    spark = maybe.sparkSession
+    able = F.array(*[F.when(a, F.lit(t)) for t, a in enumerate(templates.able(F.col("present")))])
+    able = F.filter(able, lambda t: t.isNotNull()).alias("able")
+    said = maybe.select("rid", able, F.posexplode(word_list(F.col("text"))).alias("block", "word"))
+    of = [(w, t, rank[w], n) for t, (s, n) in enumerate(zip(templates.sets, templates.lengths)) for w in s]
+    known = _rows(spark, of, "known of rank length")
+    words = said.join(known, (F.col("word") == F.col("known")) & F.array_contains("able", F.col("of")))
+    ahead = Window.partitionBy("rid", "of").orderBy("block").rangeBetween(0, max(templates.lengths) - 1)
+    words = words.withColumn("near", F.collect_list(F.struct("block", "rank")).over(ahead))
+    inside = F.filter("near", lambda x: x["block"] < F.col("block") + F.col("length"))
+    return words.select("rid", "block", "of", F.array_sort(F.array_distinct(inside["rank"])).alias("ranks"))
+
+
+def template_matches(rows: DataFrame, templates: Templates, blocks_of: Callable = lines) -> DataFrame:
+    """rid, line (or place of the first word), label and score of every block that meets a template."""
     spark = rows.sparkSession
     counts = rows.select(F.explode("present").alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counts.collect()}  # at most the templates' words
@@ -124,31 +162,26 @@ def template_matches(rows: DataFrame, templates: Templates) -> DataFrame:
         index += [(r, t, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     prefix = [order[r] for r in sorted({x[0] for x in index})]
     maybe = rows.where(F.col("text").isNotNull() & F.arrays_overlap("present", F.lit(prefix)))
-    lines = maybe.select("rid", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    lines = lines.select("rid", "line", F.array_distinct(word_list(F.col("said"))).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", F.lit(prefix)))
-    known = _rows(spark, [(w, r) for w, r in rank.items()], "known rank")
-    words = lines.select("rid", "line", F.explode("words").alias("word")).join(known, F.col("word") == F.col("known"))
-    blocks = words.groupBy("rid", "line").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-    places = blocks.select("rid", "line", "ranks", F.size("ranks").alias("held"), F.posexplode("ranks").alias("j", "token"))
+    blocks = blocks_of(maybe, templates, rank, prefix).where(F.size("ranks") >= min(templates.needs))
+    places = blocks.select("rid", "block", "of", "ranks", F.size("ranks").alias("held"), F.posexplode("ranks").alias("j", "token"))
     met = places.join(_rows(spark, index, "key t i size need"), F.col("token") == F.col("key"))
     met = met.where((F.col("held") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.col("held") - F.col("j")) >= F.col("need")))
-    pairs = met.groupBy("rid", "line", "t").agg(F.first("ranks").alias("ranks"))
+    pairs = met.where(F.coalesce(F.col("of") == F.col("t"), F.lit(True))).groupBy("rid", "block", "t").agg(F.first("ranks").alias("ranks"))
     full = _rows(spark, whole, "u label size need whole")
     shared = F.size(F.array_intersect("ranks", "whole"))
     verified = pairs.join(full, F.col("t") == F.col("u")).withColumn("shared", shared).where("shared >= need")
-    return verified.select("rid", "line", "label", (F.col("shared") / F.col("size")).alias("score"))
+    return verified.select("rid", F.col("block").alias("line"), "label", (F.col("shared") / F.col("size")).alias("score"))
 
 
 def scan(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
     """Base facts and all labels of each row of ``docs`` (doc_id, text).
 
-    Null texts are empty: no words, no labels. The score is the best containment of any line that meets a
+    Null texts are empty: no words, no labels. The score is the best containment of any window that meets a
     template, 0 without one. Repeated rows and null ids each get a row; other columns are left out.
     """
     templates = templates or Templates()
     rows = prepared(keyed(docs), templates)
-    matches = template_matches(rows, templates).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    matches = template_matches(rows, templates, windows).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     joined = rows.drop("text", "present").join(matches, "rid", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.select(

@@ -396,6 +396,51 @@ def test_template_join_equals_all_pairs(spark):  # noqa: ANN001
     assert {tuple(r) for r in got} == want and want
 
 
+WRAPPED = [
+    ("mit", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the"),
+    ("gpl", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+            " * the Free Software Foundation, either version 3"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met:"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+    ("isc", "// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted, provided"),
+    ("mit", "Released under the terms\nof the MIT License"),
+]
+
+
+def test_notices_are_found_over_line_ends_and_scattered_words_are_not(spark):  # noqa: ANN001
+    prose = " ".join(["some other words of prose that go on"] * 200)
+    rows = [(i, f"{prose}\n{said}\n{prose}") for i, (_, said) in enumerate(WRAPPED)]
+    rows += [(10 + i, f"{prose} {said} {prose}".replace("\n", " ")) for i, (_, said) in enumerate(WRAPPED)]
+    rows += [(20, f"released {prose} under {prose} the {prose} mit {prose} license"), (21, "\n\n".join(["released", "under", *["x y z"] * 9, "license", "the mit"]))]
+    rows += [(22, "under \u00e9\nreleased the, MIT\n\n(license)")]
+    got = {r.doc_id: (r.labels, r.score) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(WRAPPED):
+        for found, score in (got[i], got[10 + i]):
+            assert label in found.split(",") and score >= 0.9, label
+    assert [got[i] for i in (20, 21, 22)] == [("", 0.0), ("", 0.0), ("mit", 1.0)]
+
+
+def test_windows_equal_all_windows(spark):  # noqa: ANN001
+    rnd, templates = random.Random(3), licences.Templates(containment=0.7)
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(3):
+            s = rnd.choice(templates.sets)
+            words += rnd.sample(s, k=rnd.randint(len(s) // 2, len(s))) + rnd.choices(["zz", "\n", "of", "the"], k=rnd.randint(0, 60))
+        rows.append((i, " ".join(words)))
+    want = set()
+    for i, text in rows:
+        words = text.split()
+        for label, s, need, n in zip(templates.labels, templates.sets, templates.needs, templates.lengths):
+            for at, w in enumerate(words):
+                if w in s and (shared := len(set(words[at : at + n]) & set(s))) >= need:
+                    want.add((i, at, label, shared / len(s)))
+    prepared = licences.prepared(spark.createDataFrame(rows, "rid long, text string").withColumn("doc_id", F.col("rid")), templates)
+    got = licences.template_matches(prepared, templates, licences.windows).collect()
+    assert {tuple(r) for r in got} == want and want
+
+
 def test_pipeline_stages(spark, docs):  # noqa: ANN001
     kept, names = docs, docs.columns
     for name, stage in corpus_pipeline.STAGES[:3]:
