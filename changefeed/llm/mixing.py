@@ -5,7 +5,7 @@ stream is cut into blocks of equal numbers of words. Slot i of the schedule has
 point, which falls into one source's part of the cumulated targets; the slots of a source are
 ranked and slot of rank r takes block r of the stream. So every stretch of the
 schedule holds the sources near their weights. A source's last block ends at its target; ranks that the points
-left out close the schedule.
+left out close the schedule. Mixed documents are laid out by the slots of their first pieces.
 
 The running sums that place documents in a stream are made in two levels (ranges of the hash,
 then within), so a source with a third of all rows is never sorted in one task. Sources are
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import WORD, keyed, materialise, packed, unpacked
+from changefeed.llm.common import WORD, keyed, materialise, packed, partitions, unpacked
 
 BLOCK = 4096
 PASSES = 3
@@ -119,7 +119,7 @@ def words(text: Column) -> Column:
 
 class Mix:
     """What a mix takes: ``documents`` (rid, doc_id, source, size, source_size, target) and ``pieces``
-    (slot, rid, pass, from_word, to_word)."""
+    (slot, rid, pass, at, from_word, to_word); ``at`` is the piece's place in the stream of its source."""
 
     def __init__(self, documents: DataFrame, pieces: DataFrame) -> None:
         self.documents, self.pieces = documents, pieces
@@ -164,6 +164,7 @@ def mix(sized: DataFrame, weights=None, block: int = BLOCK, passes: int = PASSES
         "slot",
         "rid",
         "pass",
+        F.greatest("low", F.col("rank") * block).alias("at"),
         (F.greatest("low", F.col("rank") * block) - F.col("low")).alias("from_word"),
         (F.least("high", (F.col("rank") + 1) * block) - F.col("low")).alias("to_word"),
     )
@@ -182,24 +183,27 @@ def mix_documents(docs: DataFrame, weights=None, block: int = BLOCK) -> Mix:  #
     return mix(sized(keyed(docs, keep=("source",))), weights, block)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each pass that takes a document, all columns.
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as documents: a row for each pass that takes a document, all columns, in the order of the schedule.
 
     Only the last document of a source's target is cut, to its first words; every other row has its whole text.
     """
     rows = keyed(packed(docs), keep=("rest",))
-    pieces = mix(sized(rows.withColumn("source", F.col("rest.source")))).pieces
-    spans = pieces.groupBy("rid", "pass").agg(F.min("from_word").alias("from"), F.max("to_word").alias("to"))
+    pieces = mix(sized(rows.withColumn("source", F.col("rest.source"))), block=block).pieces
+    ends = (F.min("from_word").alias("from"), F.max("to_word").alias("to"), F.min("slot").alias("slot"), F.min("at").alias("at"))
+    spans = pieces.groupBy("rid", "pass").agg(*ends)
     whole = (F.col("from") == 0) & (F.col("to") == words(F.col("text")))
     all_words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.slice(all_words, F.col("from") + 1, F.col("to") - F.col("from")), " ")
-    out = unpacked(rows.join(spans, "rid").withColumn("text", F.when(whole, F.col("text")).otherwise(part)), docs)
+    taken_rows = rows.join(spans, "rid").withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    order = ("slot", "at", "rid", "pass")
+    out = unpacked(taken_rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order), docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
 def taken(m: Mix) -> DataFrame:
-    """Words that the mix takes of each document, repeats counted."""
-    sums = m.pieces.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    """Words that the mix takes of each document, repeats counted, and the slot of its first piece (null if none)."""
+    sums = m.pieces.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
     return m.documents.join(sums, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))

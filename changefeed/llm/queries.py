@@ -44,7 +44,7 @@ def token_files(docs: DataFrame) -> DataFrame:
 @query("op6_mix_sources")
 def mix_sources(docs: DataFrame) -> DataFrame:
     taken = mixing.taken(mixing.mix_documents(docs))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @query("op7_quality_rules")

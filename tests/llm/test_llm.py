@@ -250,6 +250,18 @@ def test_schedule_is_even_and_complete(spark):  # noqa: ANN001
     assert 40 <= sum(r.src == 0 for r in rows[:200]) <= 60
 
 
+def test_mixed_documents_follow_the_schedule(spark):  # noqa: ANN001
+    rows = [(i, f"{i} " + "w " * 31, "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = [r.source for r in mixing.mixed_documents(docs, block=64).collect()]
+    share = {s: order.count(s) / len(order) for s in "abc"}
+    assert abs(share["c"] - 0.5) < 0.01
+    for i in range(0, len(order) - 90, 90):
+        assert all(abs(order[i : i + 90].count(s) / 90 - share[s]) < 0.1 for s in "abc"), i
+    got = mixing.taken(mixing.mix_documents(docs, block=64)).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+
+
 def plain_facts(text: str | None) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
