@@ -2,6 +2,7 @@
 
 Texts are range-partitioned by document id first (ids and texts only), encoded where they land, and written as
 one ORC file for each partition in ascending order: file names, stripes and rows all follow the ids.
+Added tokens of the tokenizer file that stand in a text have their own ids, as in the library.
 ORC stores the ids as run-length encoded integers in stripes of ``stripe_bytes`` with row indexes and a Bloom filter on
 ``doc_id``, so readers take stripes in parallel and skip those a range or a point query cannot match.
 """
@@ -43,16 +44,23 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """A tokenizer of the public library in one worker. Pieces met before are looked up."""
+    """A tokenizer of the public library in one worker. Pieces met before are looked up.
+
+    Texts are cut at added tokens first (the leftmost, of those the longest); the parts between are independent texts.
+    """
 
     def __init__(self, text: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
         pre = json.loads(text).get("pre_tokenizer") or {}
         self.plain = json.loads(text).get("normalizer") is None and pre.get("type") == "ByteLevel"
         self.plain = self.plain and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        added = json.loads(text).get("added_tokens") or []
+        self.plain = self.plain and not any(a.get(k) for a in added for k in ("lstrip", "rstrip", "single_word"))
+        self.added = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in added}
+        literals = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
+        self.literals = re.compile(f"({literals})") if literals else None
         self.letters = dict(enumerate(_byte_letters()))
         self.matches = regex.compile(public_tokenizers.PATTERN)
         self.pieces: dict[str, bytes] = {}
@@ -82,15 +90,22 @@ class Encoder:
             part = rest[i : i + 2000]
             self.pieces.update(zip(part, [np.array(x, "<u4").tobytes() for x in self._ids(part)]))
 
+    def _cut(self, text: str) -> list[str]:
+        if not any(x in text for x in self.added):
+            return cut(text)
+        parts = self.literals.split(text)  # every second part is an added token
+        return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else cut(part) if part else [])]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.plain:
             return [np.array(x, "<u4") for x in self._ids(texts)]
-        cuts = [cut(t) if t else [] for t in texts]
+        cuts = [self._cut(t) if t else [] for t in texts]
         new = set().union(*cuts) - self.pieces.keys()
         if len(self.pieces) + len(new) > MEMORY:
             self.pieces.clear()
             new = set().union(*cuts)
-        new.discard("")
+        new -= {"", *self.added}
+        self.pieces.update(self.added)
         self.pieces[""] = b""
         if new:
             self._learn(new)

@@ -221,6 +221,20 @@ def test_token_files_equal_the_library(docs):  # noqa: ANN001
     assert [r.doc_id for r in by_start] == [w[0] for w in want]
 
 
+def test_added_tokens_in_a_text_have_their_own_ids(spark):  # noqa: ANN001
+    from tokenizers import Tokenizer
+
+    library, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end} x", f"a{end}b\n", f"é  {end}  é", f"<{end}>", "<|endoftext|", f"x <|endof{end}text|>", "plain", ""]
+    got = tokens.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, 2).collect()
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    same([tuple(r) for r in got], want)
+
+
 def test_mix_reaches_targets(docs):  # noqa: ANN001
     got = mixing.taken(mixing.mix_documents(docs, block=16)).collect()
     rows = documents()
