@@ -7,7 +7,7 @@ for "earlier" documents compares ``rid`` alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changefeed.session import shared_dir
@@ -86,3 +86,22 @@ def worker_cache(name: str) -> dict:
     import sys
 
     return sys.__dict__.setdefault("_changefeed_cache", {}).setdefault(name, {})
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """``rows`` with their place in ``order``, from 0 without gaps, as column ``name``.
+
+    Rows are dealt by ranges of the order and then of their places in the input, so that many rows equal in
+    ``order`` do not meet in one task; which of them comes first is open. They are written once: the
+    numbers of a range begin where the counts of the ranges before it, one row each, end.
+    """
+    keys = [*order, F.col("__tie")]
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(partitions(rows), *keys).sortWithinPartitions(*keys).drop("__tie")
+    placed = materialise(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))  # the engine's id: range, then place in it
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    bases = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    place = F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return placed.join(bases, "__range").withColumn(name, place).drop("__range", "__base", "__at")

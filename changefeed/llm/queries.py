@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changefeed.llm import bpe, licences, mixing, neighbours, quality, repeats, simhash, tokens, toxicity, warc
+from changefeed.llm import bpe, licences, mixing, neighbours, quality, repeats, sharding, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,11 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_toxicity"] = toxicity_scores
+
+
+@query("op11_feistel_shards")
+def feistel_shards(docs: DataFrame) -> DataFrame:
+    return sharding.digests(docs)
+
+
+ORACLES["op11_feistel_shards"] = sharding.oracle()
