@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changefeed.llm import bpe, licences, mixing, neighbours, quality, repeats, sharding, simhash, tokens, toxicity, warc
+from changefeed.llm import bpe, licences, mixing, neighbours, quality, repeats, resampling, search, sharding, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,21 @@ def feistel_shards(docs: DataFrame) -> DataFrame:
 
 
 ORACLES["op11_feistel_shards"] = sharding.oracle()
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resampling.resampled(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES["op12_importance_resampling"] = importance_resampling
+ORACLES["op12_importance_resampling"] = resampling.oracle()
+
+
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("documents", "benchmark"))
+    return search.search(docs, items)
+
+
+QUERIES["op13_lexical_search"] = lexical_search
+ORACLES["op13_lexical_search"] = search.oracle()

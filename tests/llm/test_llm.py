@@ -106,11 +106,11 @@ def test_long_words_equal_the_public_library(monkeypatch):  # noqa: ANN001
     assert list(codec.decode(ids)) == [t.encode() for t in texts]
 
 
-def test_special_strings_are_ordinary_text(spark):  # noqa: ANN001
+def test_special_strings_are_text_to_the_ranks_and_tokens_to_the_library(spark):  # noqa: ANN001
     text = "<|endoftext|> x<|endoftext|>"
     one = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert bpe.digests(one, TIKTOKEN, public_tokenizers.PATTERN).first().n_tokens > 4
-    assert tokens.token_files(one, JSON, 2).first().n_tokens > 5
+    assert tokens.token_files(one, JSON, 2).first().n_tokens == 4  # the library alone gives the two added tokens, " x" and the end
 
 
 def fingerprint(text: str | None) -> int:
