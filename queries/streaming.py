@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.operators import monitor as M
+from changefeed.operators import apply as A
 from changefeed.plans.snapshot import SnapshotTable
 from changefeed.session import shared_dir
+from changefeed.spec import APPLIED_OPS, OP_DELETE
+from changefeed.streaming import stateful as ST
 from changefeed.streaming import streams as S
 from queries.base import Tables, moment, query
 from queries.monitor import _ROLLUP
@@ -72,12 +74,40 @@ def _(t: Tables) -> DataFrame:
     return _applied(t).log().drop("processed_at")
 
 
+def _in_parts(t: Tables, view: str, parts: int = 6) -> DataFrame:
+    """A view as a stream of ``parts`` micro-batches or more: its rows, laid out by position, come a few files at a time."""
+    folder = shared_dir(t.spark, "arriving")
+    rows = t(view)
+    rows.repartitionByRange(parts, "start_lsn", "seqval").write.parquet(folder)
+    return S.stream_changes(t.spark, folder, rows.schema, max_per_trigger=1)
+
+
 @query(
     "i4_debounced_merges",
-    """select schema_name, table_name from {merge_control} where has_changes and not is_merging and last_change_at < timestamp '1999-06-01 00:00:00' - interval 5 second""",
+    """with f as (select customer_id as schema_name, event_type as table_name, pk, value, op_code, changed_at, start_lsn, seqval from {change_feed}),
+    w as (select * from (select *, row_number() over (partition by schema_name, table_name, pk order by start_lsn desc, seqval desc) as rn
+      from f where op_code in (1, 2, 4)) where rn = 1 and op_code <> 1)
+    select f.schema_name, f.table_name, count(*) as changes, max(changed_at) as last_change_at,
+      (select count(*) from w where w.schema_name = f.schema_name and w.table_name = f.table_name) as merged_rows from f group by 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
-    return M.pending_merges(t("merge_control"), moment("1999-06-01 00:00:00")).select("schema_name", "table_name")
+    root, named = shared_dir(t.spark, "quiet"), {"customer_id": "schema_name", "event_type": "table_name"}
+    staged = t("change_feed").drop("table_name").withColumnsRenamed(named)
+
+    def merge(tables: DataFrame, batch_id: int) -> None:
+        # The staged changes of the quiet tables, a row per key, replace what an earlier burst left of them.
+        tables.write.mode("overwrite").parquet(f"{root}/reports/batch_{batch_id}")
+        due = staged.join(tables.select(*ST.TABLE), ST.TABLE)
+        last = A.latest_per_key(due.where(F.col("op_code").isin(*APPLIED_OPS)), [*ST.TABLE, "pk"], ["start_lsn", "seqval"])
+        last.where(F.col("op_code") != OP_DELETE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*ST.TABLE).parquet(f"{root}/tables")
+
+    changes = _in_parts(t, "change_feed").drop("table_name").withColumnsRenamed(named)
+    ST.await_read(ST.merge_when_quiet(changes, merge, f"{root}/state", quiet_s=3, period="0 seconds"), emptied=True)
+    # On a slow machine a table may fall quiet more than once; its bursts add up.
+    reports = t.spark.read.parquet(f"{root}/reports/batch_*").groupBy(*ST.TABLE).agg(F.sum("changes").alias("changes"), F.max("last_change_at").alias("last_change_at"))
+    tables = t.spark.read.parquet(f"{root}/tables").groupBy(*ST.TABLE).agg(F.count("*").alias("merged_rows"))
+    merged = F.coalesce("merged_rows", F.lit(0).cast("long")).alias("merged_rows")
+    return reports.join(tables, ST.TABLE, "left").select(*ST.TABLE, "changes", F.col("last_change_at").cast("timestamp_ntz"), merged)
 
 
 @query("i5_stream_rollup", _ROLLUP)
@@ -107,3 +137,15 @@ def _(t: Tables) -> DataFrame:
     latest = S.latest_state(feed, ["pk"], ["start_lsn", "seqval"])
     out = S.latest_output(t.spark, _emitted(t, latest, "update"), ["pk"])
     return out.select("pk", "event_id", "op_code", "value")
+
+
+@query(
+    "i7_live_state",
+    """select pk, event_id, op_code, value from (select *, row_number() over (partition by pk order by start_lsn desc, seqval desc) as rn
+    from {change_feed} where op_code in (1, 2, 4)) where rn = 1 and op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    root = shared_dir(t.spark, "live")
+    feed = _in_parts(t, "change_feed").select("pk", "event_id", "op_code", "value", "start_lsn", "seqval")
+    ST.await_read(ST.keep_live(feed, ["pk"], ["start_lsn", "seqval"], f"{root}/state", "0 seconds"))
+    return ST.live_rows(t.spark, f"{root}/state").select("pk", "event_id", "op_code", "value")
