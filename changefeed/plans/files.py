@@ -1,4 +1,4 @@
-"""Small files on the cluster's file system, through Hadoop's own interface."""
+"""Names on the cluster's file system, through Hadoop's own interface."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 class SharedFiles:
-    """Read, list and publish small text files below one root."""
+    """List and delete below one root."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._jvm = spark._jvm
@@ -27,24 +27,8 @@ class SharedFiles:
         path = self._path(name)
         return self._fs.exists(path) and self._fs.getFileStatus(path).isDirectory()
 
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._path(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def publish(self, name: str, text: str) -> bool:
-        """Write a new file so that readers see all of it or nothing; false if it exists already."""
-        final, draft = self._path(name), self._path(name + ".draft")
-        if self._fs.exists(final):
-            return False
-        out = self._fs.create(draft, True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        return bool(self._fs.rename(draft, final))
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

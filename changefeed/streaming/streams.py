@@ -1,4 +1,4 @@
-"""Continuous versions: polled feeds, durable apply, rollups, redelivery, live latest state."""
+"""Continuous versions: polled feeds, rollups, redelivery, latest rows. Targets are in ``sinks``, timers in ``stateful``."""
 
 from __future__ import annotations
 
@@ -12,12 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from changefeed.operators.apply import latest_per_key
 from changefeed.operators.monitor import activity_rollup
 from changefeed.plans.files import SharedFiles
-from changefeed.plans.snapshot import SnapshotTable
-from changefeed.spec import Position
 
 # --- Fixed values -----------------------------------------------------------
 SOURCE_PERIOD = "1 second"
-SINK_PERIOD = "5 seconds"
 # --- End of fixed values ----------------------------------------------------
 
 
@@ -37,37 +34,6 @@ def _trigger(period: str | None) -> dict[str, object]:
     return {"processingTime": period} if period else {"availableNow": True}
 
 
-def stream_apply(
-    stream: DataFrame,
-    table: SnapshotTable,
-    checkpoint: str,
-    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
-    mode: str = "hard",
-    order: Sequence[str] = Position().columns,
-    op: str = "op_code",
-    guard: bool = True,
-    feed: Sequence[str] = (),
-    log: Callable[[DataFrame], DataFrame] | None = None,
-    period: str | None = SINK_PERIOD,
-) -> StreamingQuery:
-    """Keep a target table up to date with a stream of changes.
-
-    Each micro-batch is merged, checkpoints move and a log row is written in one commit of
-    the table. After a crash the engine repeats the last batch; the table knows its number
-    and skips it. Without a period everything available is applied and the query ends.
-    """
-
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        table.merge(prepare(batch), batch_id, mode, order, op, guard, feed, log)
-
-    return (
-        stream.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(period))
-        .start()
-    )
-
-
 def stream_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", period: str | None = None) -> StreamingQuery:
     """Append the rows a stream emits to parquet files.
 

@@ -5,13 +5,16 @@ Each query writes below the cluster's shared folder and reads the result back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changefeed.operators import apply as A
-from changefeed.plans.snapshot import SnapshotTable
+from changefeed.plans.partitioned import PartitionedTarget
 from changefeed.session import shared_dir
 from changefeed.spec import APPLIED_OPS, OP_DELETE
+from changefeed.streaming import sinks as SK
 from changefeed.streaming import stateful as ST
 from changefeed.streaming import streams as S
 from queries.base import Tables, moment, query
@@ -36,20 +39,28 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(_emitted(t, rows) + "/batch_*").drop("__batch")
 
 
-def _applied(t: Tables) -> SnapshotTable:
+def _in_parts(t: Tables, view: str, parts: int = 6) -> DataFrame:
+    """A view as a stream of ``parts`` micro-batches or more: its rows, laid out by position, come a few files at a time."""
+    folder = shared_dir(t.spark, "arriving")
+    rows = t(view)
+    rows.repartitionByRange(parts, "start_lsn", "seqval").write.parquet(folder)
+    return S.stream_changes(t.spark, folder, rows.schema, max_per_trigger=1)
+
+
+def _applied(t: Tables) -> PartitionedTarget:
     root = shared_dir(t.spark, "target")
-    columns = ["pk", "customer_id", "event_type", "value", "start_lsn", "seqval"]
-    feed = _stream(t, "change_feed")
-    table = SnapshotTable(t.spark, f"{root}/table", feed.select(*columns).schema, ["pk"], buckets=16)
+    feed = _in_parts(t, "change_feed", 3)
+    # Many small tenants share a partition: a folder each would cost more than the rows in it.
+    schema = "tenant_group int, customer_id string, pk long, event_type string, value double, start_lsn string, seqval string"
+    target = PartitionedTarget(t.spark, f"{root}/table", schema, ["customer_id", "pk"], ["tenant_group"])
+    grouped = lambda rows: rows.withColumn("tenant_group", F.pmod(F.hash("customer_id"), F.lit(16)))
 
     def log(batch: DataFrame) -> DataFrame:
         counts = batch.groupBy("customer_id", "table_name").agg(F.count("*").alias("records_processed"))
         return counts.withColumn("processed_at", moment())
 
-    S.stream_apply(
-        feed, table, f"{root}/state", feed=["customer_id", "table_name"], log=log, period=None
-    ).awaitTermination()
-    return table
+    SK.stream_apply(feed, target, f"{root}/state", grouped, feed=["customer_id", "table_name"], log=log, period=None).awaitTermination()
+    return target
 
 
 @query(
@@ -58,7 +69,7 @@ def _applied(t: Tables) -> SnapshotTable:
     (select *, row_number() over (partition by pk order by start_lsn desc, seqval desc) as rn from {change_feed} where op_code in (1, 2, 4)) where rn = 1 and op_code <> 1""",
 )
 def _(t: Tables) -> DataFrame:
-    return _applied(t).read()
+    return _applied(t).read().drop("tenant_group")
 
 
 @query(
@@ -66,20 +77,42 @@ def _(t: Tables) -> DataFrame:
     """select customer_id, table_name, max(start_lsn) as last_start_lsn, arg_max(seqval, start_lsn || seqval) as last_seqval from {change_feed} group by customer_id, table_name""",
 )
 def _(t: Tables) -> DataFrame:
-    return _applied(t).checkpoints()
+    return SK.batch_log(_applied(t)).checkpoints(["customer_id", "table_name"])
 
 
 @query("h13_stream_log", "select customer_id, table_name, count(*) as records_processed from {change_feed} group by customer_id, table_name")
 def _(t: Tables) -> DataFrame:
-    return _applied(t).log().drop("processed_at")
+    # A row a batch and feed; the batches of a feed add up to its changes.
+    log = SK.batch_log(_applied(t)).get("log")
+    return log.groupBy("customer_id", "table_name").agg(F.sum("records_processed").alias("records_processed"))
 
 
-def _in_parts(t: Tables, view: str, parts: int = 6) -> DataFrame:
-    """A view as a stream of ``parts`` micro-batches or more: its rows, laid out by position, come a few files at a time."""
-    folder = shared_dir(t.spark, "arriving")
-    rows = t(view)
-    rows.repartitionByRange(parts, "start_lsn", "seqval").write.parquet(folder)
-    return S.stream_changes(t.spark, folder, rows.schema, max_per_trigger=1)
+@query(
+    "i3_routed_apply",
+    """with m as (select 'tenant' || (pk // 10) as __routing_schema, event_type, pk, value, 1704067200000 + event_id * 60000 as __source_ts_ms, event_id as __kafka_offset,
+      case event_id % 7 when 0 then 'DELETE' when 1 then 'INSERT' else 'UPDATE' end as __cdc_operation
+      from {change_feed} where event_type <> 'error' and not ((pk // 10) % 5 = 3 and event_type = 'view')),
+    w as (select *, row_number() over (partition by __routing_schema, event_type, pk order by __source_ts_ms desc, __kafka_offset desc) as rn from m)
+    select event_type as table_name, __routing_schema, pk, case when event_type <> 'click' then value end as value, __cdc_operation from w where rn = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    root = shared_dir(t.spark, "routed")
+    rows = _in_parts(t, "change_feed", 3).select(
+        "pk", "value", "event_id", F.col("event_type").alias("__routing_table"), F.concat(F.lit("tenant"), F.floor(F.col("pk") / 10)).alias("__routing_schema"),
+        F.when(F.col("event_id") % 7 == 0, "DELETE").when(F.col("event_id") % 7 == 1, "INSERT").otherwise("UPDATE").alias("__cdc_operation"),
+        (F.lit(1704067200000) + F.col("event_id") * 60000).alias("__source_ts_ms"), F.lit(0).alias("__kafka_partition"), F.col("event_id").alias("__kafka_offset"),
+    )
+    # Routes of all tenants but for some; nothing takes errors. Clicks have another shape.
+    pairs = t("change_feed").select(F.floor(F.col("pk") / 10).alias("no"), F.col("event_type").alias("table_name")).distinct()
+    pairs = pairs.where("not (no % 5 = 3 and table_name = 'view')").withColumn("schema_name", F.concat(F.lit("tenant"), "no"))
+    meta = "__cdc_operation string, __source_ts_ms long, __kafka_partition int, __kafka_offset long"
+    shapes = {n: f"__routing_schema string, pk long, {'' if n == 'click' else 'value double, '}{meta}" for n in ("view", "signup", "click", "purchase")}
+    tables = {n: SK.RoutedTable(PartitionedTarget(t.spark, f"{root}/{n}", s, ["pk"], ["__routing_schema"])) for n, s in shapes.items()}
+    routes = pairs.select("schema_name", "table_name", F.col("schema_name").alias("target"))
+    SK.routed_apply(rows, routes, tables, f"{root}/state", period=None).awaitTermination()
+    out = [x.target.read().withColumn("table_name", F.lit(n)) for n, x in tables.items()]
+    columns = ["table_name", "__routing_schema", "pk", "value", "__cdc_operation"]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out).select(*columns)
 
 
 @query(

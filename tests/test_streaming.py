@@ -2,51 +2,18 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from changefeed.operators.monitor import activity_rollup
-from changefeed.plans.snapshot import SnapshotTable
 from changefeed.streaming import streams as S
 from tests.conftest import rows
-from tests.test_apply import BATCH, TARGET, changes, model
+from tests.test_apply import BATCH, changes
 
 
 def put(spark, folder, data, schema=BATCH):  # noqa: ANN001, ANN201
     spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(folder))
 
 
-@pytest.mark.parametrize("mode", ["hard", "soft"])
-def test_apply_over_batches_and_a_restart(spark, tmp_path, mode):
-    data = sorted(changes(120, 15, 8), key=lambda r: (r[3], r[4]))
-    table = SnapshotTable(spark, str(tmp_path / "t"), TARGET, ["k"], 4)
-    for part in (data[:60], data[60:]):
-        put(spark, tmp_path / "in", part)
-        stream = S.stream_changes(spark, str(tmp_path / "in"), BATCH, max_per_trigger=1)
-        # Each start is a restart from the same state folder.
-        S.stream_apply(stream, table, str(tmp_path / "state"), mode=mode, period=None).awaitTermination()
-    assert {r.k: tuple(r)[1:] for r in table.read().collect()} == model({}, data, mode)
-    assert table.pointer()["batch"] == 1
-    version = table.pointer()["version"]
-    S.stream_apply(
-        S.stream_changes(spark, str(tmp_path / "in"), BATCH), table, str(tmp_path / "state"), mode=mode, period=None
-    ).awaitTermination()
-    assert table.pointer()["version"] == version  # nothing new, nothing written
-
-
-def test_losing_the_stream_state_replays_without_harm(spark, tmp_path):
-    """The table remembers its batches, and the guard rejects old changes of new batches."""
-    data = sorted(changes(90, 10, 9), key=lambda r: (r[3], r[4]))
-    table = SnapshotTable(spark, str(tmp_path / "t"), TARGET, ["k"], 4)
-    put(spark, tmp_path / "in", data)
-    for state in ("a", "b"):
-        stream = S.stream_changes(spark, str(tmp_path / "in"), BATCH)
-        S.stream_apply(stream, table, str(tmp_path / state), period=None).awaitTermination()
-    assert {r.k: tuple(r)[1:] for r in table.read().collect()} == model({}, data)
-    table.merge(spark.createDataFrame(data[:30], BATCH), 99, guard=True)
-    assert {r.k: tuple(r)[1:] for r in table.read().collect()} == model({}, data)
-
-
 def test_stream_rollup_equals_the_batch_rollup(spark, tmp_path):
     schema = "source_instance_key string, logical_table_name string, rows_pulled long, failed boolean, pulled_at timestamp_ntz"
     base = "timestamp_ntz'2024-01-01 00:00:00'"
