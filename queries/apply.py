@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from changefeed.functions.expressions import op_name
 from changefeed.operators import apply as A
+from changefeed.operators import registry as R
 from changefeed.plans import brokered, native
+from changefeed.plans.bootstrap import bootstrap_tables
+from changefeed.plans.partitioned import PartitionedTarget
+from changefeed.session import shared_dir
 from changefeed.sources.feeds import derive_route, feed_bounds
 from changefeed.spec import TableSpec
 from queries.base import Tables, moment, query
@@ -323,3 +327,60 @@ def _(t: Tables) -> DataFrame:
     once = A.apply_changes(target, batch, ["o_orderkey"], guard=True, tombstone="deleted")
     again = A.apply_changes(once, batch.filter("op_code <> 1"), ["o_orderkey"], guard=True, tombstone="deleted")
     return A.live(again, "deleted")
+
+
+# Every third tenant is due; of these every third has no rows in the snapshot. The others are switched on or were loaded before.
+_TENANTS = """(select customer_id, concat('src_', customer_id) as source_instance_key, 'Events' as logical_table_name, tenant_no, tenant_no % 3 = 1 as enabled
+  from (select distinct customer_id, cast(floor(pk / 10) as bigint) as tenant_no from {change_feed}) d)"""
+
+
+@query(
+    "h5_bootstrap_end_to_end",
+    f"""with t as (select * from {_TENANTS} x),
+    b as (select customer_id, max(start_lsn) as lsn, arg_max(seqval, start_lsn || seqval) as seq from {{change_feed}} group by customer_id),
+    r as (select t.customer_id, t.tenant_no, case when tenant_no % 3 <> 0 then f.value else f.value * 2 end as value from {{change_feed}} f join t on t.customer_id = f.customer_id
+      where tenant_no % 9 <> 0),
+    c as (select customer_id, count(*) as n, sum(value) as total from r group by customer_id)
+    select t.customer_id, coalesce(n, 0)::bigint as target_rows, round(coalesce(total, 0), 4) as total_value,
+      case when tenant_no % 3 = 0 then coalesce(n, 0)::bigint end as rows_loaded, case when tenant_no % 3 = 0 then lsn end as captured_start_lsn,
+      case when tenant_no % 3 = 0 then seq end as captured_seqval, case tenant_no % 3 when 0 then 'completed' when 1 then 'pending' else 'completed' end as bootstrap_status,
+      case when tenant_no % 3 = 0 then lsn else '00' end as checkpoint_lsn, tenant_no % 3 <> 2 as enabled, case when tenant_no % 3 = 0 then 2 else 1 end as config_version
+    from t join b on b.customer_id = t.customer_id left join c on c.customer_id = t.customer_id""",
+)
+def _(t: Tables) -> DataFrame:
+    feed, named = t("change_feed"), t.sql(f"select * from {_TENANTS} x")
+    columns = "event_id long, customer_id string, pk long, value double, __source_start_lsn string, __source_seqval string, __cdc_operation int, __source string"
+    target = PartitionedTarget(t.spark, shared_dir(t.spark, "bootstrapped"), columns, ["event_id"], ["customer_id"])
+    rows = feed.select(
+        "event_id", "customer_id", "pk", "value", F.col("start_lsn").alias("__source_start_lsn"), F.col("seqval").alias("__source_seqval"),
+        F.col("op_code").alias("__cdc_operation"), F.lit("mssql_cdc").alias("__source"),
+    )
+    empty = named.where("tenant_no % 9 = 0").select("customer_id")
+    target.replace(rows.join(named.where("tenant_no % 9 <> 0").select("customer_id"), "customer_id", "left_semi"), target.parts_of(feed), "before")
+    target.merge(rows.join(empty, "customer_id", "left_semi"), "old", order=("__source_start_lsn", "__source_seqval"), op="__cdc_operation")
+    registered = named.select(*R.FEED, F.lit("sales").alias("target_schema_name"), F.lit("events").alias("target_table_name"), "enabled")
+    policies = named.select(*R.FEED, "enabled", F.lit(1).alias("config_version"))
+    instances = named.select("source_instance_key", F.lit(True).alias("enabled"))
+    none = {c: F.lit(None).cast("string") for c in ("last_captured_start_lsn", "last_captured_seqval", "last_error")}
+    times = {c: F.lit(None).cast("timestamp_ntz") for c in ("last_started_at", "last_completed_at", "last_failed_at")}
+    status = F.when(F.col("tenant_no") % 3 == 2, "completed").otherwise("pending").alias("bootstrap_status")
+    states = named.select(*R.FEED, status).withColumns({**none, **times, "last_rows_loaded": F.lit(None).cast("long")})
+    checkpoints = named.select("customer_id", F.lit("events").alias("table_name"), F.lit("00").alias("last_start_lsn"), F.lit(None).cast("string").alias("last_seqval"))
+    run = bootstrap_tables(
+        target, feed.join(empty, "customer_id", "left_anti").select("event_id", "customer_id", "pk", (F.col("value") * 2).alias("value")),
+        R.bootstrap_plan(registered, policies, instances, states), named, feed_bounds(feed, ["customer_id"]), checkpoints, states, registered, policies,
+        "events", moment(), "load", "appdb",
+    )
+    sums = target.read().groupBy("customer_id").agg(F.count("*").alias("target_rows"), F.round(F.sum("value"), 4).alias("total_value"))
+    return (
+        named.select(*R.FEED, "customer_id")
+        .join(sums, "customer_id", "left")
+        .join(run.states.select(*R.FEED, "bootstrap_status", "last_rows_loaded", "last_captured_start_lsn", "last_captured_seqval"), R.FEED)
+        .join(run.policies, R.FEED)
+        .join(run.checkpoints, "customer_id")
+        .select(
+            "customer_id", F.coalesce("target_rows", F.lit(0).cast("long")).alias("target_rows"), F.coalesce("total_value", F.lit(0.0)).alias("total_value"),
+            F.col("last_rows_loaded").alias("rows_loaded"), F.col("last_captured_start_lsn").alias("captured_start_lsn"), F.col("last_captured_seqval").alias("captured_seqval"),
+            "bootstrap_status", F.col("last_start_lsn").alias("checkpoint_lsn"), "enabled", "config_version",
+        )
+    )
