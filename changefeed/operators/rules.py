@@ -37,10 +37,17 @@ def _conditions(rule: Rule) -> list[Column]:
     return [F.expr(c.when) for c in rule.conditions]
 
 
-def conditional_column(df: DataFrame, rule: Rule) -> DataFrame:
+def _previous(df: DataFrame, rule: Rule) -> Column:
+    """What the output column held before, for rows a rule does not act on."""
+    held = F.col(f"`{rule.output}`") if rule.output in df.columns else F.lit(None)
+    return held.cast(rule.output_type)
+
+
+def conditional_column(df: DataFrame, rule: Rule, here: Column | None = None) -> DataFrame:
     """Add a column by the first condition that holds.
 
-    Without a match the row is dropped, kept with null, or takes the default.
+    Without a match the row is dropped, kept with null, or takes the default. ``here`` limits the rule to some
+    rows; the others pass with what the column held, or null.
     """
     _check(rule, "conditional_column")
     if rule.on_no_match == "default" and rule.default is None:
@@ -48,33 +55,43 @@ def conditional_column(df: DataFrame, rule: Rule) -> DataFrame:
     chain = None
     for c in rule.conditions:
         chain = (F.when if chain is None else chain.when)(F.expr(c.when), F.expr(c.value))
-    value = chain.otherwise(F.expr(rule.default)) if rule.on_no_match == "default" else chain
-    rows = df.filter(any_of(_conditions(rule))) if rule.on_no_match == "drop" else df
-    return rows.withColumn(rule.output, value.cast(rule.output_type))
+    value = (chain.otherwise(F.expr(rule.default)) if rule.on_no_match == "default" else chain).cast(rule.output_type)
+    kept = any_of(_conditions(rule))
+    if here is not None:
+        value, kept = F.when(here, value).otherwise(_previous(df, rule)), ~here | kept
+    rows = df.filter(kept) if rule.on_no_match == "drop" else df
+    return rows.withColumn(rule.output, value)
+
+
+def _check_keys(rule: Rule, keys: Sequence[str] | None) -> None:
+    if keys is not None and rule.kind == "row_multiplier" and rule.output not in keys:
+        raise ValueError(f"rule {rule.name!r}: {rule.output!r} must be one of the keys {list(keys)}")
 
 
-def row_multiplier(df: DataFrame, rule: Rule, keys: Sequence[str] | None = None) -> DataFrame:
+def row_multiplier(df: DataFrame, rule: Rule, keys: Sequence[str] | None = None, here: Column | None = None) -> DataFrame:
     """One output row per condition that holds; without any the row is dropped or kept with null.
 
     When ``keys`` are given they must contain the output column: otherwise a later merge
-    would fold the copies back into one row.
+    would fold the copies back into one row. Rows that ``here`` leaves out pass once.
     """
     _check(rule, "row_multiplier")
     if rule.on_no_match == "default":
         raise ValueError(f"rule {rule.name!r}: a row multiplier drops or keeps")
-    if keys is not None and rule.output not in keys:
-        raise ValueError(f"rule {rule.name!r}: {rule.output!r} must be one of the keys {list(keys)}")
+    _check_keys(rule, keys)
     hits = F.array_compact(
         F.array(*[F.when(F.expr(c.when), F.struct(F.expr(c.value).cast(rule.output_type).alias("v"))) for c in rule.conditions])
     )
+    if here is not None:
+        hits = F.when(here, hits).otherwise(F.array(F.struct(_previous(df, rule).alias("v"))))
     spread = F.explode_outer if rule.on_no_match == "keep" else F.explode
     return df.select("*", spread(hits).alias("__hit")).withColumn(rule.output, F.col("__hit.v")).drop("__hit")
 
 
-def rule_filter(df: DataFrame, rule: Rule) -> DataFrame:
-    """Keep a row if any condition holds."""
+def rule_filter(df: DataFrame, rule: Rule, here: Column | None = None) -> DataFrame:
+    """Keep a row if any condition holds, or if ``here`` leaves it out."""
     _check(rule, "filter")
-    return df if rule.on_no_match == "keep" else df.filter(any_of(_conditions(rule)))
+    kept = any_of(_conditions(rule))
+    return df if rule.on_no_match == "keep" else df.filter(kept if here is None else ~here | kept)
 
 
 APPLY = {
@@ -84,20 +101,26 @@ APPLY = {
 }
 
 
-def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
-    """Apply one rule by its kind."""
+def apply_rule(df: DataFrame, rule: Rule, keys: Sequence[str] | None = None, here: Column | None = None) -> DataFrame:
+    """Apply one rule by its kind. ``keys`` are those of the table the rows will be merged into."""
     if rule.kind not in APPLY:
         raise ValueError(f"unknown rule kind {rule.kind!r}; known: {', '.join(RULE_KINDS)}")
-    return APPLY[rule.kind](df, rule)
+    _check_keys(rule, keys)
+    return APPLY[rule.kind](df, rule, here=here)
 
 
-def run_rules(df: DataFrame, rules: Iterable[Rule], stage: str = "source") -> DataFrame:
+def run_rules(df: DataFrame, rules: Iterable[Rule], stage: str = "source", keys: Sequence[str] | None = None) -> DataFrame:
     """Apply the rules of one stage in order; a rule listed twice runs once."""
     ordered: dict[str, Rule] = {}
     for rule in rules:
         if rule.stage == stage:
             ordered.setdefault(rule.name, rule)
-    return reduce(apply_rule, ordered.values(), df)
+    return reduce(lambda rows, rule: apply_rule(rows, rule, keys), ordered.values(), df)
+
+
+def _content(rule: Rule) -> tuple:
+    """What makes two rules the same rule."""
+    return (rule.name, rule.kind, tuple((c.when, c.value) for c in rule.conditions), rule.output, rule.output_type, rule.on_no_match, rule.default)
 
 
 def run_route_rules(
@@ -105,35 +128,44 @@ def run_route_rules(
     rules_by_route: Mapping[tuple[str, str], Sequence[Rule]],
     schema: str = "__routing_schema",
     table: str = "__routing_table",
+    keys_by_route: Mapping[tuple[str, str], Sequence[str]] | None = None,
 ) -> DataFrame:
     """Apply sink-stage rules per route; rows of other routes pass unchanged.
 
-    All rules are evaluated in one pass over the rows: each is guarded by its route, so the
-    input is not scanned once per route.
+    Routes that list the same rules share a rule set. Rows get the number of their set by one join with the routes,
+    and each distinct rule is applied once, to the rows of all sets whose turn it is. So the plan grows with the
+    distinct rules, not with the routes. ``keys_by_route`` has the keys of the tables behind the routes, which
+    row multipliers are checked against.
     """
-    out = df
-    for (s, t), rules in rules_by_route.items():
-        here = f"(`{schema}` = '{s}' AND `{table}` = '{t}')"
-        for rule in rules:
-            if rule.stage != "sink":
-                continue
-            out = _guarded(out, rule, here)
-    return out
-
-
-def _guarded(df: DataFrame, rule: Rule, here: str) -> DataFrame:
-    """A rule that acts on its route only: elsewhere it keeps the row once, unchanged."""
-    guarded = [Condition(f"{here} AND ({c.when})", c.value) for c in rule.conditions]
-    elsewhere = f"NOT coalesce({here}, false)"
-    if rule.kind == "filter":
-        return rule_filter(df, Rule(rule.name, "filter", [*guarded, Condition(elsewhere)]))
-    previous = f"`{rule.output}`" if rule.output in df.columns else "NULL"
-    passed = Condition(elsewhere, previous)
-    on_no_match, default = rule.on_no_match, rule.default
-    return apply_rule(
-        df,
-        Rule(rule.name, rule.kind, [*guarded, passed], rule.output, rule.output_type, on_no_match, default),
-    )
+    sets: dict[tuple, int] = {}
+    known: dict[tuple, Rule] = {}
+    numbers = []
+    for route, rules in rules_by_route.items():
+        sink = [r for r in rules if r.stage == "sink"]
+        for rule in sink:
+            _check_keys(rule, keys_by_route.get(route) if keys_by_route else None)
+            known[_content(rule)] = rule
+        if sink:
+            numbers.append((*route, sets.setdefault(tuple(_content(r) for r in sink), len(sets))))
+    if not sets:
+        return df
+    ends = ["__rule_schema", "__rule_table"]
+    routes = df.sparkSession.createDataFrame(numbers, f"{ends[0]} string, {ends[1]} string, __rule_set int")
+    on = (F.col(f"`{schema}`") == F.col(ends[0])) & (F.col(f"`{table}`") == F.col(ends[1]))
+    out = df.join(routes, on, "left").drop(*ends)
+    left = {number: list(rules) for rules, number in sets.items()}
+    while any(left.values()):
+        # The rule that most sets have next; ties go to the set numbered first.
+        turns: dict[tuple, list[int]] = {}
+        for number, rules in left.items():
+            if rules:
+                turns.setdefault(rules[0], []).append(number)
+        content = max(turns, key=lambda c: len(turns[c]))
+        here = F.coalesce(F.col("__rule_set").isin(turns[content]), F.lit(False))
+        out = apply_rule(out, known[content], here=here)
+        for number in turns[content]:
+            left[number].pop(0)
+    return out.drop("__rule_set")
 
 
 class RuleRegistry:

@@ -21,7 +21,7 @@ BROKER_ORDER = ("__source_ts_ms", "__kafka_partition", "__kafka_offset")
 
 def publish(feed: DataFrame, spec: TableSpec, data: Sequence[str], now_ms: Column) -> DataFrame:
     """Topic rows (topic, key, value) of a change feed: before-images dropped, source rules applied."""
-    rows = run_rules(drop_before_images(feed, spec.op), spec.rules, "source")
+    rows = run_rules(drop_before_images(feed, spec.op), spec.rules, "source", spec.keys)
     outputs = [r.output for r in spec.rules if r.stage == "source" and r.output]
     wrapped = wrap_envelope(rows, [*data, *outputs], spec, now_ms)
     topic = topic_name(spec.topic_prefix, F.lit(spec.schema), F.lit(spec.table), spec.topic_format)
@@ -34,6 +34,7 @@ def consume(
     sync_time: Column,
     rules: Mapping[tuple[str, str], Sequence[Rule]] | None = None,
     keep: Sequence[str] = ("kafka_partition", "kafka_offset"),
+    keys: Mapping[tuple[str, str], Sequence[str]] | None = None,
 ) -> DataFrame:
     """Flat rows of topic messages with route, operation and broker metadata; sink rules applied."""
     parsed = derive_route(parse_envelope(messages, data))
@@ -41,12 +42,12 @@ def consume(
     rows = unwrap_envelope(
         parsed.withColumnsRenamed(broker), [*broker.values(), "__routing_schema", "__routing_table"], sync_time
     )
-    return run_route_rules(rows, rules or {})
+    return run_route_rules(rows, rules or {}, keys_by_route=keys)
 
 
-def merge(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Soft merge: every operation is an upsert, a delete leaves a row that says DELETE."""
-    return apply_changes(target, rows, keys, "soft", order=BROKER_ORDER, op="__cdc_operation")
+def merge(target: DataFrame, rows: DataFrame, keys: Sequence[str], stage: bool = True) -> DataFrame:
+    """Soft merge: every operation is an upsert, a delete leaves a row that says DELETE. ``stage`` as in the native plan."""
+    return apply_changes(target, rows, keys, "soft", order=BROKER_ORDER, op="__cdc_operation", stage=stage)
 
 
 def routed(rows: DataFrame, routes: DataFrame) -> DataFrame:

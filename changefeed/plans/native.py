@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.operators.apply import advance_checkpoints, apply_changes, initialise_checkpoints, retention_gaps
+from changefeed.operators.apply import advance_checkpoints, apply_changes, initialise_checkpoints, live, retention_gaps
 from changefeed.operators.columns import stamp_metadata
+from changefeed.operators.monitor import log_batch
 from changefeed.operators.registry import resolve_tenant
 from changefeed.operators.rules import run_rules
 from changefeed.sources.feeds import feed_bounds, scan_after_checkpoints
 from changefeed.spec import Position, TableSpec
 
+DELETED = "__deleted"
 FEED_KEYS = ["customer_id", "table_name"]
 
 
@@ -48,21 +50,37 @@ def pull(feed: DataFrame, spec: TableSpec, checkpoints: DataFrame, bounds: DataF
         lsn=F.col(p.lsn),
         seq=F.col(p.seq),
     )
-    return Pulled(run_rules(stamped, spec.rules, "source"), lost)
-
-
-def merge(target: DataFrame, rows: DataFrame, spec: TableSpec, guard: bool = True) -> DataFrame:
-    """The target after a pull; keys are led by the tenant."""
-    keys = ["customer_id", *[k for k in spec.keys if k.casefold() != "customer_id"]]
-    return apply_changes(
-        target,
-        rows,
-        keys,
-        "hard",
-        order=("__source_start_lsn", "__source_seqval"),
-        op="__cdc_operation",
-        guard=guard,
-    )
+    return Pulled(run_rules(stamped, spec.rules, "source", target_keys(spec)), lost)
+
+
+def target_keys(spec: TableSpec) -> list[str]:
+    """Keys of the target, led by the tenant."""
+    return ["customer_id", *[k for k in spec.keys if k.casefold() != "customer_id"]]
+
+
+def merge(target: DataFrame, rows: DataFrame, spec: TableSpec, guard: bool = True, stage: bool = True) -> DataFrame:
+    """The target after a pull, deletes kept as rows flagged in ``DELETED``; readers take ``current`` of it.
+
+    A target without that column gets it. As a delete keeps its position, changes delivered again cannot bring its row
+    back. The pulled rows, one a key, are written to the shared folder first unless ``stage`` is off, so that the
+    size they have, not an estimate, decides how they meet the target.
+    """
+    if DELETED not in target.columns:
+        target = target.withColumn(DELETED, F.lit(False))
+    order = ("__source_start_lsn", "__source_seqval")
+    return apply_changes(target, rows, target_keys(spec), "hard", order, "__cdc_operation", guard=guard, tombstone=DELETED, stage=stage)
+
+
+def current(target: DataFrame) -> DataFrame:
+    """The rows of a merged target that are not deleted."""
+    return live(target, DELETED)
+
+
+def log_rows(rows: DataFrame, schema: str, table: str, now: Column, duration_ms: Column | None = None) -> DataFrame:
+    """The processing log of a pull: a row per tenant with the number of its changes and the positions they span."""
+    lsn = F.col("__source_start_lsn")
+    counts = rows.groupBy("customer_id").agg(F.count("*").alias("records_processed"), F.min(lsn).alias("min_start_lsn"), F.max(lsn).alias("max_start_lsn"))
+    return log_batch(counts, schema, table, now, duration_ms)
 
 
 def checkpoints_after(checkpoints: DataFrame, rows: DataFrame) -> DataFrame:

@@ -270,7 +270,34 @@ def _(t: Tables) -> DataFrame:
     )
     feed = t("change_feed")
     pulled = native.pull(feed, SPEC, t("feed_checkpoints"), native.bounds_of(feed, SPEC), moment())
-    return native.merge(target, pulled.rows, SPEC)
+    return native.current(native.merge(target, pulled.rows, SPEC))
+
+
+@query(
+    "native_replay_after_delete",
+    """with l as (select * from (select *, row_number() over (partition by customer_id, pk order by start_lsn desc, seqval desc) as rn
+      from {change_feed} where op_code in (1, 2, 4)) where rn = 1 and op_code <> 1)
+    select customer_id, pk, value, start_lsn as __source_start_lsn, seqval as __source_seqval, op_code as __cdc_operation from l""",
+)
+def _(t: Tables) -> DataFrame:
+    # Three batches: everything, then its inserts and updates again, then all of it.
+    feed = t("change_feed")
+    target = t.sql("select '' as customer_id, 0L as pk, 0.0D as value, '' as __source_start_lsn, '' as __source_seqval, 0 as __cdc_operation where false")
+    pulled = native.pull(feed, SPEC, t("feed_checkpoints").limit(0), native.bounds_of(feed, SPEC), moment()).rows
+    for batch in (pulled, pulled.where("__cdc_operation <> 1"), pulled):
+        target = native.merge(target, batch, SPEC)
+    return native.current(target)
+
+
+@query(
+    "h13_native_log",
+    """select 'sales' as schema_name, 'events' as table_name, customer_id, count(*) as records_processed, min(start_lsn) as min_start_lsn, max(start_lsn) as max_start_lsn
+    from {change_feed} where op_code in (1, 2, 4) group by customer_id""",
+)
+def _(t: Tables) -> DataFrame:
+    feed = t("change_feed")
+    pulled = native.pull(feed, SPEC, t("feed_checkpoints").limit(0), native.bounds_of(feed, SPEC), moment()).rows
+    return native.log_rows(pulled, "sales", "Events", moment()).drop("processed_at", "merge_duration_ms")
 
 
 @query(

@@ -17,7 +17,7 @@ from changefeed.sources.topics import topic_rows
 from changefeed.spec import TableSpec
 from queries.base import Tables, moment, query
 
-START_LSN = "00000000000000000200"
+START_LSN = "00000000000000000064"
 DATA = ["event_id", "pk", "event_type", "value"]
 EVENTS = TableSpec("events", ["pk"], database="appdb", topic_prefix="dev.tenant1", ignore=["PROPS"])
 

@@ -368,7 +368,7 @@ VIEWS["catalog_after"] = _catalog(
     column=f"case when p_partkey % 13 = 5 then concat('added', cast(p_partkey % 8 as varchar(10))) else {_COLUMN} end",
     type=f"case when p_partkey % 11 = 3 then 'bigint' else {_TYPE} end",
     nullable="case when p_partkey % 17 = 2 then p_size % 3 = 0 else p_size % 3 <> 0 end",
-    key=f"(p_partkey % 8 = 0 and {_TABLE_NO} % 23 <> 4) or (p_partkey % 8 = 1 and {_TABLE_NO} % 4 = 0)",
+    key=f"(p_partkey % 8 = 0 and {_TABLE_NO} % 23 <> 5) or (p_partkey % 8 = 1 and {_TABLE_NO} % 4 = 0)",
 )
 # The same tables on the sink side, with the sink's own types.
 VIEWS["sink_catalog"] = _catalog(

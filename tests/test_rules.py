@@ -104,3 +104,29 @@ def test_rules_from_a_catalog(people):
         {"keep_one": {"type": "filter", "conditions": [{"when": "id = 1"}]}}
     )
     assert rows(registry.apply(people, ["keep_one"]), "id") == [(1,)]
+
+
+def test_route_rules_grow_with_distinct_rules_not_with_routes(spark, people):
+    from pyspark.sql import functions as F
+
+    routed = people.withColumns({"__routing_schema": F.concat(F.lit("it's "), F.col("id") % 2), "__routing_table": F.lit("a")})
+    split = Rule("s", "row_multiplier", CLASSES.conditions, "class", stage="sink")
+    label = Rule("l", "conditional_column", LABEL.conditions, "label", on_no_match="default", default="'low'", stage="sink")
+    only = Rule("o", "filter", [Condition("label = 'low'")], stage="sink")
+    shared = {(f"s{i}", "t"): [label, split] for i in range(200)}
+    rules = {("it's 0", "a"): [label, only], ("it's 1", "a"): [split, label], **shared}
+    out = R.run_route_rules(routed, rules)
+    assert rows(out, "id", "class", "label") == [(1, "Ansatt", "high"), (1, "Patient", "high"), (4, None, "low")]
+    small = R.run_route_rules(routed, dict(list(rules.items())[:3]))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(out) == size(small)
+
+
+def test_plans_check_the_keys_of_row_multipliers(spark, people):
+    split = Rule("s", "row_multiplier", CLASSES.conditions, "class")
+    sink = Rule("s", "row_multiplier", CLASSES.conditions, "class", stage="sink")
+    with pytest.raises(ValueError, match="must be one of the keys"):
+        R.run_rules(people, [split], keys=["id"])
+    assert R.run_rules(people, [split], keys=["id", "class"]).count() == 3
+    with pytest.raises(ValueError, match="must be one of the keys"):
+        R.run_route_rules(people, {("a", "b"): [sink]}, keys_by_route={("a", "b"): ["id"]})
