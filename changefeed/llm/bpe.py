@@ -11,7 +11,7 @@ neighbour (``alone``) is contracted one place a step, so that both forms give th
 Decoding is an ordered aggregation of the tokens' bytes.
 
 Encoded words are remembered by the worker, at most ``MEMORY`` and those of the round at hand; beyond, it keeps
-those that the round at hand uses. Only speed depends on that.
+those met again since (``common.Memory``). Only speed depends on that.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from changefeed.llm.common import worker_cache
+from changefeed.llm.common import Memory, worker_cache
 from changefeed.llm.pieces import cut
 
 WORDS_A_QUERY = 5000
 SQUARES_A_QUERY = 6_000_000
 LONG = 256
 ROWS_OF_LONG = 2_000_000
-MEMORY = 550_000
-CHARACTERS_A_ROUND = 2_000_000
+MEMORY = 600_000
+CHARACTERS_A_ROUND = 6_000_000
 
 CONTRACT = """
 with recursive step(k, w, p, n, id, r) as (
@@ -147,7 +147,7 @@ def _parts(words: set[bytes]) -> Iterator[list[bytes]]:
 class Codec:
     """Encodes and decodes inside one worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY, characters: int = CHARACTERS_A_ROUND) -> None:
         merges = [
             (ranks[t[:i]] << 20 | ranks[t[i:]], rank)
             for t, rank in ranks.items()
@@ -171,8 +171,8 @@ class Codec:
             self.texts[r] = t
         self.names = [str(i) for i in range(len(self.starts))]
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.pieces, self.parts = Memory(), Memory()
+        self.memory, self.round = memory, characters
 
     def _positions(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """Word, position, next position, token and next token of each byte; the last one's next are -1."""
@@ -221,13 +221,14 @@ class Codec:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, pieces: set[str]) -> None:
-        matches = {x: [m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(x)] for x in pieces}
-        words = {m for ms in matches.values() for m in ms}
-        long = {m for m in words if len(m) > LONG}
-        ids: dict[bytes, bytes] = {}
+        matches = {x: self.pattern.findall(x) for x in pieces}
+        # A match that is remembered as a piece of its own is not contracted again.
+        ids: dict[str, bytes] = {m: self.pieces[m] for ms in matches.values() for m in ms if m in self.pieces and not m[-1].isspace()}
+        raw = {m.encode("utf-8", "surrogatepass"): m for ms in matches.values() for m in ms if m not in ids}
+        words, long = raw.keys(), {m for m in raw if len(m) > LONG}
         for some, contract in ((words - long, self._contract), (long, self._contract_long)):
             for part in _parts(some):
-                ids.update(zip(part, contract(part)))
+                ids.update(zip([raw[m] for m in part], contract(part)))
         for x, ms in matches.items():
             self.pieces[x] = b"".join([ids[m] for m in ms])
 
@@ -236,14 +237,12 @@ class Codec:
         at = 0
         while at < len(texts):
             cuts, size = [], 0
-            while at < len(texts) and (size < CHARACTERS_A_ROUND or not cuts):
+            while at < len(texts) and (size < self.round or not cuts):
                 cuts.append(cut(texts[at]))
                 size += len(texts[at])
                 at += 1
             met = set().union(*cuts)
-            new = met - self.pieces.keys()
-            if len(self.pieces) + len(new) > MEMORY:
-                self.pieces = {x: self.pieces[x] for x in met - new}
+            new = self.pieces.room_for(met, self.memory)
             if new:
                 self._learn(new)
             for c in cuts:
@@ -255,7 +254,7 @@ class Codec:
         at = 0
         while at < len(many):
             cuts, size = [], 0
-            while at < len(many) and (size < CHARACTERS_A_ROUND or not cuts):
+            while at < len(many) and (size < self.round or not cuts):
                 ids = many[at].astype("<i4", copy=False)
                 starts = (4 * np.flatnonzero(self.starts[ids])).tolist()
                 flat = ids.tobytes()
@@ -263,10 +262,7 @@ class Codec:
                 size += len(flat)
                 at += 1
             met = set().union(*cuts)
-            new = met - self.parts.keys()
-            if len(self.parts) + len(new) > MEMORY:
-                self.parts = {x: self.parts[x] for x in met - new}
-            todo = list(new)
+            todo = list(self.parts.room_for(met, self.memory))
             for i in range(0, len(todo), 8 * WORDS_A_QUERY):
                 part = todo[i : i + 8 * WORDS_A_QUERY]
                 length = np.fromiter(map(len, part), np.int64, len(part)) // 4
@@ -288,12 +284,12 @@ class Codec:
                 yield _joined(self.parts, c)
 
 
-def _codec(held, pattern: str, path: str) -> Codec:  # noqa: ANN001
+def _codec(held, pattern: str, path: str, memory: int = MEMORY, characters: int = CHARACTERS_A_ROUND) -> Codec:  # noqa: ANN001
     cache = worker_cache("bpe")
-    key = (path, pattern)
+    key = (path, pattern, memory, characters)
     if key not in cache:
         cache.clear()
-        cache[key] = Codec(held.value, pattern)
+        cache[key] = Codec(held.value, pattern, memory, characters)
     return cache[key]
 
 
@@ -334,20 +330,23 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     return encoded.mapInArrow(run, schema + ", bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def digests(
+    docs: DataFrame, path: str, pattern: str, with_ids: bool = False, memory: int = MEMORY, characters: int = CHARACTERS_A_ROUND
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and the ids) of each row: encoded and decoded in one pass.
 
+    ``memory`` bounds what a worker remembers, ``characters`` what it takes at a time; only speed depends on them.
     Null and empty texts have no ids; repeated rows and null ids pass through; other columns are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(held, pattern, path)
+        codec = _codec(held, pattern, path, memory, characters)
         for b in batches:
             texts, rows, at = _texts(b.column("text")), [], 0
             while at < len(texts):
                 part, size = [], 0
-                while at < len(texts) and (size < CHARACTERS_A_ROUND or not part):
+                while at < len(texts) and (size < codec.round or not part):
                     part.append(texts[at])
                     size += len(texts[at])
                     at += 1

@@ -82,10 +82,44 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that outlives the task in this Python worker; losing it costs time only."""
+    """A dictionary that outlives the task in this Python worker; losing it costs time only.
+
+    A worker serves one operator after the other, so those of other names are emptied and their memory is given back.
+    """
+    import ctypes
+    import gc
     import sys
 
-    return sys.__dict__.setdefault("_changefeed_cache", {}).setdefault(name, {})
+    caches = sys.__dict__.setdefault("_changefeed_cache", {})
+    if any(other != name and kept for other, kept in caches.items()):
+        for other in caches:
+            if other != name:
+                caches[other].clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+    return caches.setdefault(name, {})
+
+
+class Memory(dict):
+    """What a worker remembers of pieces of texts, most of which occur once: those met again are kept longest."""
+
+    def __init__(self) -> None:
+        self.again: set = set()
+
+    def room_for(self, met: set, most: int) -> set:
+        """The pieces of ``met`` that are not remembered, after making room for them."""
+        new = met - self.keys()
+        self.again |= met - new
+        if len(self) + len(new) > most:
+            kept = self.again if 2 * len(self.again) + len(new) <= most else met - new
+            values = [(x, self[x]) for x in kept if x in self]
+            self.clear()
+            self.update(values)
+            self.again = set()
+        return new
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:

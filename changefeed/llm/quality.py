@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import keyed, materialise, packed, unpacked
+from changefeed.llm.common import keyed, materialise, packed, unpacked, worker_cache
 
 ORDER, SYMBOL_BITS, SIGN = 4, 6, 31
 SYMBOLS = "#*$%&|<>"
@@ -91,6 +91,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, code and n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         held: dict[str | None, list[np.ndarray]] = {}
         size = 0
 
@@ -252,6 +253,7 @@ def _score(docs: DataFrame, models: list, with_others: bool) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast({r["lang"]: unpack(r) for r in models})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for b in batches:
             rows = []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import keyed, materialise, packed, partitions, unpacked
+from changefeed.llm.common import keyed, materialise, packed, partitions, unpacked, worker_cache
 
 LENGTH, GRAM, CROWD = 100, 32, 64
 BATCH_BYTES, SHARD_BYTES = 1 << 20, 32 << 20
@@ -179,6 +179,7 @@ def find_runs(docs: DataFrame, shards: int) -> DataFrame:
     """Packed runs of each batch by their slices, and the ranges of the batch's own copies, spread over all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for data, held in segments(batches, BATCH_BYTES):
             rid, base, starts, ends = (np.array(x, np.int64) for x in zip(*held))
             r = runs(data, starts, ends)
@@ -304,6 +305,7 @@ def read_slices(docs: DataFrame, fates: DataFrame) -> DataFrame:
     wanted = fates.where(F.col("fate") > REMOVED).groupBy("rid").agg(F.collect_list(F.struct("q", "n", "o", "h", "fate")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         crowd: list[tuple[int, int, int, bytes]] = []
         for b in batches:
             rows = []
@@ -436,6 +438,7 @@ def _by_bytes(a, b, at, pieces, begin, rid, q, later_a) -> list[tuple]:  # noqa:
 
 def sort_slices(slices: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         held: pa.Table | None = None
 
         def solve(t: pa.Table) -> pa.RecordBatch:
@@ -516,6 +519,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for b in batches:
             rows = [(len(t), len(t) - len(k), s, hashlib.sha256(k).hexdigest()) for t, k, s in _cut(b)]
             n, r, s, d = zip(*rows) if rows else ((), (), (), ())
@@ -532,6 +536,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("ranges").dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for b in batches:
             texts = pa.array([k.decode("utf-8", "ignore") for _, k, _ in _cut(b)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, b.column("rest")], ["doc_id", "text", "rest"])

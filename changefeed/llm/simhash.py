@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import components, keyed, materialise, packed, unpacked
+from changefeed.llm.common import components, keyed, materialise, packed, unpacked, worker_cache
 
 SEED, SHINGLE, BITS, GUARANTEED, FREE = 42, 3, 3, 5, 1 << 16
 LONG_LIST = 256
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """rid, doc_id and fp of each row of keyed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             fps = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())

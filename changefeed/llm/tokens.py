@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import keyed, materialise, partitions, worker_cache
+from changefeed.llm.common import Memory, keyed, materialise, partitions, worker_cache
 from changefeed.llm.pieces import cut
 from changefeed.session import shared_dir
 
@@ -63,7 +63,7 @@ class Encoder:
         self.literals = re.compile(f"({literals})") if literals else None
         self.letters = dict(enumerate(_byte_letters()))
         self.matches = regex.compile(public_tokenizers.PATTERN)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memory()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,11 +100,7 @@ class Encoder:
         if not self.plain:
             return [np.array(x, "<u4") for x in self._ids(texts)]
         cuts = [self._cut(t) if t else [] for t in texts]
-        new = set().union(*cuts) - self.pieces.keys()
-        if len(self.pieces) + len(new) > MEMORY:
-            self.pieces.clear()
-            new = set().union(*cuts)
-        new -= {"", *self.added}
+        new = self.pieces.room_for(set().union(*cuts), MEMORY) - {"", *self.added}
         self.pieces.update(self.added)
         self.pieces[""] = b""
         if new:
