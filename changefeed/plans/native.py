@@ -14,6 +14,7 @@ from changefeed.operators.monitor import log_batch
 from changefeed.operators.registry import resolve_tenant
 from changefeed.operators.rules import run_rules
 from changefeed.sources.feeds import feed_bounds, scan_after_checkpoints
+from changefeed.sources.layout import PositionedFeed
 from changefeed.spec import Position, TableSpec
 
 DELETED = "__deleted"
@@ -53,6 +54,11 @@ def pull(feed: DataFrame, spec: TableSpec, checkpoints: DataFrame, bounds: DataF
     return Pulled(run_rules(stamped, spec.rules, "source", target_keys(spec)), lost)
 
 
+def pull_positioned(feed: PositionedFeed, spec: TableSpec, checkpoints: DataFrame, now: Column) -> Pulled:
+    """``pull`` from a feed laid out by position: only ranges from the lowest cursor on are read, once."""
+    return pull(feed.after(checkpoints), spec, checkpoints, feed.bounds(), now)
+
+
 def target_keys(spec: TableSpec) -> list[str]:
     """Keys of the target, led by the tenant."""
     return ["customer_id", *[k for k in spec.keys if k.casefold() != "customer_id"]]

@@ -13,6 +13,7 @@ from changefeed.plans.bootstrap import bootstrap_tables
 from changefeed.plans.partitioned import PartitionedTarget
 from changefeed.session import shared_dir
 from changefeed.sources.feeds import derive_route, feed_bounds
+from changefeed.sources.layout import PositionedFeed
 from changefeed.spec import TableSpec
 from queries.base import Tables, moment, query
 
@@ -253,24 +254,36 @@ def _(t: Tables) -> DataFrame:
 SPEC = TableSpec("events", ["pk"], database="appdb")
 
 
-@query(
-    "native_pull_and_merge",
-    """with f as (select f.*, c.last_start_lsn as l, c.last_seqval as s from {change_feed} f
+_PULLED = """with f as (select f.*, c.last_start_lsn as l, c.last_seqval as s from {change_feed} f
       left join {feed_checkpoints} c on c.customer_id = f.customer_id and c.table_name = f.table_name),
     p as (select * from f where op_code in (1, 2, 4) and (l is null or start_lsn > l or (start_lsn = l and (s is null or seqval > s)))),
     w as (select * from (select *, row_number() over (partition by customer_id, pk order by start_lsn desc, seqval desc) as rn from p) where rn = 1)
     select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)) as customer_id, c_custkey as pk, c_mktsegment as event_type, c_acctbal as value, lpad(hex(cast(1 as bigint)), 20, '0') as __source_start_lsn, lpad(hex(cast(0 as bigint)), 20, '0') as __source_seqval, 2 as __cdc_operation
       from {customer} where not exists (select 1 from w where w.pk = c_custkey and w.customer_id = concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar)))
-    union all select customer_id, pk, event_type, value, start_lsn, seqval, op_code from w where op_code <> 1""",
-)
-def _(t: Tables) -> DataFrame:
-    target = t.sql(
+    union all select customer_id, pk, event_type, value, start_lsn, seqval, op_code from w where op_code <> 1"""
+
+
+def _native_target(t: Tables) -> DataFrame:
+    return t.sql(
         """select concat('tenant', cast(cast(floor(c_custkey / 10) as bigint) as varchar(20))) as customer_id, c_custkey as pk, c_mktsegment as event_type,
         c_acctbal as value, lpad(hex(1L), 20, '0') as __source_start_lsn, lpad(hex(0L), 20, '0') as __source_seqval, 2 as __cdc_operation from {customer}"""
     )
+
+
+@query("native_pull_and_merge", _PULLED)
+def _(t: Tables) -> DataFrame:
     feed = t("change_feed")
     pulled = native.pull(feed, SPEC, t("feed_checkpoints"), native.bounds_of(feed, SPEC), moment())
-    return native.current(native.merge(target, pulled.rows, SPEC))
+    return native.current(native.merge(_native_target(t), pulled.rows, SPEC))
+
+
+@query("native_pull_and_merge_positioned", _PULLED)
+def _(t: Tables) -> DataFrame:
+    rows = t("change_feed")
+    feed = PositionedFeed(t.spark, shared_dir(t.spark, "feed"), rows.schema, native.FEED_KEYS)
+    feed.append(rows)
+    pulled = native.pull_positioned(feed, SPEC, t("feed_checkpoints"), moment())
+    return native.current(native.merge(_native_target(t), pulled.rows, SPEC))
 
 
 @query(
