@@ -6,7 +6,7 @@ the registry grows with the tenants, and adaptive execution measures it at run t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +148,23 @@ def _joined(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instances: Da
     )
 
 
+# Columns that both views show beside their own, with the types of those a given table may lack.
+POLICY_COLUMNS = {"schedule_profile": "string", "tier_mode": "string", "manual_schedule_profile": "string", **dict.fromkeys(PRESET_COLUMNS, "int"), "poll_priority": "int", "config_version": "int"}
+RUNTIME_COLUMNS = {
+    **dict.fromkeys(("last_pull_started_at", "last_pull_at", "last_success_at", "last_nonempty_at", "next_pull_at"), "timestamp_ntz"),
+    **dict.fromkeys(("last_batch_rows", "last_duration_ms", "consecutive_failures", "empty_pull_streak"), "int"),
+    "last_error": "string", "lease_owner": "string", "lease_expires_at": "timestamp_ntz",
+}
+TIER_COLUMNS = {"previous_schedule_profile": "string", "change_reason": "string", **dict.fromkeys(("last_evaluated_at", "last_promoted_at", "last_demoted_at"), "timestamp_ntz")}
+BOOT_COLUMNS = {**dict.fromkeys(("last_started_at", "last_completed_at", "last_failed_at"), "timestamp_ntz"), "last_error": "string"}
+CAPTURED_COLUMNS = {"last_rows_loaded": "int", "last_captured_start_lsn": "string", "last_captured_seqval": "string"}
+
+
+def _shown(table: DataFrame, name: str, columns: Mapping[str, str], prefix: str = "") -> list[Column]:
+    """Columns of a joined table; null where the given one lacks them."""
+    return [(F.col(f"{name}.{c}") if c in table.columns else F.lit(None).cast(t)).alias(prefix + c) for c, t in columns.items()]
+
+
 def schedule_view(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instances: DataFrame, customers: DataFrame, tiers: DataFrame, bootstrap: DataFrame) -> DataFrame:
     """What is scheduled how: one row per registration."""
     j = _joined(reg, policy, runtime, instances, customers, tiers, bootstrap)
@@ -157,9 +174,7 @@ def schedule_view(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instanc
         "reg.target_table_name",
         (F.col("reg.enabled") & F.col("si.enabled") & F.col("policy.enabled")).alias("enabled"),
         F.coalesce("boot.bootstrap_status", F.lit(DEFAULT_STATUS)).alias("bootstrap_status"),
-        "policy.schedule_profile",
-        "policy.tier_mode",
-        "policy.manual_schedule_profile",
+        *_shown(bootstrap, "boot", BOOT_COLUMNS, "bootstrap_"),
         effective_profile(
             F.col("policy.tier_mode"),
             F.col("policy.manual_schedule_profile"),
@@ -167,11 +182,10 @@ def schedule_view(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instanc
             F.col("policy.schedule_profile"),
         ).alias("effective_schedule_profile"),
         F.col("runtime.current_poll_interval_seconds").alias("poll_interval_seconds"),
-        *[f"policy.{c}" for c in PRESET_COLUMNS],
-        "policy.poll_priority",
-        "runtime.next_pull_at",
-        "runtime.lease_expires_at",
-        "si.source_database",
+        *_shown(policy, "policy", POLICY_COLUMNS),
+        *_shown(runtime, "runtime", RUNTIME_COLUMNS),
+        *_shown(tiers, "tier", TIER_COLUMNS),
+        *_shown(instances, "si", {"source_database": "string", "fdw_schema_name": "string"}),
         "cr.customer_id",
     )
 
@@ -179,8 +193,9 @@ def schedule_view(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instanc
 def health_view(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instances: DataFrame, customers: DataFrame, tiers: DataFrame, bootstrap: DataFrame, checkpoints: DataFrame, now: Column) -> DataFrame:
     """Per registration: how overdue it is, and which unsafe states it is in."""
     j = _joined(reg, policy, runtime, instances, customers, tiers, bootstrap)
+    updated = F.col("updated_at") if "updated_at" in checkpoints.columns else F.lit(None).cast("timestamp_ntz")
     ckpt = checkpoints.select(
-        F.col("customer_id").alias("__tenant"), F.col("table_name").alias("__table"), "last_start_lsn", "last_seqval"
+        F.col("customer_id").alias("__tenant"), F.col("table_name").alias("__table"), "last_start_lsn", "last_seqval", updated.alias("checkpoint_updated_at")
     )
     j = j.join(
         ckpt,
@@ -204,21 +219,28 @@ def health_view(reg: DataFrame, policy: DataFrame, runtime: DataFrame, instances
         F.col("si.enabled").alias("source_instance_enabled"),
         F.col("policy.enabled").alias("policy_enabled"),
         status.alias("bootstrap_status"),
+        *_shown(bootstrap, "boot", {**BOOT_COLUMNS, **CAPTURED_COLUMNS}, "bootstrap_"),
         effective_profile(
             F.col("policy.tier_mode"),
             F.col("policy.manual_schedule_profile"),
             F.col("tier.effective_schedule_profile"),
             F.col("policy.schedule_profile"),
         ).alias("effective_schedule_profile"),
+        *_shown(policy, "policy", {**POLICY_COLUMNS, "business_hours_profile_key": "string"}),
+        "runtime.current_poll_interval_seconds",
+        "runtime.checkpoint_table_name",
+        *_shown(runtime, "runtime", RUNTIME_COLUMNS),
+        *_shown(tiers, "tier", TIER_COLUMNS),
         F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("runtime.next_pull_at"), now)).cast("bigint").alias("overdue_seconds"),
         "last_start_lsn",
         "last_seqval",
+        "checkpoint_updated_at",
         ((status != "completed") & (reg_on | policy_on)).alias("unsafe_enabled_without_bootstrap"),
         ((status == "completed") & F.col("last_start_lsn").isNull()).alias("unsafe_bootstrap_completed_without_checkpoint"),
         (status == "failed").alias("unsafe_failed_bootstrap"),
         ((status == "pending") & reg_on & policy_on).alias("unsafe_pending_bootstrap_enabled"),
         F.coalesce(stalled, F.lit(False)).alias("unsafe_stalled_bootstrap"),
-        "si.source_database",
+        *_shown(instances, "si", {"source_database": "string", "fdw_schema_name": "string"}),
         "cr.customer_id",
     )
 

@@ -68,6 +68,15 @@ _JOINED = f"""from {{registrations}} r join {{policies}} p on {_on('p', 'r')} jo
     left join {{tiers}} a on {_on('a', 'r')} left join {{bootstrap_states}} b on {_on('b', 'r')}"""
 
 
+_DETAILED = _JOINED.replace("{policies}", "{policy_details}").replace("{runtime_states}", "{runtime_details}").replace("{instances}", "{instance_details}")
+_DETAILED = _DETAILED.replace("{tiers}", "{tier_details}").replace("{bootstrap_states}", "{bootstrap_details}")
+
+
+def _details(t: Tables) -> list[DataFrame]:
+    names = ["registrations", "policy_details", "runtime_details", "instance_details", "tenants", "tier_details", "bootstrap_details"]
+    return [t(n) for n in names]
+
+
 def _registry(t: Tables) -> list[DataFrame]:
     names = ["registrations", "policies", "runtime_states", "instances", "tenants", "tiers", "bootstrap_states"]
     return [t(n) for n in names]
@@ -78,27 +87,38 @@ def _registry(t: Tables) -> list[DataFrame]:
     f"""select r.source_instance_key, r.logical_table_name, r.target_schema_name, r.target_table_name, r.enabled and i.enabled and p.enabled as enabled,
     coalesce(b.bootstrap_status, 'pending') as bootstrap_status, p.schedule_profile, p.tier_mode, p.manual_schedule_profile, {_EFFECTIVE} as effective_schedule_profile,
     s.current_poll_interval_seconds as poll_interval_seconds, p.base_poll_interval_seconds, p.min_poll_interval_seconds, p.max_poll_interval_seconds, p.max_rows_per_pull,
-    p.lease_seconds, p.jitter_millis, p.max_backoff_seconds, p.poll_priority, s.next_pull_at, s.lease_expires_at, i.source_database, c.customer_id {_JOINED}""",
+    p.lease_seconds, p.jitter_millis, p.max_backoff_seconds, p.poll_priority, p.config_version,
+    b.last_started_at as bootstrap_last_started_at, b.last_completed_at as bootstrap_last_completed_at, b.last_failed_at as bootstrap_last_failed_at, b.last_error as bootstrap_last_error,
+    s.last_pull_started_at, s.last_pull_at, s.last_success_at, s.last_nonempty_at, s.next_pull_at, s.last_batch_rows, s.last_duration_ms, s.consecutive_failures, s.last_error,
+    s.lease_owner, s.lease_expires_at, s.empty_pull_streak, a.previous_schedule_profile, a.change_reason, a.last_evaluated_at, a.last_promoted_at, a.last_demoted_at,
+    i.source_database, i.fdw_schema_name, c.customer_id {_DETAILED}""",
 )
 def _(t: Tables) -> DataFrame:
-    return R.schedule_view(*_registry(t))
+    return R.schedule_view(*_details(t))
 
 
 @query(
     "c2_health_view",
     f"""select r.source_instance_key, r.logical_table_name, r.target_schema_name, r.target_table_name, r.enabled as registration_enabled, i.enabled as source_instance_enabled,
     p.enabled as policy_enabled, coalesce(b.bootstrap_status, 'pending') as bootstrap_status, {_EFFECTIVE} as effective_schedule_profile,
+    b.last_started_at as bootstrap_last_started_at, b.last_completed_at as bootstrap_last_completed_at, b.last_failed_at as bootstrap_last_failed_at, b.last_error as bootstrap_last_error,
+    b.last_rows_loaded as bootstrap_last_rows_loaded, b.last_captured_start_lsn as bootstrap_last_captured_start_lsn, b.last_captured_seqval as bootstrap_last_captured_seqval,
+    p.schedule_profile, p.tier_mode, p.manual_schedule_profile, p.base_poll_interval_seconds, p.min_poll_interval_seconds, p.max_poll_interval_seconds, p.max_rows_per_pull,
+    p.lease_seconds, p.jitter_millis, p.max_backoff_seconds, p.poll_priority, p.config_version, p.business_hours_profile_key, s.current_poll_interval_seconds, s.checkpoint_table_name,
+    s.last_pull_started_at, s.last_pull_at, s.last_success_at, s.last_nonempty_at, s.next_pull_at, s.last_batch_rows, s.last_duration_ms, s.consecutive_failures, s.last_error,
+    s.lease_owner, s.lease_expires_at, s.empty_pull_streak, a.previous_schedule_profile, a.change_reason, a.last_evaluated_at, a.last_promoted_at, a.last_demoted_at,
+    k.updated_at as checkpoint_updated_at, i.fdw_schema_name,
     cast(greatest(0, coalesce(epoch(timestamp '{NOW}' - s.next_pull_at), 0)) as bigint) as overdue_seconds, k.last_start_lsn, k.last_seqval,
     coalesce(b.bootstrap_status, 'pending') <> 'completed' and (r.enabled or p.enabled) as unsafe_enabled_without_bootstrap,
     coalesce(b.bootstrap_status, 'pending') = 'completed' and k.last_start_lsn is null as unsafe_bootstrap_completed_without_checkpoint,
     coalesce(b.bootstrap_status, 'pending') = 'failed' as unsafe_failed_bootstrap,
     coalesce(b.bootstrap_status, 'pending') = 'pending' and r.enabled and p.enabled as unsafe_pending_bootstrap_enabled,
     coalesce(b.last_started_at is not null and b.last_completed_at is null and b.last_failed_at is null and timestamp '{NOW}' - b.last_started_at > interval 1 hour, false) as unsafe_stalled_bootstrap,
-    i.source_database, c.customer_id {_JOINED}
-    left join {{registry_checkpoints}} k on k.customer_id = c.customer_id and k.table_name = s.checkpoint_table_name""",
+    i.source_database, c.customer_id {_DETAILED}
+    left join {{checkpoint_details}} k on k.customer_id = c.customer_id and k.table_name = s.checkpoint_table_name""",
 )
 def _(t: Tables) -> DataFrame:
-    return R.health_view(*_registry(t), t("registry_checkpoints"), moment(NOW))
+    return R.health_view(*_details(t), t("checkpoint_details"), moment(NOW))
 
 
 _DUE = f"""select s.source_instance_key, s.logical_table_name, coalesce(s.next_pull_at, timestamp '{NOW}') as next_pull_at, s.current_poll_interval_seconds, r.target_schema_name, r.target_table_name,

@@ -316,6 +316,39 @@ select concat('id-', cast(cast(floor(c_custkey / 10) as bigint) as varchar(20)))
 from {customer}
 """
 
+# The registry tables with every column that the schedule and health views show.
+VIEWS["runtime_details"] = """
+select v.*, next_pull_at - interval '3' hour as last_pull_started_at, next_pull_at - interval '2' hour as last_pull_at,
+  case when current_poll_interval_seconds % 3 <> 0 then next_pull_at - interval '2' hour end as last_success_at,
+  case when current_poll_interval_seconds % 4 = 0 then next_pull_at - interval '5' hour end as last_nonempty_at,
+  current_poll_interval_seconds * 7 as last_batch_rows, current_poll_interval_seconds * 11 as last_duration_ms,
+  case when current_poll_interval_seconds % 3 = 0 then 2 else 0 end as consecutive_failures,
+  case when current_poll_interval_seconds % 3 = 0 then concat('timeout on ', logical_table_name) end as last_error,
+  case when lease_expires_at is not null then concat('worker_', logical_table_name) end as lease_owner,
+  current_poll_interval_seconds % 5 as empty_pull_streak
+from {runtime_states} v
+"""
+VIEWS["tier_details"] = """
+select v.*, cast('2024-01-01 09:00:00' as timestamp) as last_evaluated_at,
+  case effective_schedule_profile when 'hot' then cast('2024-01-01 08:00:00' as timestamp) end as last_promoted_at,
+  case effective_schedule_profile when 'cold' then cast('2024-01-01 07:00:00' as timestamp) end as last_demoted_at
+from {tiers} v
+"""
+VIEWS["bootstrap_details"] = """
+select v.*, case when last_completed_at is not null then 1000 end as last_rows_loaded,
+  case when last_completed_at is not null then lpad('A1', 20, '0') end as last_captured_start_lsn,
+  case when last_completed_at is not null and last_started_at is not null then lpad('2', 20, '0') end as last_captured_seqval,
+  case when last_failed_at is not null then concat('no snapshot of ', logical_table_name) end as last_error
+from {bootstrap_states} v
+"""
+VIEWS["policy_details"] = "select v.*, case when enabled then concat('hours_', tier_mode) end as business_hours_profile_key from {policies} v"
+VIEWS["instance_details"] = "select v.*, concat('fdw_', source_instance_key) as fdw_schema_name from {instances} v"
+VIEWS["checkpoint_details"] = """
+select v.*, case when last_seqval is not null then cast('2024-01-01 11:45:00' as timestamp) end as updated_at from {registry_checkpoints} v
+"""
+for _name in ("tier_details", "checkpoint_details"):
+    SPARK_VIEWS[_name] = VIEWS[_name].replace("as timestamp)", "as timestamp_ntz)")
+
 VIEWS["requested_tables"] = """
 select distinct case when s_suppkey % 5 = 0 then concat('Missing', cast(s_suppkey as varchar(20))) else concat('TBL_', cast(s_suppkey % 10 as varchar(10))) end as table_name
 from {supplier}
