@@ -30,7 +30,7 @@ from changefeed.session import shared_dir
 
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
 MEMORY = 800_000
-CHARACTERS_A_ROUND = 1_000_000
+CHARACTERS_A_ROUND = 300_000
 
 
 # Printable characters up to Latin Extended-B, white space but the plain space left out.
