@@ -22,14 +22,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     """The row with the highest ``order`` per key.
 
     ``max_by`` aggregates partially before the shuffle. Equal order values leave the choice
-    open; add a tie-breaking column to ``order`` where that matters.
+    open; add a tie-breaking column to ``order`` where that matters. Keys whose collation ignores case have
+    the spelling of the chosen row.
     """
     rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     if not rest:
         return df.distinct()
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), rank).alias("__best"))
-    return best.select(*keys, "__best.*").select(*df.columns)
+    spelt = [k for k in keys if "collate" in df.schema[k].dataType.simpleString()]
+    values = [*[F.col(c) for c in rest], *[F.col(k).alias(f"__spelt_{k}") for k in spelt]]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*values), rank).alias("__best")).select(*keys, "__best.*")
+    return best.withColumns({k: F.col(f"__spelt_{k}") for k in spelt}).select(*df.columns)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

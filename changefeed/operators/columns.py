@@ -90,6 +90,9 @@ def prune_columns(
     return df.select(*[c for c in df.columns if keep(c)])
 
 
+CASE_INSENSITIVE = "UTF8_LCASE"
+
+
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Source names to target names; unlisted columns stay as they are."""
     return df.withColumnsRenamed(dict(mapping))
@@ -104,7 +107,8 @@ def cast_to_target(
     """Cast each listed column to the Spark type its source type maps to.
 
     ``lenient`` turns values that do not fit into null instead of failing the job. Uuids are
-    lower-cased so that they compare equal across engines.
+    lower-cased so that they compare equal across engines. Case-insensitive text keeps its spelling and compares
+    without case, in merges, unique checks and distinct counts alike.
     """
     out = {}
     for name, type_name in source_types.items():
@@ -112,6 +116,8 @@ def cast_to_target(
         value = column.try_cast(target) if lenient else column.cast(target)
         if map_type_name(type_name, mapping, FALLBACK_TYPE) == "uuid":
             value = F.lower(value)
+        if "citext" in (type_name.lower(), map_type_name(type_name, mapping, FALLBACK_TYPE)):
+            value = F.collate(value, CASE_INSENSITIVE)
         out[name] = value
     return df.withColumns(out)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changefeed.functions.expressions import op_name
 from changefeed.operators import apply as A
 from changefeed.operators import registry as R
+from changefeed.operators.columns import cast_to_target
 from changefeed.plans import brokered, native
 from changefeed.plans.bootstrap import bootstrap_tables
 from changefeed.plans.partitioned import PartitionedTarget
@@ -67,6 +68,27 @@ def _(t: Tables) -> DataFrame:
     return A.apply_changes(t("order_target"), t("order_changes"), ["o_orderkey"])
 
 
+_SPELT = "case when {n} % 3 = 0 then 'ORD-' when {n} % 3 = 1 then 'ord-' else 'Ord-' end"
+
+
+@query(
+    "h1_apply_changes_case_insensitive",
+    f"""with c as (select *, {_SPELT.format(n='o_custkey')} || o_orderkey as code from {{order_changes}}),
+    b as (select * from (select *, row_number() over (partition by lower(code) order by start_lsn desc, seqval desc) as rn from c where op_code in (1, 2, 4)) where rn = 1)
+    select code, o_orderstatus, o_totalprice, start_lsn, seqval from (select *, 'Ord-' || o_orderkey as code from {{order_target}}) t
+      where not exists (select 1 from b where lower(b.code) = lower(t.code))
+    union all select code, o_orderstatus, o_totalprice, start_lsn, seqval from b where op_code <> 1""",
+)
+def _(t: Tables) -> DataFrame:
+    # Keys are case-insensitive text: one order is spelt in three ways, and stays one row.
+    columns = ["code", "o_orderstatus", "o_totalprice", "start_lsn", "seqval"]
+    target = t("order_target").withColumn("code", F.concat(F.lit("Ord-"), "o_orderkey")).select(*columns)
+    changes = t("order_changes").withColumn("code", F.concat(F.expr(_SPELT.format(n="o_custkey")), "o_orderkey")).select(*columns, "op_code")
+    target, changes = (cast_to_target(df, {"code": "citext"}) for df in (target, changes))
+    merged = A.apply_changes(target, changes, ["code"])
+    return merged.withColumn("code", F.collate("code", "UTF8_BINARY"))
+
+
 @query(
     "h1_apply_changes_any_delete",
     """with c as (select * from {order_changes} where op_code in (1, 2, 4)),

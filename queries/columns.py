@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changefeed.functions.catalog import FunctionCatalog
 from changefeed.functions import expressions as X
 from changefeed.functions import names as N
 from changefeed.functions import types as Y
@@ -397,6 +398,37 @@ def _(t: Tables) -> DataFrame:
     return registry.with_expressions(t("role_rows"), ["shout", "in_credit"]).select("id", "shout", "in_credit")
 
 
+_FUNCTIONS = FunctionCatalog.from_dicts(
+    {
+        "gross": {"parameters": {"net": "double", "rate": "double"}, "defaults": {"rate": "0.25D"}, "returns": "double", "body": "net * (1 + rate)"},
+        "order_reports": {
+            "parameters": {"price": "double", "status": "string"},
+            "returns": {"report": "string", "place": "int"},
+            "body": "SELECT col, pos FROM (SELECT posexplode(array_compact(array(if(price > 250000, 'large', null), if(status = 'O', 'open', null)))))",
+        },
+    }
+)
+
+
+@query("m2_sql_functions", "select id, balance * 1.25::double as gross, balance * (1 + priority / 10.0::double) as gross_by_priority from {role_rows}")
+def _(t: Tables) -> DataFrame:
+    _FUNCTIONS.load(t.spark)
+    by_priority = _FUNCTIONS.call("gross", "balance", F.col("priority") / 10)
+    return t("role_rows").select("id", _FUNCTIONS.call("gross", "balance").alias("gross"), by_priority.alias("gross_by_priority"))
+
+
+@query(
+    "m4_row_multiplying_function",
+    """select o_orderkey, 'large' as report, 0 as place from {orders} where o_totalprice > 250000
+    union all select o_orderkey, 'open', case when o_totalprice > 250000 then 1 else 0 end from {orders} where o_orderstatus = 'O'
+    union all select o_orderkey, null, null from {orders} where not o_totalprice > 250000 and o_orderstatus <> 'O'""",
+)
+def _(t: Tables) -> DataFrame:
+    _FUNCTIONS.load(t.spark)
+    orders = t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return _FUNCTIONS.spread(orders, "order_reports", "o_totalprice", "o_orderstatus", keep=True).select("o_orderkey", "report", "place")
+
+
 @query("m4_row_multiplying_rule", "select o_orderkey, unnest(case when o_totalprice > 250000 then ['large', 'all'] else ['all'] end) as report from {orders}")
 def _(t: Tables) -> DataFrame:
     rule = Rule(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changefeed.functions.expressions import decode_op, message_key, op_name, topic_name
@@ -12,7 +12,7 @@ from changefeed.operators.monitor import feed_sizes
 from changefeed.operators.routing import fan_out, flag_errors, flag_routes, route_by, split_dead_letters
 from changefeed.plans.brokered import consume, publish
 from changefeed.session import shared_dir
-from changefeed.sources import catalogs, feeds
+from changefeed.sources import catalogs, feeds, variants
 from changefeed.sources.topics import topic_rows
 from changefeed.spec import TableSpec
 from queries.base import Tables, moment, query
@@ -321,6 +321,44 @@ def _(t: Tables) -> DataFrame:
     return rows.select(*DATA, "__cdc_operation", "__source_db", "__routing_schema", "__routing_table")
 
 
+@query(
+    "b4_variant_round_trip",
+    """select event_id, pk, event_type, value, case op_code when 1 then 'DELETE' when 4 then 'UPDATE' else 'INSERT' end as __cdc_operation,
+    'appdb' as __source_db, 'tenant1' as __routing_schema, 'events' as __routing_table from {change_feed} where op_code <> 3""",
+)
+def _(t: Tables) -> DataFrame:
+    messages = publish(t("change_feed"), EVENTS, DATA, F.lit(1706745600000))
+    parsed = feeds.derive_route(variants.parse_variant(messages), table=variants.source_field("table"))
+    fields = {"event_id": "long", "pk": "long", "event_type": "string", "value": "double"}
+    rows = variants.unwrap_variant(parsed, fields, ["__routing_schema", "__routing_table"])
+    return rows.select(*DATA, "__cdc_operation", "__source_db", "__routing_schema", "__routing_table")
+
+
+@query(
+    "j5_message_drift",
+    """with e as (select distinct event_type as t from {change_feed})
+    select t as table_name, 'gone' as column_name, 'absent' as drift, null as seen, 'nvarchar(20)' as declared from e
+    union all select event_type, 'extra', 'undeclared', 'BOOLEAN', null from {change_feed} where event_id % 3 = 0 group by event_type
+    union all select t, 'VALUE', 'type', case t when 'error' then 'STRING' else 'VARIANT' end, 'money' from e where t in ('error', 'click')""",
+)
+def _(t: Tables) -> DataFrame:
+    # Messages of one table a type of event: errors write their value as text, clicks now so, now so.
+    kind, texts = F.col("event_type"), (F.col("event_type") == "error") | ((F.col("event_type") == "click") & (F.col("event_id") % 20 < 10))
+    source = F.struct(kind.alias("table"))
+    extra = F.when(F.col("event_id") % 3 == 0, F.lit(True)).alias("extra")
+
+    def message(value: Column) -> Column:
+        row = F.struct("event_id", "pk", value.alias("value"), extra, F.struct("start_lsn").alias("Props"))
+        return F.to_json(F.struct(F.struct(F.lit("u").alias("op"), row.alias("after"), source.alias("source")).alias("payload")))
+
+    text, number = F.concat(F.lit("v"), F.col("event_id").cast("string")), F.coalesce(F.col("value"), F.lit(0.5))
+    messages = t("change_feed").select(F.when(texts, message(text)).otherwise(message(number)).alias("value"))
+    declared = "explode(array(struct('EVENT_ID', 'bigint'), struct('pk', 'int'), struct('VALUE', 'money'), struct('props', 'nvarchar(max)'), struct('gone', 'nvarchar(20)'))) as d"
+    catalog = t("change_feed").select(kind.alias("table_name")).distinct().selectExpr("table_name", declared)
+    catalog = catalog.select("table_name", F.col("d.col1").alias("column_name"), F.col("d.col2").alias("type_name"))
+    return variants.message_drift(variants.observed_columns(variants.parse_variant(messages)), catalog)
+
+
 @query("b5_require_lsn", "select event_id, max_lsn from (select event_id, case event_id % 4 when 0 then cast(null as varchar) when 1 then 'null' else start_lsn end as max_lsn from {change_feed}) where max_lsn is not null and max_lsn <> 'null'")
 def _(t: Tables) -> DataFrame:
     rows = t("change_feed").withColumn(

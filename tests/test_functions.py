@@ -180,3 +180,45 @@ def test_lenient_cast_gives_null(spark):
 def test_a_spec_needs_keys():
     with pytest.raises(ValueError, match="key"):
         TableSpec("t", [])
+
+
+def test_sql_functions_of_a_catalog(spark):
+    from changefeed.functions.catalog import FunctionCatalog
+
+    catalog = FunctionCatalog.from_dicts(
+        {
+            "scaled": {"parameters": {"x": "int", "by": "int"}, "defaults": {"by": "10"}, "returns": "int", "body": "x * by"},
+            "letters": {"parameters": {"word": "string"}, "returns": {"letter": "string"}, "body": "SELECT explode(filter(split(word, ''), c -> c <> ''))"},
+        }
+    )
+    catalog.load(spark)
+    df = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "n int, odd word string".replace("odd word", "`odd word`"))
+    assert [r[0] for r in df.select(catalog.call("scaled", "n")).collect()] == [10, 20, 30]
+    assert [r[0] for r in df.select(catalog.call("scaled", F.col("n") + 1, F.lit(2))).collect()] == [4, 6, 8]
+    assert sorted((r.n, r.letter) for r in catalog.spread(df, "letters", "odd word").collect()) == [(1, "a"), (1, "b")]
+    kept = sorted((r.n, r.letter or "") for r in catalog.spread(df, "letters", "odd word", keep=True).collect())
+    assert kept == [(1, "a"), (1, "b"), (2, ""), (3, "")]
+    with pytest.raises(KeyError, match="letters, scaled"):
+        catalog.call("nope")
+    with pytest.raises(TypeError, match="takes x, by; 3 arguments"):
+        catalog.call("scaled", "n", "n", "n")
+    with pytest.raises(TypeError, match="gives rows"):
+        catalog.call("letters", "n")
+    with pytest.raises(ValueError, match="is not a name"):
+        FunctionCatalog.from_dicts({"a b": {"returns": "int", "body": "1"}}).load(spark)
+    with pytest.raises(Exception, match="no_such_column"):
+        FunctionCatalog.from_dicts({"bad": {"returns": "int", "body": "no_such_column + 1"}}).load(spark)
+
+
+def test_case_insensitive_text_compares_without_case(spark):
+    from changefeed.operators.apply import apply_changes, latest_per_key
+    from changefeed.operators.columns import cast_to_target
+
+    schema = "k string, v string, op_code int, start_lsn string, seqval string"
+    batch = cast_to_target(spark.createDataFrame([("aB", "1", 4, "02", "0"), ("AB", "2", 4, "03", "0"), ("straße", "3", 2, "01", "0"), (None, "4", 2, "01", "0")], schema), {"k": "citext"})
+    target = cast_to_target(spark.createDataFrame([("ab", "0", "01", "0"), ("c", "0", "01", "0")], "k string, v string, start_lsn string, seqval string"), {"k": "CiText"})
+    for guard in (False, True):
+        merged = apply_changes(target, batch.where("k is not null"), ["k"], guard=guard)
+        assert sorted((r.k, r.v) for r in merged.collect()) == [("AB", "2"), ("c", "0"), ("straße", "3")]
+    assert latest_per_key(batch, ["k"], ["start_lsn"]).count() == 3
+    assert batch.select("k").distinct().count() == 3 and batch.where("k = 'Ab'").count() == 2
