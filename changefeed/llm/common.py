@@ -111,7 +111,7 @@ class Memory(dict):
 
     def room_for(self, met: set, most: int) -> set:
         """The pieces of ``met`` that are not remembered, after making room for them."""
-        new = met - self.keys()
+        new = {x for x in met if x not in self}  # a difference with keys() would walk through all that is remembered
         self.again |= met - new
         if len(self) + len(new) > most:
             kept = self.again if 2 * len(self.again) + len(new) <= most else met - new
