@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changefeed.spec import OP_DELETE, OP_INSERT, OP_UPDATE
@@ -132,3 +132,10 @@ def position_struct(lsn: Column | str, seq: Column | str) -> Column:
 def blank_to_null(col: Column | str) -> Column:
     """Trimmed text; blank becomes null."""
     return F.nullif(F.trim(_col(col).cast("string")), F.lit(""))
+
+
+def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which null equals null; planned as an equi-join. The keys come once, from the left."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__right_{k}"]) for k in keys])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])

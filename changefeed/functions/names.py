@@ -10,7 +10,7 @@ from fnmatch import translate as glob_to_regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.functions.expressions import _col, any_of, lookup, safe_identifier
+from changefeed.functions.expressions import _col, any_of, join_nulls, lookup, safe_identifier
 from changefeed.spec import DEFAULT_SCHEMA
 
 # --- Fixed values -----------------------------------------------------------
@@ -165,8 +165,7 @@ def feed_name(df: DataFrame, schema: str = "schema_name", table: str = "table_na
     full = F.concat(safe_identifier(schema), F.lit("_"), bare)
     keep_bare = (F.col("__same_name") == 1) & (F.lower(F.col(schema)) == DEFAULT_SCHEMA)
     return (
-        df.withColumn("__folded", folded)
-        .join(counts, "__folded")
+        join_nulls(df.withColumn("__folded", folded), counts, ["__folded"])
         .withColumn("feed_name", F.concat(F.when(keep_bare, bare).otherwise(full), F.lit(FEED_SUFFIX)))
         .drop("__folded", "__same_name")
     )

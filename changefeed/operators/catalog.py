@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changefeed.functions.expressions import blank_to_null
+from changefeed.functions.expressions import blank_to_null, join_nulls
 from changefeed.functions.types import (
     MSSQL_PG,
     MSSQL_TO_PG,
@@ -358,7 +358,7 @@ def _sides(expected: DataFrame, existing: DataFrame, fold: bool) -> DataFrame:
     tables = columns.groupBy(*TABLE).agg(
         F.bool_or(F.col("new").isNotNull()).alias("__in_new"), F.bool_or(F.col("old").isNotNull()).alias("__in_old")
     )
-    return columns.join(tables, TABLE)
+    return join_nulls(columns, tables, TABLE)
 
 
 def schema_diff(expected: DataFrame, existing: DataFrame) -> DataFrame:

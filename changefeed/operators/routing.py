@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from changefeed.functions.expressions import blank_to_null, lookup, safe_identifier
+from changefeed.functions.expressions import blank_to_null, join_nulls, lookup, safe_identifier
 
 # --- Fixed values -----------------------------------------------------------
 RETRYABLE_ERRORS = ("timeout", "connection")
@@ -211,7 +211,7 @@ def unique_collisions(routes: DataFrame, value: str = "value") -> DataFrame:
     usable = _scoped(routes, value).filter(F.col("value").isNotNull() & ~F.lower("value").isin(*EMPTY_VALUES))
     usable = usable.select(*at, "route").distinct()
     counts = usable.groupBy(*at).agg(F.count("*").alias("route_count")).filter(F.col("route_count") >= 2)
-    return usable.join(counts, at)
+    return join_nulls(usable, counts, at)  # a route may have no template
 
 
 def unique_missing(routes: DataFrame, value: str = "value") -> DataFrame:

@@ -56,11 +56,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory below the cluster's shared folder.
 
     The folder is named by ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary directory of this machine is used instead; any other master raises.
+    local tests, a temporary directory of this machine is used instead; any other master, or one that is not known, raises.
     """
     base = spark.conf.get(SHARED_DIR_CONF, None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="changefeed-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -222,3 +222,18 @@ def test_case_insensitive_text_compares_without_case(spark):
         assert sorted((r.k, r.v) for r in merged.collect()) == [("AB", "2"), ("c", "0"), ("straße", "3")]
     assert latest_per_key(batch, ["k"], ["start_lsn"]).count() == 3
     assert batch.select("k").distinct().count() == 3 and batch.where("k = 'Ab'").count() == 2
+
+
+def test_joins_on_null_keys_keep_their_rows(spark):
+    from changefeed.functions.names import feed_name
+    from changefeed.operators.routing import unique_collisions
+
+    left = spark.createDataFrame([(1, None, "a"), (None, None, "b"), (2, "x", "c")], "k int, s string, v string")
+    right = spark.createDataFrame([(1, None, 10), (None, None, 20), (None, "x", 30)], "k int, s string, n int")
+    assert rows(X.join_nulls(left, right, ["k", "s"]), "v", "n") == [("a", 10), ("b", 20)]
+    assert rows(X.join_nulls(left, right, ["k", "s"], "left"), "v", "n") == [("a", 10), ("b", 20), ("c", None)]
+    names = spark.createDataFrame([("dbo", "T"), ("dbo", None)], "schema_name string, table_name string")
+    assert feed_name(names).count() == 2
+    routes = "sink string, source_group string, sink_env_aware boolean, source_env_aware boolean, target_sink_env string, target_known boolean, source_name string, env string, template string, value string"
+    two = spark.createDataFrame([("s", "g", True, False, "dev", True, n, "dev", None, "same") for n in ("a", "b")], routes)
+    assert unique_collisions(two).count() == 2
