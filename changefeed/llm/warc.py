@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from changefeed.session import shared_dir
 
 ARCHIVE_BYTES, LEVEL = 8 << 20, 3
+READ_BYTES = 1 << 13
 CRAWLED = "20240101000000"
 # The header fields of the two versions of ARC.
 FIELDS = {
@@ -43,11 +44,14 @@ def member(data: bytes) -> bytes:
 
 def members(archive: bytes) -> Iterator[bytes]:
     """What each member holds; bytes after the last member are padding."""
-    view = memoryview(archive)
-    while bytes(view[:2]) == b"\x1f\x8b":
-        reader = zlib.decompressobj(31)
-        yield reader.decompress(view)
-        view = view[len(view) - len(reader.unused_data) :]
+    view, at = memoryview(archive), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof and at < len(view):  # in short pieces, as the reader copies what follows a member
+            piece = view[at : at + READ_BYTES]
+            parts.append(reader.decompress(piece))
+            at += len(piece) - len(reader.unused_data)
+        yield b"".join(parts)
 
 
 def digest(payload: bytes) -> str:

@@ -481,3 +481,27 @@ def test_pipeline_stages(spark, docs):  # noqa: ANN001
     assert mixed.columns == names and len(cut_short) <= 3
     ids = corpus_pipeline.STAGES[4][1](spark, mixed, "")
     assert ids.count() == mixed.count() and all(len(r.ids) == r.n_tokens for r in ids.collect())
+
+
+def test_reading_a_member_does_not_copy_the_archive_behind_it(monkeypatch):  # noqa: ANN001
+    copied, opened = [], zlib.decompressobj
+
+    class Reader:
+        def __init__(self, bits: int) -> None:
+            self.own = opened(bits)
+
+        def decompress(self, data) -> bytes:  # noqa: ANN001
+            out = self.own.decompress(data)
+            copied.append(len(self.own.unused_data))
+            return out
+
+        def __getattr__(self, name: str):  # noqa: ANN204
+            return getattr(self.own, name)
+
+    rnd = random.Random(3)
+    held = [b"", *[rnd.randbytes(n) for n in (1, 100, warc.READ_BYTES - 1, warc.READ_BYTES, 5 * warc.READ_BYTES)], *[rnd.randbytes(900) for _ in range(200)]]
+    archive = b"".join(map(warc.member, held))
+    monkeypatch.setattr(warc.zlib, "decompressobj", Reader)
+    assert list(warc.members(archive)) == held and list(warc.members(archive + b"\0\0")) == held
+    assert max(copied) < warc.READ_BYTES
+    assert list(warc.members(archive[:-4]))[:-1] == held[:-1]  # a cut archive ends, too
