@@ -7,6 +7,8 @@ for "earlier" documents compares ``rid`` alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,38 @@ class Memory(dict):
         return new
 
 
+class Recent(dict):
+    """What a worker remembers of pieces of texts: looking up a new one learns it.
+
+    About ``most`` are kept, in two generations: when the present one is full it becomes the past one, and only what
+    is looked up again comes back from there.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
+        self.learn, self.full, self.past = learn, max(1, most // 2), {}
+
+    def __missing__(self, x: str) -> bytes:
+        return self._kept(x, self.learn)
+
+    def _kept(self, x: str, learn: Callable[[str], bytes]) -> bytes:
+        value = self.past.pop(x, None)
+        return self.put(x, learn(x) if value is None else value)
+
+    def put(self, x: str, value: bytes) -> bytes:
+        if len(self) >= self.full:
+            self.past = dict(self)
+            self.clear()
+        self[x] = value
+        return value
+
+    def get_or(self, x: str, learn: Callable[[str], bytes]) -> bytes:
+        value = self.get(x)
+        return self._kept(x, learn) if value is None else value
+
+    def knows(self, x: str) -> bool:
+        return x in self or x in self.past
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """``rows`` with their place in ``order``, from 0 without gaps, as column ``name``.
 

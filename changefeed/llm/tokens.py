@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changefeed.llm.common import Memory, keyed, materialise, partitions, worker_cache
+from changefeed.llm.common import Recent, keyed, materialise, partitions, worker_cache
 from changefeed.llm.pieces import cut
 from changefeed.session import shared_dir
 
@@ -35,6 +35,7 @@ CHARACTERS_A_ROUND = 300_000
 
 # Printable characters up to Latin Extended-B, white space but the plain space left out.
 NEAR = re.compile("[ -~\xa1-\u024f]+").fullmatch
+FAR = re.compile("[^\n -~\xa1-\u024f]").search
 
 
 def _byte_letters() -> list[str]:
@@ -63,32 +64,27 @@ class Encoder:
         self.literals = re.compile(f"({literals})") if literals else None
         self.letters = dict(enumerate(_byte_letters()))
         self.matches = regex.compile(public_tokenizers.PATTERN)
-        self.pieces = Memory()
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode new pieces. Those of Latin letters, on which all Unicode versions agree, are cut into matches of the
-        pattern here and the library's model encodes each match once; others go through the whole library."""
-        model, space, words = self.tokenizer.model, self.letters[32], {}
-
-        def encoded(match: str) -> bytes:
-            ids = words.get(match) or self.pieces.get(match)
-            if ids is None:
-                raw = match if match.isascii() else match.encode().decode("latin-1").translate(self.letters)
-                ids = words[match] = array("I", [x.id for x in model.tokenize(raw.replace(" ", space))]).tobytes()
-            return ids
-
-        for x in filter(NEAR, new):
-            if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
-                self.pieces[x] = encoded(x)  # one match
-            else:
-                self.pieces[x] = b"".join(map(encoded, self.matches.findall(x)))
-        rest = [x for x in new if x not in self.pieces]
-        for i in range(0, len(rest), 2000):
-            part = rest[i : i + 2000]
-            self.pieces.update(zip(part, [np.array(x, "<u4").tobytes() for x in self._ids(part)]))
+        self.pieces = Recent(self._learn, MEMORY)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _match(self, match: str) -> bytes:
+        """The ids of one match of the pattern, by the library's model."""
+        raw = match if match.isascii() else match.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(raw.replace(" ", self.letters[32]))]).tobytes()
+
+    def _learn(self, x: str) -> bytes:
+        """The ids of a new piece. One of Latin letters, on which all Unicode versions agree, is cut into matches of the
+        pattern here and the library's model encodes each new match; another goes through the whole library."""
+        if x in self.added:
+            return self.added[x]
+        if not x or not NEAR(x):
+            return self._library([x])[0]
+        if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
+            return self._match(x)
+        matches = self.matches.findall(x)
+        return b"".join([self.pieces.get_or(m, self._match) for m in matches]) if len(matches) > 1 else self._match(x)
 
     def _cut(self, text: str) -> list[str]:
         if not any(x in text for x in self.added):
@@ -98,13 +94,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.plain:
-            return [np.array(x, "<u4") for x in self._ids(texts)]
+            return [np.frombuffer(x, "<u4") for x in self._library(texts)]
         cuts = [self._cut(t) if t else [] for t in texts]
-        new = self.pieces.room_for(set().union(*cuts), MEMORY) - {"", *self.added}
-        self.pieces.update(self.added)
-        self.pieces[""] = b""
-        if new:
-            self._learn(new)
+        others = {x for t, c in zip(texts, cuts) if FAR(t) for x in c if not NEAR(x) and x not in self.added and not self.pieces.knows(x)}
+        for i in range(0, len(others), 2000):  # many at a time cost less
+            part = list(itertools.islice(others, i, i + 2000))
+            for x, ids in zip(part, self._library(part)):
+                self.pieces.put(x, ids)
         return [np.frombuffer(b"".join(itemgetter("", *c)(self.pieces)), "<u4") for c in cuts]
 
 

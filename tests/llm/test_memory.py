@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
-from changefeed.llm.common import Memory, worker_cache
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from changefeed.llm import tokens
+from changefeed.llm.common import Memory, Recent, worker_cache
 
 
 def test_pieces_met_again_are_kept_and_results_do_not_depend_on_it():
@@ -25,3 +29,26 @@ def test_a_worker_holds_one_operators_memory():
     worker_cache("a")["x"] = [1]
     worker_cache("b")["y"] = 2
     assert worker_cache("b") == {"y": 2} and worker_cache("a") == {}
+
+
+def test_looking_up_a_piece_learns_it_and_pieces_met_again_outlast_others():
+    learned: list[str] = []
+    memory = Recent(lambda x: learned.append(x) or x.upper().encode(), 100)
+    for turn in range(200):
+        for x in (*(f"often {i}" for i in range(20)), *(f"once {turn} {i}" for i in range(7))):
+            assert memory[x] == x.upper().encode()
+            assert len(memory) + len(memory.past) <= 100
+    assert sum(x.startswith("often") for x in learned) == 20
+    assert memory.get_or("other", str.encode) == b"other" == memory["other"] and memory.knows("other")
+
+
+def test_texts_in_other_scripts_do_not_fill_the_memory_beyond_its_bound(monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        held = f.read()
+    encoder, plain, rnd = tokens.Encoder(held), Tokenizer.from_str(held), random.Random(4)
+    for _ in range(40):
+        texts = [" ".join("".join(rnd.choices("abcé,7ж字", k=rnd.randint(1, 6))) for _ in range(15)) + end for end in ("", "\n", "<|endoftext|>x")]
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+        assert len(encoder.pieces) + len(encoder.pieces.past) <= 60
