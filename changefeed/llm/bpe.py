@@ -8,7 +8,7 @@ in every word and contracts it; words without a pair drop out, until none is lef
 the word, leftmost first where places overlap, and stops after so many steps that the rows it holds stay
 bounded; it goes on from the state it reached. A rank whose token forms a pair of a smaller rank with any
 neighbour (``alone``) is contracted one place a step, so that both forms give the same ids.
-Decoding is an ordered aggregation of the tokens' bytes.
+Decoding takes the rows of the vocabulary, an Arrow column, in the order of the ids.
 
 Encoded words are remembered by the worker, at most ``MEMORY`` and those of the round at hand; beyond, it keeps
 those met again since (``common.Memory``). Only speed depends on that.
@@ -96,9 +96,6 @@ with recursive step(k, w, p, n, id, r) as (
 select step.w, step.p, step.n, step.id, step.r, step.k from step
 join (select w, max(k) as k from step group by w) last on step.w = last.w and step.k = last.k
 """
-JOIN_BYTES = """
-select s, list(bytes order by p) as parts from given join vocabulary using (id) group by s
-"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -161,17 +158,14 @@ class Codec:
         alone = np.fromiter((m in apart for m in merged.tolist()), bool, len(merged))
         self.con.register("given", pa.table({"pair": pair, "merged": merged, "alone": alone}))
         self.con.execute("create table merges as select pair, merged, alone from given")
-        self.con.register("given", pa.table({"id": list(ranks.values()), "bytes": list(ranks)}))
-        self.con.execute("create table vocabulary as select id, bytes from given")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.starts = np.zeros(max(ranks.values()) + 1, bool)
-        self.starts[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.texts = [b""] * len(self.starts)
+        self.texts = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.texts[r] = t
-        self.names = [str(i) for i in range(len(self.starts))]
+        self.vocabulary = pa.array(self.texts, pa.large_binary())
+        self.names = [str(i) for i in range(len(self.texts))]
         self.pattern = regex.compile(pattern)
-        self.pieces, self.parts = Memory(), Memory()
+        self.pieces = Memory()
         self.memory, self.round = memory, characters
 
     def _positions(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -249,39 +243,19 @@ class Codec:
                 yield np.frombuffer(_joined(self.pieces, c), "<i4")
 
     def decode(self, many: list[np.ndarray]) -> Iterator[bytes]:
-        """The bytes of each sequence of ids. It is cut before tokens that begin with a space; parts
-        not met before are put together by the ordered aggregation."""
+        """The bytes of each sequence of ids: the vocabulary's rows, taken in the order of the ids and joined."""
         at = 0
         while at < len(many):
-            cuts, size = [], 0
-            while at < len(many) and (size < self.round or not cuts):
-                ids = many[at].astype("<i4", copy=False)
-                starts = (4 * np.flatnonzero(self.starts[ids])).tolist()
-                flat = ids.tobytes()
-                cuts.append([flat[a:b] for a, b in zip([0, *starts], [*starts, len(flat)])])
-                size += len(flat)
+            begin, size = at, 0
+            while at < len(many) and (size < self.round or at == begin):
+                size += 4 * len(many[at])
                 at += 1
-            met = set().union(*cuts)
-            todo = list(self.parts.room_for(met, self.memory))
-            for i in range(0, len(todo), 8 * WORDS_A_QUERY):
-                part = todo[i : i + 8 * WORDS_A_QUERY]
-                length = np.fromiter(map(len, part), np.int64, len(part)) // 4
-                s = np.repeat(np.arange(len(part)), length)
-                p = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
-                self.con.register("given", pa.table({"s": s, "p": p, "id": np.frombuffer(b"".join(part), "<i4")}))
-                got = self.con.sql(JOIN_BYTES).to_arrow_table()
-                self.parts.update(dict.fromkeys(part, b""))
-                for group in got.combine_chunks().to_batches():
-                    lists = group.column("parts")
-                    values = lists.values.cast(pa.large_binary())
-                    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-                    ends = offsets[lists.offsets.to_numpy()].tolist()
-                    data = values.buffers()[2]
-                    flat = data.to_pybytes() if data else b""
-                    for k, a, z in zip(group.column("s").to_pylist(), ends, ends[1:]):
-                        self.parts[part[k]] = flat[a:z]
-            for c in cuts:
-                yield _joined(self.parts, c)
+            part = many[begin:at]
+            taken = self.vocabulary.take(pa.array(np.concatenate(part), pa.int32()))
+            data, ends = taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :]
+            ends = ends[np.cumsum([0, *map(len, part)])].tolist()
+            for a, z in zip(ends, ends[1:]):
+                yield data[a:z].to_pybytes() if z > a else b""
 
 
 def _codec(held, pattern: str, path: str, memory: int = MEMORY, characters: int = CHARACTERS_A_ROUND) -> Codec:  # noqa: ANN001

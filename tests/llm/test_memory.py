@@ -7,7 +7,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from changefeed.llm import tokens
+from changefeed.llm import bpe, tokens
 from changefeed.llm.common import Memory, Recent, worker_cache
 
 
@@ -52,3 +52,14 @@ def test_texts_in_other_scripts_do_not_fill_the_memory_beyond_its_bound(monkeypa
         want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in encoder.encode(texts)] == want
         assert len(encoder.pieces) + len(encoder.pieces.past) <= 60
+
+
+def test_decoding_takes_rows_of_the_vocabulary_and_remembers_nothing():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = bpe.Codec(bpe.read_ranks(path), public_tokenizers.PATTERN, characters=40)
+    texts = ["", "one two", " \n\n", "é字ж <|endoftext|>", "", "one two three " * 30, ""]
+    ids = list(codec.encode(texts))
+    codec.con.close()
+    held = len(codec.pieces)
+    assert list(codec.decode(ids)) == [t.encode() for t in texts] and list(codec.decode([])) == []
+    assert held == len(codec.pieces) and not any(isinstance(x, dict) and x is not codec.pieces for x in vars(codec).values())
