@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from changefeed.llm.common import keyed, materialise, packed, partitions, unpacked, worker_cache
 
 LENGTH, GRAM, CROWD = 100, 32, 64
-BATCH_BYTES, SHARD_BYTES = 1 << 20, 32 << 20
+BATCH_BYTES, SHARD_BYTES, PART = 1 << 20, 32 << 20, 1 << 16
 BASE, OTHER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 U = np.uint64
 
@@ -79,16 +79,20 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np
     none = {k: np.zeros(0, np.int64) for k in ("doc", "q", "n", "o")} | {k: np.zeros(0, np.uint64) for k in ("h", "s")}
     if len(data) < LENGTH:
         return none
-    hashes, width = Hashes(data), LENGTH - GRAM + 1
-    at = np.arange(len(data) - GRAM + 1)
-    h = mixed(hashes.of(at, at + GRAM))
-    least, span = (h & U(0xFFFFFFFFFF000000)) | at.astype(np.uint64), 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if width > span:
-        least = np.minimum(least[: -(width - span)], least[width - span :])
-    anchor = (least & U(0xFFFFFF)).astype(np.int64)
+    width, last = LENGTH - GRAM + 1, len(data) - LENGTH + 1
+    anchor, hash_of = np.empty(last, np.int32), np.empty(last, np.uint64)
+    for a in range(0, last, PART):  # in parts, so that the arrays of hashes stay small
+        part = data[a : a + PART + LENGTH - 1]
+        hashes, at = Hashes(part), np.arange(len(part) - GRAM + 1)
+        h = mixed(hashes.of(at, at + GRAM))
+        least, span = (h & U(0xFFFFFFFFFF000000)) | at.astype(np.uint64), 1
+        while span * 2 <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if width > span:
+            least = np.minimum(least[: -(width - span)], least[width - span :])
+        here = (least & U(0xFFFFFF)).astype(np.int32)
+        anchor[a : a + PART], hash_of[a : a + PART] = here + np.int32(a), h[here]
     long = ends - starts >= LENGTH
     inside = np.zeros(len(anchor) + 1, np.int32)
     np.add.at(inside, starts[long], 1)
@@ -101,9 +105,18 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np
     q = np.flatnonzero(cut)
     n = np.diff(np.append(q, len(anchor)))
     q, n = q[inside[q]], n[inside[q]]
-    a = anchor[q]
-    s = mixed(Hashes(data, OTHER).of(q, q + n + LENGTH - 1)) + n.astype(np.uint64)
-    return {"doc": np.searchsorted(ends, q, "right"), "q": q, "n": n, "o": a - q, "h": h[a], "s": s}
+    s = np.empty(len(q), np.uint64)
+    for i, j in zip(*_parts_of(q, len(data))):
+        low, high = int(q[i]), int(q[j - 1] + n[j - 1]) + LENGTH - 1
+        s[i:j] = Hashes(data[low:high], OTHER).of(q[i:j] - low, q[i:j] - low + n[i:j] + LENGTH - 1)
+    s = mixed(s) + n.astype(np.uint64)
+    return {"doc": np.searchsorted(ends, q, "right"), "q": q, "n": n, "o": anchor[q] - q, "h": hash_of[q], "s": s}
+
+
+def _parts_of(q: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """Where the places ``q``, ascending, enter each part of a buffer: bounds of the parts that have any."""
+    bounds = np.unique(np.searchsorted(q, np.arange(0, size + PART, PART))).tolist()
+    return bounds[:-1], bounds[1:]
 
 
 def segments(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[tuple[np.ndarray, list]]:
@@ -272,7 +285,7 @@ def judge_runs(dealt: DataFrame) -> DataFrame:
 
 
 SLICE = (("h", pa.int64()), ("h2", pa.int64()), ("rid", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("bytes", pa.binary()))
-CROWD_ROWS = 20_000
+CROWD_ROWS = 8_000
 
 
 def _batch(**columns) -> pa.RecordBatch:  # noqa: ANN003
