@@ -15,8 +15,14 @@ _COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _ODD = ("  ", " \n", "\n ", "\n\n", "\0", *[c for c in WHITE if c not in " \n"])
 
 
+def marked(text: str) -> str | None:
+    """The text with a zero byte between its pieces; none if that does not do."""
+    if any(x in text for x in _ODD) or text[:1] == " " or text[-1:] in (" ", "\n"):
+        return None
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+
+
 def cut(text: str) -> list[str]:
     """Pieces whose concatenation is the text; no match of the pattern spans two of them."""
-    if any(x in text for x in _ODD) or text[:1] == " " or text[-1:] in (" ", "\n"):
-        return _COARSE.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    found = marked(text)
+    return _COARSE.findall(text) if found is None else found.split("\0")

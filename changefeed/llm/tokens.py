@@ -20,17 +20,19 @@ from operator import itemgetter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changefeed.llm.common import Recent, keyed, materialise, partitions, worker_cache
-from changefeed.llm.pieces import cut
+from changefeed.llm.pieces import cut, marked
 from changefeed.session import shared_dir
 
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
 MEMORY = 800_000
-CHARACTERS_A_ROUND = 300_000
+CHARACTERS_A_ROUND = 2_000_000
+LONG_TEXT = 1 << 28  # an Arrow string column holds less than 2 GB
 
 
 # Printable characters up to Latin Extended-B, white space but the plain space left out.
@@ -95,13 +97,33 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.plain:
             return [np.frombuffer(x, "<u4") for x in self._library(texts)]
-        cuts = [self._cut(t) if t else [] for t in texts]
-        others = {x for t, c in zip(texts, cuts) if FAR(t) for x in c if not NEAR(x) and x not in self.added and not self.pieces.knows(x)}
+        found = [None if not t or len(t) > LONG_TEXT or any(x in t for x in self.added) else marked(t) for t in texts]
+        cuts = [self._cut(t) if t and f is None else [] for t, f in zip(texts, found)]
+        lists = pc.split_pattern(pa.array([f for f in found if f is not None], pa.string()), "\0")
+        coded = lists.flatten().dictionary_encode()  # each different piece becomes a Python string and is looked up once
+        met = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\0")[0].as_py().split("\0")
+        if any(map(FAR, texts)):
+            self._learn_others({x for c in [met, *cuts] for x in c if not NEAR(x)})
+        quick = iter(self._joined(met, coded.indices.to_numpy(), lists.offsets.to_numpy()))
+        return [np.frombuffer(b"".join(itemgetter("", *c)(self.pieces)), "<u4") if f is None else next(quick) for f, c in zip(found, cuts)]
+
+    def _learn_others(self, met: set[str]) -> None:
+        others = [x for x in met if x not in self.added and not self.pieces.knows(x)]
         for i in range(0, len(others), 2000):  # many at a time cost less
-            part = list(itertools.islice(others, i, i + 2000))
+            part = others[i : i + 2000]
             for x, ids in zip(part, self._library(part)):
                 self.pieces.put(x, ids)
-        return [np.frombuffer(b"".join(itemgetter("", *c)(self.pieces)), "<u4") for c in cuts]
+
+    def _joined(self, met: list[str], codes: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts whose pieces are ``met[codes]``, those of a text from one of ``begins`` to the next."""
+        ids = itemgetter("", *met)(self.pieces)[1:]
+        size = np.fromiter(map(len, ids), np.int64, len(met)) // 4
+        many = size[codes]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], many)
+        bounds = ends[begins].tolist()
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
+        return [flat[x:y] for x, y in zip(bounds, bounds[1:])]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, stripe_bytes: int = STRIPE_BYTES) -> None:

@@ -63,3 +63,28 @@ def test_decoding_takes_rows_of_the_vocabulary_and_remembers_nothing():
     held = len(codec.pieces)
     assert list(codec.decode(ids)) == [t.encode() for t in texts] and list(codec.decode([])) == []
     assert held == len(codec.pieces) and not any(isinstance(x, dict) and x is not codec.pieces for x in vars(codec).values())
+
+
+def test_a_round_of_texts_makes_a_string_of_each_different_piece_only(monkeypatch):  # noqa: ANN001
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read())
+    plain = ["the cat, the dog\nand the cat", "", "été à la mer. 漢字 もの the", "x", "it's 12.5 (now) 😀", "a\nb\nc the"]
+    odd = ["two  spaces", " first", "last ", "end\n", "a\0b c", "tab\tthe", "\n\n", "no\xa0break", "a <|endoftext|> b <|endoftext|>", "\0", " "]
+    looked_up: list[str] = []
+    real = type(encoder.pieces)
+
+    class Spied(real):
+        def __getitem__(self, x: str) -> bytes:
+            looked_up.append(x)
+            return super().__getitem__(x)
+
+    encoder.pieces = Spied(encoder._learn, 1000)
+    library = encoder.tokenizer
+    for texts in (plain, odd, plain + odd, odd[:1] + plain[:1], [""], [], odd[-2:]):
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    looked_up.clear()
+    monkeypatch.setattr(tokens, "cut", None)  # cuts a text into Python strings
+    ids = encoder.encode(["the cat and the dog and the end"] * 500)
+    assert len(ids) == 500 and len(looked_up) < 10
+    assert ids[499].tolist() == library.encode("the cat and the dog and the end", add_special_tokens=False).ids
