@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -67,6 +68,8 @@ class Encoder:
         self.letters = dict(enumerate(_byte_letters()))
         self.matches = regex.compile(public_tokenizers.PATTERN)
         self.pieces = Recent(self._learn, MEMORY)
+        self.tokenize, self.space = self.tokenizer.model.tokenize, self.letters[32]
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(20)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,7 +77,8 @@ class Encoder:
     def _match(self, match: str) -> bytes:
         """The ids of one match of the pattern, by the library's model."""
         raw = match if match.isascii() else match.encode().decode("latin-1").translate(self.letters)
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(raw.replace(" ", self.letters[32]))]).tobytes()
+        found = self.tokenize(raw.replace(" ", self.space))
+        return self.pack[len(found)](*[x.id for x in found]) if len(found) < len(self.pack) else array("I", [x.id for x in found]).tobytes()
 
     def _learn(self, x: str) -> bytes:
         """The ids of a new piece. One of Latin letters, on which all Unicode versions agree, is cut into matches of the
@@ -85,6 +89,9 @@ class Encoder:
             return self._library([x])[0]
         if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
             return self._match(x)
+        word = x[:-1]
+        if x[-1] in ",." and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self.pieces[word] + self.pieces[x[-1]]
         matches = self.matches.findall(x)
         return b"".join([self.pieces.get_or(m, self._match) for m in matches]) if len(matches) > 1 else self._match(x)
 

@@ -69,7 +69,7 @@ def test_a_round_of_texts_makes_a_string_of_each_different_piece_only(monkeypatc
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         encoder = tokens.Encoder(f.read())
-    plain = ["the cat, the dog\nand the cat", "", "été à la mer. 漢字 もの the", "x", "it's 12.5 (now) 😀", "a\nb\nc the"]
+    plain = ["the cat, the dog\nand the cat", "", "été à la mer. 漢字 もの the", "x", "it's 12.5 (now) 😀", "a\nb\nc the", "É. ñ, a., b., .c, 1. ,, the, (the. \xad, ª. x²."]
     odd = ["two  spaces", " first", "last ", "end\n", "a\0b c", "tab\tthe", "\n\n", "no\xa0break", "a <|endoftext|> b <|endoftext|>", "\0", " "]
     looked_up: list[str] = []
     real = type(encoder.pieces)
