@@ -128,19 +128,22 @@ def _(t: Tables) -> DataFrame:
     staged = t("change_feed").drop("table_name").withColumnsRenamed(named)
 
     def merge(tables: DataFrame, batch_id: int) -> None:
-        # The staged changes of the quiet tables, a row per key, replace what an earlier burst left of them.
-        tables.write.mode("overwrite").parquet(f"{root}/reports/batch_{batch_id}")
+        # The staged changes of the quiet tables, a row per key, replace what an earlier burst left of them: of a table's
+        # rows those of its last report count. A folder a table would cost more than the rows in it.
+        tables.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/reports/batch_{batch_id}")
         due = staged.join(tables.select(*ST.TABLE), ST.TABLE)
         last = A.latest_per_key(due.where(F.col("op_code").isin(*APPLIED_OPS)), [*ST.TABLE, "pk"], ["start_lsn", "seqval"])
-        last.where(F.col("op_code") != OP_DELETE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*ST.TABLE).parquet(f"{root}/tables")
+        merged = last.where(F.col("op_code") != OP_DELETE).withColumn("__batch", F.lit(batch_id))
+        merged.write.mode("overwrite").parquet(f"{root}/tables/batch_{batch_id}")
 
     changes = _in_parts(t, "change_feed").drop("table_name").withColumnsRenamed(named)
     ST.await_read(ST.merge_when_quiet(changes, merge, f"{root}/state", quiet_s=3, period="0 seconds"), emptied=True)
     # On a slow machine a table may fall quiet more than once; its bursts add up.
-    reports = t.spark.read.parquet(f"{root}/reports/batch_*").groupBy(*ST.TABLE).agg(F.sum("changes").alias("changes"), F.max("last_change_at").alias("last_change_at"))
-    tables = t.spark.read.parquet(f"{root}/tables").groupBy(*ST.TABLE).agg(F.count("*").alias("merged_rows"))
+    sums = [F.sum("changes").alias("changes"), F.max("last_change_at").alias("last_change_at"), F.max("__batch").alias("__batch")]
+    reports = t.spark.read.parquet(f"{root}/reports/batch_*").groupBy(*ST.TABLE).agg(*sums)
+    tables = t.spark.read.parquet(f"{root}/tables/batch_*").groupBy(*ST.TABLE, "__batch").agg(F.count("*").alias("merged_rows"))
     merged = F.coalesce("merged_rows", F.lit(0).cast("long")).alias("merged_rows")
-    return reports.join(tables, ST.TABLE, "left").select(*ST.TABLE, "changes", F.col("last_change_at").cast("timestamp_ntz"), merged)
+    return reports.join(tables, [*ST.TABLE, "__batch"], "left").select(*ST.TABLE, "changes", F.col("last_change_at").cast("timestamp_ntz"), merged)
 
 
 @query("i5_stream_rollup", _ROLLUP)
