@@ -124,8 +124,9 @@ def routed_apply(
     """Keep many targets up to date with one stream of routed rows (see ``sources.feeds.derive_route``).
 
     ``routes`` (schema_name, table_name, target) says which routes exist; ``tables`` names the target of each table.
-    All schemas that have a table share its target, whose partitions are the schemas, so a micro-batch
-    takes one merge for each table and not one for each route. Rows without a route, or whose table has no
+    All schemas that have a table share its target, whose partitions are the schemas, or groups of them that
+    ``prepare`` adds where schemas are many and small, so a micro-batch takes one merge for each table and not one for
+    each route. Rows without a route, or whose table has no
     target, are dropped and counted: see ``RouteCounts``.
     """
     served = routes.where(F.col("table_name").isin(list(tables)))

@@ -5,6 +5,7 @@ Each query writes below the cluster's shared folder and reads the result back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -47,19 +48,22 @@ def _in_parts(t: Tables, view: str, parts: int = 6) -> DataFrame:
     return S.stream_changes(t.spark, folder, rows.schema, max_per_trigger=1)
 
 
+def _grouped(tenant: str) -> Callable[[DataFrame], DataFrame]:
+    """Many small tenants share a partition: a folder each would cost more than the rows in it."""
+    return lambda rows: rows.withColumn("tenant_group", F.pmod(F.hash(tenant), F.lit(16)))
+
+
 def _applied(t: Tables) -> PartitionedTarget:
     root = shared_dir(t.spark, "target")
     feed = _in_parts(t, "change_feed", 3)
-    # Many small tenants share a partition: a folder each would cost more than the rows in it.
     schema = "tenant_group int, customer_id string, pk long, event_type string, value double, start_lsn string, seqval string"
     target = PartitionedTarget(t.spark, f"{root}/table", schema, ["customer_id", "pk"], ["tenant_group"])
-    grouped = lambda rows: rows.withColumn("tenant_group", F.pmod(F.hash("customer_id"), F.lit(16)))
 
     def log(batch: DataFrame) -> DataFrame:
         counts = batch.groupBy("customer_id", "table_name").agg(F.count("*").alias("records_processed"))
         return counts.withColumn("processed_at", moment())
 
-    SK.stream_apply(feed, target, f"{root}/state", grouped, feed=["customer_id", "table_name"], log=log, period=None).awaitTermination()
+    SK.stream_apply(feed, target, f"{root}/state", _grouped("customer_id"), feed=["customer_id", "table_name"], log=log, period=None).awaitTermination()
     return target
 
 
@@ -106,8 +110,9 @@ def _(t: Tables) -> DataFrame:
     pairs = t("change_feed").select(F.floor(F.col("pk") / 10).alias("no"), F.col("event_type").alias("table_name")).distinct()
     pairs = pairs.where("not (no % 5 = 3 and table_name = 'view')").withColumn("schema_name", F.concat(F.lit("tenant"), "no"))
     meta = "__cdc_operation string, __source_ts_ms long, __kafka_partition int, __kafka_offset long"
-    shapes = {n: f"__routing_schema string, pk long, {'' if n == 'click' else 'value double, '}{meta}" for n in ("view", "signup", "click", "purchase")}
-    tables = {n: SK.RoutedTable(PartitionedTarget(t.spark, f"{root}/{n}", s, ["pk"], ["__routing_schema"])) for n, s in shapes.items()}
+    shapes = {n: f"tenant_group int, __routing_schema string, pk long, {'' if n == 'click' else 'value double, '}{meta}" for n in ("view", "signup", "click", "purchase")}
+    target = lambda n: PartitionedTarget(t.spark, f"{root}/{n}", shapes[n], ["__routing_schema", "pk"], ["tenant_group"])
+    tables = {n: SK.RoutedTable(target(n), _grouped("__routing_schema")) for n in shapes}
     routes = pairs.select("schema_name", "table_name", F.col("schema_name").alias("target"))
     SK.routed_apply(rows, routes, tables, f"{root}/state", period=None).awaitTermination()
     out = [x.target.read().withColumn("table_name", F.lit(n)) for n, x in tables.items()]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
 from pyspark.sql import functions as F
 
+import queries.streaming
 from changefeed.operators.monitor import activity_rollup
 from changefeed.streaming import streams as S
+from queries import ORACLES, QUERIES
 from tests.conftest import rows
 from tests.test_apply import BATCH, changes
 
@@ -54,3 +59,29 @@ def test_live_latest_state(spark, tmp_path):
     S.stream_to_files(latest, str(tmp_path / "out"), str(tmp_path / "state"), "update").awaitTermination()
     got = {r.k: r.v for r in S.latest_output(spark, str(tmp_path / "out"), ["k"]).collect()}
     assert got == {r[0]: r[1] for r in data}
+
+
+def query_and_sql(spark, tmp_path, monkeypatch, name, events):  # noqa: ANN001, ANN201
+    """Rows of a query whose shared folders lie in ``tmp_path``, and those of its SQL."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    events.selectExpr(*[f"cast({c} as {t}) as {c}" for c, t in (x.split() for x in schema.split(", "))]).coalesce(1).write.parquet(str(tmp_path / "in/events.parquet"))
+    monkeypatch.setattr(queries.streaming, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    got = QUERIES[name](spark, str(tmp_path / "in"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/in/events.parquet/*.parquet'")
+    found = con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+    return rows(got), sorted((tuple(r) for r in found), key=lambda t: tuple((v is not None, str(v)) for v in t))
+
+
+def test_routed_rows_of_many_schemas_share_folders(spark, tmp_path, monkeypatch):
+    events = spark.range(900).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "(id % 300) * 10 as user_id", "if(id % 2 = 0, 'view', 'click') as event_type", "id / 4 as value", "'' as props")
+    got, want = query_and_sql(spark, tmp_path, monkeypatch, "i3_routed_apply", events)
+    assert got == want and len({r[1] for r in got}) == 270
+    folders = [x for n in ("view", "click") for x in os.listdir(tmp_path / f"routed/{n}/rows") if "=" in x]
+    assert len(folders) <= 2 * 16
+
+
+def test_quiet_tables_keep_their_names_when_merged(spark, tmp_path, monkeypatch):
+    events = spark.range(120).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "id % 40 as user_id", "element_at(array('007', '', '7'), cast(id % 3 + 1 as int)) as event_type", "id / 4 as value", "'' as props")
+    got, want = query_and_sql(spark, tmp_path, monkeypatch, "i4_debounced_merges", events)
+    assert got == want and all(r[-1] for r in got)
