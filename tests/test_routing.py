@@ -61,6 +61,26 @@ def test_a_bad_key_leaves_the_route_out_and_says_why(spark, topology):
     assert rows(R.build_routes(tenants, tables, empty, "directory_id")[1], "reason") == [("key directory_id is empty for activities",)] * 2
 
 
+def test_the_routes_of_one_large_service_are_made_by_several_tasks(spark):
+    given = lambda n, *columns: spark.range(0, n, 1, 1).selectExpr(*columns)
+    tenants = given(30, "'s' as service", "concat('T', id) as source_name", "'dev' as env", "concat('dev.t', id) as topic_prefix")
+    tenants = tenants.unionAll(given(1, "null", "'Lost'", "'dev'", "'x'")).unionAll(given(1, "'none'", "'Bare'", "'dev'", "'x'")).coalesce(1)
+    tables = given(6000, "'s' as service", "if(id % 2 = 0, 'dbo', null) as schema_name", "concat('Tab', id div 2) as table_name")
+    tables = tables.unionAll(given(1, "'s'", "'dbo'", "'Tab1'")).unionAll(given(1, "null", "'dbo'", "'Lost'")).coalesce(1)
+    keys = given(30, "concat('T', id) as source_name", "'dev' as env", "'customer_id' as key", "if(id % 10 = 0, ' ', concat('c', id)) as value")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        routes, skipped = R.build_routes(tenants, tables, keys)
+        tasks = routes.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+        assert sum(r["count"] for r in tasks) == 27 * 6001 and max(r["count"] for r in tasks) < 0.8 * 27 * 6001
+        pairs = tenants.join(tables, "service").where("source_name not in ('T0', 'T10', 'T20')").select(F.concat_ws(".", "topic_prefix", "schema_name", "table_name").alias("topic"))
+        assert routes.select("topic").exceptAll(pairs).count() == pairs.exceptAll(routes.select("topic")).count() == 0
+        assert skipped.count() == 3 * 6001 and skipped.where("reason is null or table_name is null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_unknown_routes_are_split_off_and_rows_never_multiply(spark):
     df = spark.createDataFrame([(1, "a", "T"), (2, "a", "U"), (3, None, "T")], "id int, __routing_schema string, __routing_table string")
     routes = spark.createDataFrame([("a", "T", "x"), ("a", "T", "x2")], "schema_name string, table_name string, target string")
